@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonegrain.llm import packing
+from zonegrain.llm import exact_dedup, packing, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.op2_packing,
+    "op5_url_rules": url_rules.op5_url_rules,
+    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_rules": url_rules.ORACLE,
+    "op8_exact_dedup": exact_dedup.ORACLE,
+}
