@@ -119,8 +119,12 @@ class Words:
         return np.concatenate([[0], np.cumsum(self.counts)])
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of the texts that lie at offsets[i]:offsets[i+1] of data (offsets[0] is 0)."""
+_PUNCT = np.zeros(256, bool)
+_PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, bare: bool = False) -> Words:
+    """Words of the texts that lie at offsets[i]:offsets[i+1] of data (offsets[0] is 0); bare: hashes pass over ASCII punctuation."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
@@ -141,13 +145,21 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     span = np.diff(np.append(starts, n))
     place = np.arange(starts[0], n) - np.repeat(starts, span)
     val = _BYTE[LOWER[data[starts[0] :]]]
+    length = (ends - starts).astype(np.uint64)
+    if bare:
+        drop = _PUNCT[data[starts[0] :]]
+        val[drop] = 0
+        gone = np.cumsum(drop)
+        before = (gone - drop)[starts - starts[0]]
+        place -= gone - drop - np.repeat(before, span)
+        length -= np.add.reduceat(drop.astype(np.uint64), starts - starts[0])
     val *= _powers(int(span.max()))[place]
-    hashes = mixed(np.add.reduceat(val, starts - starts[0]) + (ends - starts).astype(np.uint64))
+    hashes = mixed(np.add.reduceat(val, starts - starts[0]) + length)
     return Words(counts, hashes, starts, ends, data, offsets)
 
 
-def word_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
+def word_slices(texts: pa.Array, limit: int = SLICE_BYTES, bare: bool = False) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, words) of each slice of the texts."""
     data, off = string_buffers(texts)
     for a, b in slices(off, limit):
-        yield a, b, words(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        yield a, b, words(data[off[a] : off[b]], off[a : b + 1] - off[a], bare)
