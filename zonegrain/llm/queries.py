@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonegrain.llm import exact_dedup, packing, url_rules
+from zonegrain.llm import exact_dedup, packing, quality, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1_quality,
     "op2_packing": packing.op2_packing,
     "op5_url_rules": url_rules.op5_url_rules,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_url_rules": url_rules.ORACLE,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
