@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonegrain.llm import exact_dedup, packing, quality, toxicity, url_rules
+from zonegrain.llm import exact_dedup, fingerprints, mixing, packing, quality, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_packing": packing.op2_packing,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_url_rules": url_rules.op5_url_rules,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": mixing.op3_mixing,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_url_rules": url_rules.ORACLE,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_exact_dedup": exact_dedup.ORACLE,
