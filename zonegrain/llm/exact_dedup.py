@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from zonegrain.llm import common
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State stores live on disk, and are closed after each batch: an open one holds some MB of disk, however small.
+STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
 #: Digests of hits up to this many bytes are broadcast to find the texts to compare; beyond it a shuffled join does.
 BROADCAST_BYTES = 32 << 20
 
@@ -29,8 +30,9 @@ def sha256(text: Column) -> Column:
 
 def start(spark: SparkSession, feed: str, schema, state: str, out: str, files_per_trigger: int | None = None) -> None:
     """Runs the stream over all files of the feed that its checkpoint (state) hasn't seen, and appends updated groups to out."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema)
         if files_per_trigger:
@@ -40,7 +42,8 @@ def start(spark: SparkSession, feed: str, schema, state: str, out: str, files_pe
         run = groups.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).start()
         run.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_trigger: int | None = None) -> DataFrame:
