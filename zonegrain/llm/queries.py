@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonegrain.llm import exact_dedup, fingerprints, mixing, packing, quality, toxicity, url_rules
+from zonegrain.llm import exact_dedup, fingerprints, jaccard_join, mixing, packing, quality, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_url_rules": url_rules.op5_url_rules,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
@@ -23,5 +24,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_url_rules": url_rules.ORACLE,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
