@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonegrain.llm import exact_dedup, fingerprints, jaccard_join, mixing, packing, quality, toxicity, url_rules
+from zonegrain.llm import exact_dedup, fingerprints, html_text, jaccard_join, mixing, packing, quality, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_html_text": html_text.op9_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
