@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,16 @@ from pyspark.sql import functions as F
 from zonegrain.llm import common
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker keeps at most; beyond it the table starts again. It bounds memory, not the result.
-CACHE_WORDS = 1_000_000
+#: Words, and parts of words, whose ids a worker keeps at most; beyond it the table starts again. It bounds memory, not the result.
+CACHE_WORDS, CACHE_PARTS = 600_000, 900_000
 
 #: Code points at which str.split() and the tokenizer might not agree: such a text is encoded in one piece.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Words of Latin letters, for which lower case, letters and numbers are the same here and in the tokenizer.
+_PLAIN = re.compile("(?!.*<\\|)[!-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]+")
+#: How the tokenizer parts a word.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -35,60 +41,96 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Table:
+    """Token ids by string."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        k, n, m = len(self.known), len(keys), len(ids)
+        while self.used + m > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while k + n > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        self.flat[self.used : self.used + m] = ids
+        self.at[k : k + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[k : k + n] = sizes
+        self.known.update(zip(keys, range(k, k + n), strict=True))
+        self.used += m
+
+    def get(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known strings end to end, and how many each has."""
+        k = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        size = self.size[k]
+        ends = np.cumsum(size, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(self.at[k] - (ends - size), size)], size
+
+
 class WordEncoder:
     """Ids of whole texts by way of ids of their words.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of its words in turn.
-    Each distinct word is encoded once and then looked up.
+    The tokenizer drops white space and never joins across it, so the ids of a text are those of its words in turn; it
+    parts a word into letters, digits and marks and never joins across those. Each distinct part is encoded once.
     """
 
-    def __init__(self, path: str, limit: int = CACHE_WORDS):
+    def __init__(self, path: str, words: int = CACHE_WORDS, parts: int = CACHE_PARTS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-
-    def _add(self, new: list[str]) -> None:
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, enc in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                ids, k = enc.ids, len(self.known)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if k >= len(self.at):
-                    self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.at[k], self.size[k], self.known[word] = self.used, len(ids), k
-                self.used += len(ids)
+        self.tokenizer, self.limits = Tokenizer.from_file(path), (words, parts)
+        self.words, self.parts = _Table(), _Table()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _directly(self, table: _Table, keys: list[str]) -> None:
+        found = [x.ids for x in self.tokenizer.encode_batch(keys, add_special_tokens=False)]
+        table.add(keys, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+
+    def _add_parts(self, new: list[str]) -> None:
+        """Parts are encoded many at a time: each ends with an id that can end a word."""
+        for i in range(0, len(new), 5000):
+            keys = new[i : i + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(keys), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(keys) and (not len(ends) or ends[-1] == len(ids)):
+                self.parts.add(keys, ids, np.diff(ends, prepend=0))
+            else:
+                self._directly(self.parts, keys)
+
+    def _add_words(self, new: list[str]) -> None:
+        plain, other = [], []
+        for w in new:
+            (plain if _PLAIN.fullmatch(w) else other).append(w)
+        if other:
+            self._directly(self.words, other)
+        split = [[w.lower()] if w.isalpha() else _PARTS.findall(w.lower()) for w in plain]
+        flat = [x for parts in split for x in parts]
+        if len(self.parts.known) > self.limits[1]:
+            self.parts = _Table()
+        self._add_parts([x for x in set(flat) if x not in self.parts.known])
+        ids, sizes = self.parts.get(flat)
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, split)])]
+        self.words.add(plain, ids, np.diff(upto))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has."""
-        if len(self.known) > self.limit:
-            self.clear()
-        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if _ODD.search(t)}
+        if len(self.words.known) > self.limits[0]:
+            self.words = _Table()
+        odd = lambda t: any(c in t for c in _SEPARATORS) if t.isascii() else _ODD.search(t)
+        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if odd(t)}
         split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        flat = [w for x in split for w in x]
-        get = self.known.get
-        where = [get(w, -1) for w in flat]
-        if -1 in where:
-            self._add(list(dict.fromkeys(w for w, k in zip(flat, where, strict=True) if k < 0)))
-            where = [self.known[w] for w in flat]
-        k = np.array(where, np.int64)
-        size = self.size[k] if len(k) else np.zeros(0, np.int32)
-        ends = np.cumsum(size, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat((self.at[k] if len(k) else ends) - (ends - size), size)] if total else np.zeros(0, np.uint32)
-        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
-        counts = np.diff(upto)
-        if whole:
-            parts = [np.array(whole[i], np.uint32) if i in whole else ids[upto[i] : upto[i + 1]] for i in range(len(texts))]
-            ids, counts = np.concatenate(parts), np.array([len(p) for p in parts])
-        return ids, counts
+        flat = list(chain.from_iterable(split))
+        self._add_words([w for w in set(flat) if w not in self.words.known])
+        ids, sizes = self.words.get(flat)
+        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.cumsum([0, *map(len, split)])]
+        if not whole:
+            return ids, np.diff(upto)
+        parts = [np.array(whole[i], np.uint32) if i in whole else ids[upto[i] : upto[i + 1]] for i in range(len(texts))]
+        return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
