@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonegrain.llm import exact_dedup, fingerprints, html_text, jaccard_join, mixing, packing, quality, toxicity, url_rules
+from zonegrain.llm import exact_dedup, fingerprints, html_text, jaccard_join, language_model, mixing, packing, quality, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_html_text": html_text.op9_html_text,
+    "op10_language_model": language_model.op10_language_model,
 }
 
 ORACLE_SQL: dict[str, str] = {
