@@ -49,6 +49,17 @@ def text_column(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
+#: Ids up to this many bytes (16 each) are broadcast; beyond it a shuffled join does the same.
+BROADCAST_BYTES = 32 << 20
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among the dropped ones."""
+    dropped = saved(dropped.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "dropped")
+    small = dropped.count() * 16 <= BROADCAST_BYTES
+    return docs.join(F.broadcast(dropped) if small else dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
 # --- words in numpy ---------------------------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

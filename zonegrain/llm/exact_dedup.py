@@ -65,8 +65,10 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
     groups = found.groupBy("digest").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("g")).select("digest", "g.keep", "g.group_size")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), digest(text).alias("digest"))
     clash = common.saved(_clashes(plain, groups.where("group_size > 1").select("digest")), "clashes")
-    same = Window.partitionBy("digest", "doc_id").orderBy("locator")
-    result = rows.join(groups, "digest").select("digest", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", ((F.col("keep.doc_id") == F.col("doc_id")) & (F.row_number().over(same) == 1)).alias("kept"), "text_sha256", F.col("keep.locator").alias("keep_locator"))
+    # Numbered before the join: above it, the rows of a digest would have to stay in one task.
+    same = Window.partitionBy("doc_id", "digest").orderBy("locator")
+    numbered = rows.withColumn("nth", F.row_number().over(same))
+    result = numbered.join(groups, "digest").select("digest", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", ((F.col("keep.doc_id") == F.col("doc_id")) & (F.col("nth") == 1)).alias("kept"), "text_sha256", F.col("keep.locator").alias("keep_locator"))
     if clash.isEmpty():
         return result.drop("digest")
     whole = Window.partitionBy("digest", "text")
@@ -75,6 +77,19 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
     return result.join(clash, "digest", "left_anti").drop("digest").unionByName(split)
 
 
+def survivors(docs: DataFrame) -> DataFrame:
+    """One row of docs for each text, that with the largest doc_id, with its columns as they are."""
+    found = common.saved(deduplicate(docs).select("doc_id", "keep_id", "kept"), "deduplicated")
+    left = common.without(docs, found.where("doc_id <> keep_id"))
+    repeated = found.where("doc_id = keep_id and not kept").select("doc_id").distinct()
+    if repeated.isEmpty():
+        return left
+    # Rows that repeat the doc_id as well: one of each text stays.
+    again = left.join(repeated, "doc_id", "left_semi")
+    once = again.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", common.text_column(again)).orderBy(F.lit(1)))).where("__n = 1").drop("__n")
+    return left.join(repeated, "doc_id", "left_anti").unionByName(once.select(*docs.columns))
+
+
 def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string, keep_locator string")
 
