@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from zonegrain.plans import volume_queries
+from zonegrain.plans import image_queries, volume_queries
 
-QUERIES = {**volume_queries.QUERIES}
-ORACLE = {**volume_queries.ORACLE}
+QUERIES = {**volume_queries.QUERIES, **image_queries.QUERIES}
+ORACLE = {**volume_queries.ORACLE, **image_queries.ORACLE}
