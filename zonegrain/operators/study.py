@@ -325,11 +325,11 @@ def interval(t: DataFrame, value: str, alpha: int = 95, exact: bool = False) ->
     return t.agg(F.avg(value).alias("mean"), F.percentile(value, lo / 100).alias("low"), F.percentile(value, hi / 100).alias("high"))
 
 
-def parameter_sets(spark, n: int, seed: int = 42) -> DataFrame:
-    """n random sets within the ranges, repeatable under any partitioning: odd kernels 3 to 25, sigma up to its kernel, 3 <= R < 28, 1 <= r < R, odd windows 3 to 15."""
+def parameter_sets(ids: DataFrame, seed: int = 42) -> DataFrame:
+    """A random set within the ranges for each id, repeatable under any partitioning: odd kernels 3 to 25, sigma up to its kernel, 3 <= large < 28, 1 <= small < large (the radii), odd windows 3 to 15."""
     draw = lambda i, m: F.pmod(lcg(F.col("id") * 15485863 + i * 32452843 + seed), m if isinstance(m, Column) else F.lit(m))
-    t = spark.range(n).select(F.col("id").alias("par_id"), "id", *((3 + 2 * draw(i, 12)).alias(c) for i, c in enumerate(("ks1", "ks2"))), (3 + draw(2, 25)).alias("R"), *((3 + 2 * draw(i + 3, 7)).alias(c) for i, c in enumerate(("wc", "wl", "ws"))))
-    return t.select("par_id", "ks1", "ks2", (1 + draw(6, F.col("ks1"))).alias("sigma1"), (1 + draw(7, F.col("ks2"))).alias("sigma2"), F.lit(8).alias("N"), "R", (1 + draw(8, F.col("R") - 1)).alias("r"), "wc", "wl", "ws")
+    t = ids.select(F.col("id").alias("par_id"), "id", *((3 + 2 * draw(i, 12)).alias(c) for i, c in enumerate(("ks1", "ks2"))), (3 + draw(2, 25)).alias("large"), *((3 + 2 * draw(i + 3, 7)).alias(c) for i, c in enumerate(("wc", "wl", "ws"))))
+    return t.select("par_id", "ks1", "ks2", (1 + draw(6, F.col("ks1"))).alias("sigma1"), (1 + draw(7, F.col("ks2"))).alias("sigma2"), F.lit(8).alias("N"), "large", (1 + draw(8, F.col("large") - 1)).alias("small"), "wc", "wl", "ws")
 
 
 def best_set(errors: DataFrame, by: list[str]) -> DataFrame:
