@@ -150,3 +150,17 @@ def lda(rows: DataFrame, d: int, classes: list[int], ridge: float = 1e-6) -> Dat
 def first_rows(rows: DataFrame, split: int, order: str) -> DataFrame:
     """rows with `train`: true for the first `split` of them."""
     return rows.withColumn("train", F.row_number().over(Window.orderBy(order)) <= split) if split < 10_000 else rows.join(F.broadcast(rows.select(order).orderBy(order).limit(split).withColumn("train", F.lit(True))), order, "left").withColumn("train", F.coalesce("train", F.lit(False)))
+
+
+def forest_logo(rows: DataFrame, d: int, trees: int = 50, seed: int = 42) -> DataFrame:
+    """rows (row_id, group_id, x, y) with the probability of a random forest fitted without their group, one distributed fit for each group."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    t = rows.withColumn("features", array_to_vector("x")).withColumn("label", F.col("y").cast("double")).persist()
+    out = None
+    for g in [r[0] for r in t.select("group_id").distinct().orderBy("group_id").collect()]:
+        model = RandomForestClassifier(numTrees=trees, seed=seed).fit(t.where(F.col("group_id") != g))
+        one = model.transform(t.where(F.col("group_id") == g)).select("row_id", "group_id", "y", F.element_at(vector_to_array("probability"), 2).alias("probability"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -220,3 +220,12 @@ def ssim(a: DataFrame, b: DataFrame, size: int = 7, span: float = 255.0) -> Data
     vp, vq, c = ((F.col(k) - n * x * y) / (n - 1) for k, x, y in (("pp", mp, mp), ("qq", mq, mq), ("pq", mp, mq)))
     c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
     return w.groupBy("image").agg(F.avg((2 * mp * mq + c1) * (2 * c + c2) / ((mp * mp + mq * mq + c1) * (vp + vq + c2))).alias("ssim"))
+
+
+def padded(images: DataFrame, pad: int) -> DataFrame:
+    """The image with `pad` rows and columns of zeros on each side; only the border is made new."""
+    b = bounds(images)
+    span = lambda a: F.sequence(F.col(f"{a}_min") - pad, F.col(f"{a}_max") + pad)
+    grid = b.withColumn("y", F.explode(span("y"))).withColumn("x", F.explode(span("x")))
+    border = grid.where("y < y_min or y > y_max or x < x_min or x > x_max").select(*PIXEL, F.lit(0).cast(images.schema["val"].dataType).alias("val"))
+    return images.select(*PIXEL, "val").unionByName(border)

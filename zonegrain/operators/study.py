@@ -335,3 +335,23 @@ def parameter_sets(ids: DataFrame, seed: int = 42) -> DataFrame:
 def best_set(errors: DataFrame, by: list[str]) -> DataFrame:
     """The parameter set with the least error; of ties the lowest id."""
     return errors.groupBy(*by).agg(F.min_by("par_id", F.struct("error", "par_id")).alias("par_id"), F.min("error").alias("error"))
+
+
+def bootstrap_curves(t: DataFrame, label: str, score: str, key: str, replicates: int, seed: int = 42) -> DataFrame:
+    """replicate, fpr, tpr: the ROC curve of each stratified resample (the draws of bootstrap_auc)."""
+    size = t.groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(label).orderBy(key)
+    numbered = t.select(F.col(label).alias("y"), F.col(score).alias("score"), (F.row_number().over(order) - 1).alias("i"))
+    draws = size.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.expr("sequence(0, n - 1)")))
+    picks = draws.select("rep", "y", F.pmod(lcg(F.col("rep") * 1000003 + F.col("j") * 7919 + F.col("y") * 104729 + seed), F.col("n")).alias("i"))
+    c = picks.join(numbered, ["y", "i"]).groupBy("rep", "score").agg(F.sum(F.col("y").cast("long")).alias("p"), F.sum((1 - F.col("y")).cast("long")).alias("q"))
+    upto = Window.partitionBy("rep").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("rep")
+    return c.select(F.col("rep").alias("replicate"), (F.sum("q").over(upto) / F.sum("q").over(whole)).alias("fpr"), (F.sum("p").over(upto) / F.sum("p").over(whole)).alias("tpr"))
+
+
+def mean_band(curves: DataFrame, grid: int = 1001) -> DataFrame:
+    """g, mean, sd, upper: tpr at evenly spaced fpr over replicates, the upper edge at most 1."""
+    at = curve_at(curves, grid, ["replicate"])
+    b = at.groupBy("g").agg(F.avg("tpr").alias("mean"), F.stddev_pop("tpr").alias("sd"))
+    return b.select("g", "mean", "sd", F.least(F.col("mean") + F.col("sd"), F.lit(1.0)).alias("upper"))

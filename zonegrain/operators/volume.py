@@ -299,3 +299,20 @@ def rotated(v: DataFrame, degrees: Column, least: float = 0.0) -> DataFrame:
     # Rounded so that whole positions stay whole.
     back = [F.round(F.col("cy") + F.cos("a") * dy + F.sin("a") * dx, 9), F.round(F.col("cx") - F.sin("a") * dy + F.cos("a") * dx, 9), F.col("z")]
     return resample(v, back, grid)
+
+
+def angle_search(v: DataFrame, angles: list[float], threshold: float) -> DataFrame:
+    """sample, angle, loss: of the candidate turns that whose foreground columns fill the circle around their centre best.
+
+    Loss 1 - dice of the columns above the threshold and the circle around their centroid through the farthest one. All
+    angles are turned in one job; search on a volume that is scaled down.
+    """
+    table = F.explode(F.array(*map(F.lit, angles)))
+    many = v.withColumn("angle", table).withColumn("name", F.col("sample"))
+    turned = rotated(many.withColumn("sample", F.struct("name", "angle")).drop("name", "angle"), F.col("sample.angle"))
+    cols = turned.where(F.col("val") > threshold).select("sample", "y", "x").distinct()
+    mid = cols.groupBy("sample").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.count("*").alias("n"))
+    far = cols.join(mid, "sample").groupBy("sample").agg(F.max(F.hypot(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))).alias("r"), F.first("n").alias("n"))
+    area = 3.141592653589793 * (F.col("r") + 0.5) * (F.col("r") + 0.5)
+    loss = far.select(F.col("sample.name").alias("sample"), F.col("sample.angle").alias("angle"), (1 - 2 * F.least(F.col("n").cast("double"), area) / (F.col("n") + area)).alias("loss"))
+    return loss.groupBy("sample").agg(F.min_by("angle", F.struct("loss", F.abs("angle"), "angle")).alias("angle"), F.min("loss").alias("loss"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonegrain.functions.columns import tidy
 from zonegrain.operators import learn, segment, study
-from zonegrain.plans import image_queries, jobs
+from zonegrain.plans import image_queries, jobs, volume_queries
 from zonegrain.plans import views as T
 from zonegrain.plans.study_queries import _FOLD, _LCG, _ONE
 from zonegrain.plans.views import sql
@@ -55,7 +55,8 @@ _add("param_search", lambda s, d: _tidy(study.best_set(learn.search(_ONE(s, d),
 _add("param_sets", lambda s, d: study.parameter_sets(T.grades(s, d).select(F.col("sample").alias("id"))).select("par_id", "ks1", "sigma1", "large"), sql("G", f", D AS (SELECT sample AS id, 3 + 2 * ({_LCG('sample * 15485863 + 42')} % 12) AS ks1, 3 + {_LCG('sample * 15485863 + 2 * 32452843 + 42')} % 25 AS large FROM G) SELECT id AS par_id, ks1, 1 + {_LCG('id * 15485863 + 6 * 32452843 + 42')} % ks1 AS sigma1, large FROM D"))
 
 # --- segmentation ---
-_add("largest_component", lambda s, d: segment.largest_component(T.voxels(s, d).where("val > 175")))
+_CC = ", P AS (SELECT sample, y, x, z, z::BIGINT * 1099511627776 + y * 1048576 + x AS id FROM V WHERE {}), N AS (SELECT a.sample, a.id AS a, b.id AS b FROM P a JOIN P b ON a.sample = b.sample AND abs(a.y - b.y) + abs(a.x - b.x) + abs(a.z - b.z) = 1), R AS (SELECT sample, id AS root, id AS node FROM P UNION SELECT R.sample, R.root, N.b FROM R JOIN N ON N.sample = R.sample AND N.a = R.node), C AS (SELECT sample, node, min(root) AS label FROM R GROUP BY ALL)"
+_add("largest_component", lambda s, d: segment.largest_component(T.voxels(s, d).where("val > 175")), sql("V", _CC.format("val > 175") + ", Z AS (SELECT sample, label, count(*) AS n FROM C GROUP BY ALL), T AS (SELECT sample, first(label ORDER BY n DESC, label) AS label FROM Z GROUP BY sample) SELECT C.sample, P.y, P.x, P.z FROM C JOIN T ON C.sample = T.sample AND C.label = T.label JOIN P ON P.sample = C.sample AND P.id = C.node", True))
 _add("components", lambda s, d: segment.components(T.voxels(s, d).where("val > 175").where("z < 12")).groupBy("sample").agg(F.countDistinct("label").alias("components"), F.count("*").alias("voxels")), sql("V", ", P AS (SELECT sample, y, x, z, z * 64 + y * 8 + x AS id FROM V WHERE val > 175 AND z < 12), N AS (SELECT a.sample, a.id AS a, b.id AS b FROM P a JOIN P b ON a.sample = b.sample AND abs(a.y - b.y) + abs(a.x - b.x) + abs(a.z - b.z) = 1), R AS (SELECT sample, id AS root, id AS node FROM P UNION SELECT R.sample, R.root, N.b FROM R JOIN N ON N.sample = R.sample AND N.a = R.node), C AS (SELECT sample, node, min(root) AS label FROM R GROUP BY ALL) SELECT sample, count(DISTINCT label) AS components, count(*) AS voxels FROM C GROUP BY sample", True))
 _add("slice_bounding_boxes", lambda s, d: segment.bounding_boxes(T.voxels(s, d).where("val > 140"), 3))
 _add("kmeans_segment", lambda s, d: segment.kmeans(T.images(s, d)).groupBy("image", "cluster").agg(F.count("*").alias("n")))
@@ -96,7 +97,43 @@ def stream_results(s, d):
 _add("stream_results", stream_results, "SELECT user_id, count(*)::BIGINT AS n, max(ts) AS ts FROM events GROUP BY user_id")
 
 # --- jobs ---
-_add("zone_images", lambda s, d: _tidy(jobs.zone_images(T.voxels(s, d), 6, {"surf": (-1, 4), "deep": (4, 9)}), "val"))
+_add("zone_images", lambda s, d: _tidy(jobs.zone_images(T.voxels(s, d), 6, {"surf": (-1, 4), "deep": (4, 9)}), "val"), sql("V", ", W AS (SELECT sample, y, x, sum((val > 128)::INT) AS n FROM V GROUP BY ALL), K AS (SELECT sample, greatest(min(y), least(floor(sum(y * n)::DOUBLE / sum(n))::INT - 3, max(y) - 5)) AS y1, greatest(min(x), least(floor(sum(x * n)::DOUBLE / sum(n))::INT - 3, max(x) - 5)) AS x1 FROM W GROUP BY sample), V2 AS (SELECT sample, y - y1 AS y, x - x1 AS x, z, val FROM V JOIN K USING (sample) WHERE y BETWEEN y1 AND y1 + 5 AND x BETWEEN x1 AND x1 + 5), " + volume_queries.OTSU.replace("FROM V GROUP", "FROM V2 GROUP") + ", F AS (SELECT sample, y, x, coalesce(min(z) FILTER (val > threshold), 0) AS f FROM V2 JOIN OT USING (sample) GROUP BY ALL) SELECT zone, sample, y, x, round(avg(val) + coalesce(stddev_samp(val), 0), 6) + 0.0 AS val FROM V2 JOIN F USING (sample, y, x), (VALUES ('surf', -1, 4), ('deep', 4, 9)) t(zone, a, b) WHERE z - f > a AND z - f <= b GROUP BY ALL"))
 _add("grade_samples", lambda s, d: _tidy(jobs.graded(T.features(s, d), T.grades(s, d))[0], "raw", "prediction", digits=4))
 _add("noise_report", lambda s, d: jobs.noise_report(T.images(s, d), T.grades(s, d).select(F.col("sample").alias("image"), F.col("grade").alias("dataset"), F.col("group_id").alias("zone"))).withColumn("mse", tidy(F.col("mse"), 9)), image_queries.ORACLE["noise_rollup"].replace("SELECT grade, group_id, round", "SELECT grade AS dataset, group_id AS zone, round"))
 _add("zone_table", lambda s, d: jobs.zone_table({"surf": T.table(s, d, "pages").where("page_id % 2 = 0").select(F.col("url").alias("path")), "deep": T.table(s, d, "pages").where("page_id % 2 = 1").select(F.col("url").alias("path"))}, T.grades(s, d).select(F.explode(F.array(F.lit("surf"), F.lit("deep"))).alias("zone"), F.col("sample").cast("int").alias("pos"), F.concat(F.lit("n"), F.col("sample")).alias("name"))), "WITH U AS (SELECT CASE WHEN page_id % 2 = 0 THEN 'surf' ELSE 'deep' END AS zone, url AS path FROM pages), P AS (SELECT zone, path, (row_number() OVER (PARTITION BY zone ORDER BY path) - 1)::INT AS pos FROM U) SELECT zone, path, pos, 'n' || pos AS name FROM P WHERE pos IN (SELECT vec_id FROM embeddings)")
+
+
+# --- what earlier modules left ---
+def _pad_image(s, d):
+    from zonegrain.operators import stencil
+
+    return stencil.padded(T.images(s, d), 2)
+
+
+_add("pad_image", _pad_image, sql("I", " SELECT g.image, g.y::INT AS y, g.x::INT AS x, coalesce(val, 0) AS val FROM (SELECT image, y, x FROM (SELECT DISTINCT image FROM I), range(-2, 10) a(y), range(-2, 10) b(x)) g LEFT JOIN I USING (image, y, x)"))
+_add("zone_params", lambda s, d: T.grades(s, d).withColumn("zone", F.element_at(F.array(F.lit("surf"), F.lit("deep"), F.lit("calc")), F.pmod("sample", F.lit(3)).cast("int") + 1)).join(F.broadcast(study.parameter_sets(T.grades(s, d).where("sample < 3").select(F.col("sample").alias("id"))).withColumn("zone", F.element_at(F.array(F.lit("surf"), F.lit("deep"), F.lit("calc")), F.col("par_id").cast("int") + 1)).select("zone", "ks1", "large")), "zone").select("sample", "zone", "ks1", "large"), sql("G", f", D AS (SELECT sample AS id, 3 + 2 * ({_LCG('sample * 15485863 + 42')} % 12) AS ks1, 3 + {_LCG('sample * 15485863 + 2 * 32452843 + 42')} % 25 AS large FROM G WHERE sample < 3) SELECT sample, ['surf', 'deep', 'calc'][sample % 3 + 1] AS zone, ks1, large FROM G JOIN D ON sample % 3 = D.id"))
+
+
+def _roc_band(s, d):
+    t = T.scored_rows(s, d)
+    return study.mean_band(study.bootstrap_curves(t, "y", "score", "doc_id", 20), 101).withColumns({c: tidy(F.col(c), 5) for c in ("mean", "sd", "upper")})
+
+
+_add("mean_roc_band", _roc_band)
+
+
+def _angle_search(s, d):
+    from zonegrain.operators import volume
+
+    return volume.angle_search(volume.scale_means(T.voxels(s, d), 2), [-20.0, -10.0, 0.0, 10.0, 20.0], 128).withColumn("loss", tidy(F.col("loss"), 5))
+
+
+_add("angle_search", _angle_search)
+
+
+def _forest(s, d):
+    return learn.forest_logo(_fe3(s, d).where("group_id < 4"), 3, trees=5).groupBy("group_id").agg(F.count("*").alias("n"))
+
+
+_add("forest_logo", _forest)
+_add("void_columns", lambda s, d: T.voxels(s, d).groupBy("sample", "y", "x").agg(F.array_sort(F.collect_list(F.struct("z", "val"))).alias("l")).select("sample", "y", "x", F.exists("l", lambda e: e["val"] < 60).alias("void"), F.size(F.filter("l", lambda e: e["val"] > 150)).alias("bright")), sql("V", " SELECT sample, y, x, bool_or(val < 60) AS void, count(*) FILTER (val > 150) AS bright FROM V GROUP BY ALL"))
