@@ -49,7 +49,7 @@ def start(spark: SparkSession, feed: str, schema, state: str, out: str, files_pe
 def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_trigger: int | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, keep_locator.
 
-    Texts are equal when identical; null counts as empty. Of equal texts the row with the largest doc_id stays (rows that
+    Texts are equal when identical; a null text counts as empty, and a null doc_id as smaller than any other. Of equal texts the row with the largest doc_id stays (rows that
     repeat the doc_id too: one of them). No text length is special. An empty table gives no row. Other columns of docs
     aren't read, so their names may clash. digest may be weaker than the default: equal digests of different texts are
     told apart by their bytes.
@@ -68,7 +68,7 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
     # Numbered before the join: above it, the rows of a digest would have to stay in one task.
     same = Window.partitionBy("doc_id", "digest").orderBy("locator")
     numbered = rows.withColumn("nth", F.row_number().over(same))
-    result = numbered.join(groups, "digest").select("digest", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", ((F.col("keep.doc_id") == F.col("doc_id")) & (F.col("nth") == 1)).alias("kept"), "text_sha256", F.col("keep.locator").alias("keep_locator"))
+    result = numbered.join(groups, "digest").select("digest", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("nth") == 1)).alias("kept"), "text_sha256", F.col("keep.locator").alias("keep_locator"))
     if clash.isEmpty():
         return result.drop("digest")
     whole = Window.partitionBy("digest", "text")
