@@ -40,9 +40,9 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def remainder(key: str | Column, m: int) -> Column:
-    """crc32 of the key as text, modulo m."""
-    return F.pmod(F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")), F.lit(m))
+def remainder(key: str, m: int) -> Column:
+    """crc32 of the key as text, modulo m; -1 for null."""
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(m)), F.lit(-1))
 
 
 def text_column(df: DataFrame, name: str = "text") -> Column:

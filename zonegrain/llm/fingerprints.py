@@ -70,14 +70,16 @@ def with_next(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
     n = common.partitions(spark)
-    quantiles = plain.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5])).first()[0] or []
-    ranged = plain.withColumn("range", _range_of(F.col("doc_id"), sorted(set(quantiles))))
+    # A row without doc_id is ordered as the smallest.
+    plain = plain.withColumn("order", F.coalesce("doc_id", F.lit(-(2**63))))
+    quantiles = plain.agg(F.percentile_approx("order", [i / n for i in range(1, n)] or [0.5])).first()[0] or []
+    ranged = plain.withColumn("range", _range_of(F.col("order"), sorted(set(quantiles))))
     # The first document of each range: one row a range.
-    heads = ranged.groupBy("range").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("order"), "text")).alias("head"))
+    heads = ranged.groupBy("range").agg(F.min(F.struct(F.bitwise_not("order").alias("order"), "text")).alias("head"))
     around = Window.orderBy(F.desc("range"))
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follow = heads.select("range", F.coalesce(F.lead("head.text").over(around), F.first("head.text").over(whole)).alias("head_text")).withColumn("head_sketch", sketch(F.col("head_text"), fraction))
-    order = Window.partitionBy("range").orderBy(F.desc("doc_id"), "text")
+    order = Window.partitionBy("range").orderBy(F.desc("order"), "text")
     placed = ranged.repartition(n, "range").withColumn("sketch", sketch(F.col("text"), fraction)).select("*", F.lead("text").over(order).alias("next_text"), F.lead("sketch").over(order).alias("next_sketch"))
     return placed.join(follow, "range", "left").select("doc_id", "text", "sketch", F.coalesce("next_text", "head_text").alias("next_text"), F.coalesce("next_sketch", "head_sketch").alias("next_sketch"))
 
@@ -87,7 +89,7 @@ def fingerprint_edits(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
 
     The edited text has the last floor(n_chars/3) code points replaced by the first as many (or all) of the next
     document. Null counts as empty; texts of any length count whole. Repeated doc_ids follow one another in order of
-    text. A single document is its own next; an empty table gives no row. Other columns aren't read.
+    text, rows without one come last. A single document is its own next; an empty table gives no row. Other columns aren't read.
     """
     rows = with_next(docs, fraction).withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")

@@ -61,7 +61,8 @@ def fit_rates(members: DataFrame, targets: list[float], max_rate: float | None =
     """members (doc_id, tokens, posterior) with rate, and the relative misfit by domain. targets: tokens by domain.
 
     Minimises sum over domains of (sum of tokens * posterior * rate - target)^2 over 0 <= rate (<= max_rate), from rate 1,
-    in the metric in which a document weighs as many as its tokens: equal posteriors get equal rates.
+    in the metric in which a document weighs as many as its tokens: equal posteriors get equal rates. It ends at the
+    tolerance, where two steps change next to nothing (targets that can't be met), or after `steps`.
     """
     k, total = len(targets), float(sum(targets)) or 1.0
     t, p = F.col("tokens"), lambda i: F.get("posterior", F.lit(i))
@@ -69,7 +70,7 @@ def fit_rates(members: DataFrame, targets: list[float], max_rate: float | None =
     m = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
     rate = 1 / max(float(np.linalg.eigvalsh(m).max()), 1e-12)
     clip = lambda x: F.greatest(F.lit(0.0), x) if max_rate is None else F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), x))
-    table, past, beta, misfit = members.withColumn("x", F.lit(1.0)).withColumn("y", F.lit(1.0)), [], 1.0, []
+    table, past, beta, misfit, still = members.withColumn("x", F.lit(1.0)).withColumn("y", F.lit(1.0)), [], 1.0, [], 0
 
     def now() -> DataFrame:
         """The rates after the steps since the table was written."""
@@ -82,8 +83,9 @@ def fit_rates(members: DataFrame, targets: list[float], max_rate: float | None =
 
     for i in range(steps + 1):
         sums = now().agg(*(F.coalesce(F.sum(t * p(j) * F.col(c)), F.lit(0.0)).alias(f"{c}{j}") for c in "xy" for j in range(k))).first()
-        misfit = [(sums[f"x{j}"] - targets[j]) / total for j in range(k)]
-        if i == steps or max(map(abs, misfit), default=0) < tolerance:
+        before, misfit = misfit, [(sums[f"x{j}"] - targets[j]) / total for j in range(k)]
+        still = still + 1 if before and max(abs(a - b) for a, b in zip(before, misfit, strict=True)) < tolerance / 10 else 0
+        if i == steps or still == 2 or max(map(abs, misfit), default=0) < tolerance:
             break
         after = (1 + np.sqrt(1 + 4 * beta * beta)) / 2
         past.append(([float(rate * (sums[f"y{j}"] - targets[j]) / total) for j in range(k)], float((beta - 1) / after)))
