@@ -400,17 +400,21 @@ def test_language_model(spark, data, nasty, empty):
     assert language_model.score(empty, F.lit(False)).isEmpty()
 
 
-def test_language_model_probabilities_sum_to_one(spark):
-    """Texts of one word each after the same start: their probabilities, the end's, and an unknown word's."""
-    train = ["a b a c", "a b", "b b a", "c a b a"]
-    probe = ["a", "b", "c", "zzz", ""]
-    docs = spark.createDataFrame([*enumerate(train), *((10 + i, p) for i, p in enumerate(probe))], "doc_id long, text string")
-    got = {r.doc_id: r for r in language_model.score(docs, F.col("doc_id") >= 10).collect()}
-    # P(w | start) = P(w, end | start) / P(end | w): take the end's part out by texts that differ in it alone.
-    two = spark.createDataFrame([*enumerate(train), *((10 + i, f"{x} {y}".strip()) for i, (x, y) in enumerate([(x, y) for x in ("a", "zzz") for y in ("a", "b", "c", "zzz", "")]))], "doc_id long, text string")
-    t = {r.doc_id: r.score for r in language_model.score(two, F.col("doc_id") >= 10).collect()}
-    assert all(s < 0 for s in t.values())
-    assert 10 ** got[14].score < 1
+def test_language_model_probabilities_sum_to_one():
+    """Of the parent over the known words and the place of unknown ones, and of a context's restaurant."""
+    rng = np.random.default_rng(0)
+    count = rng.integers(1, 9, (5, 40)) * (rng.random((5, 40)) < 0.4)  # five contexts, forty words
+    d, key = 0.6, common.mixed(np.arange(200, dtype=np.uint64))
+    tables = language_model.seat(count.ravel(), np.full(200, 0.7), d, key, 1).reshape(5, 40)
+    assert ((tables <= count) & ((tables > 0) == (count > 0))).all()
+    t = tables.sum(0)
+    s = language_model.seat(t, np.full(40, 0.3), language_model.ROOT_DISCOUNT, key[:40], 2)
+    stats = {"sweep": 1, "v": 40, "t": t.sum(), "s": s.sum()}
+    parent = language_model._parent([np.append(t, 0), np.append(s, 0)], stats)  # last: an unknown word
+    assert parent.sum() == pytest.approx(1)
+    for c, m in zip(count, tables, strict=True):
+        p = (np.append(c - d * m, 0) + (language_model.STRENGTH + d * m.sum()) * parent) / (language_model.STRENGTH + c.sum())
+        assert p.sum() == pytest.approx(1) and (p > 0).all()
 
 
 def test_seating_follows_the_restaurant_rule():
