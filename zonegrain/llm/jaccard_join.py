@@ -3,9 +3,11 @@
 Documents are sets of word shingles. Tokens (shingle hashes) are ordered by class: those of one set only, those of a few
 sets (rare), those of many (frequent). Two sets that link share the first k tokens they have in common within prefixes of
 n - ceil(t n) + k tokens. So they share a rare token of the prefix for k = 1, or else every common token is frequent and
-they share two tokens of the prefix for k = 2: rare tokens are indexed one by one, frequent ones in pairs. Equal sets are
-one entry. A group of the index isn't expanded into pairs: each member is verified against a leader of the group, linked
-members are joined into components, and only members of a group that are still in different components are compared.
+they share two tokens of the prefix for k = 2: rare tokens are indexed one by one, frequent ones in pairs. An entry says how
+many tokens a set can still have in common from there on; with that and the sizes most pairs of a group fall out, and a
+group without a member that can be the smaller one of a pair falls out whole. Equal sets are one entry. A group of the
+index isn't expanded into pairs: each member is verified against a leader of the group, linked members are joined into
+components, and only members of a group that are still in different components are compared.
 
 Sets are shuffled in packed form: a row holds the tokens of many documents that belong to one range of tokens.
 """
@@ -218,7 +220,8 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sid[a]), pa.array(n[a].astype(np.int32)), pa.array([int((kind[x:y] == 0).sum()) for x, y in zip(a, b, strict=True)], pa.int32()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)), pa.array(flat))], names=["sid", "n", "n_rare", "tokens"])
 
 
-_KEYS = "key long, sid long, n int"
+#: rest: the tokens that the set has from the entry on; small: it can be the smaller (or equal) one of a linked pair.
+_KEYS = "key long, sid long, n int, rest int, small boolean"
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,11 +234,13 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if left <= 0:
                 continue
             keys = t[: min(n_rare, left)].view(np.uint64)
+            rest = len(t) - np.arange(len(keys))
             f = t[n_rare : max(n_rare, min(len(t), left + 1))].view(np.uint64)
             if len(f) > 1:
                 i, j = np.triu_indices(len(f), 1)
                 keys = np.concatenate([keys, common.mixed(f[i] * _COEFF[60] + f[j]) | np.uint64(1 << 48)])
-            out.append((keys.view(np.int64), sid, n))
+                rest = np.concatenate([rest, len(t) - n_rare - j + 1])
+            out.append((keys.view(np.int64), sid, n, rest))
             size += len(keys)
             if size > 500_000:
                 yield _key_rows(out)
@@ -245,7 +250,10 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _key_rows(out: list) -> pa.RecordBatch:
     m = [len(x[0]) for x in out]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(x[0] for x in out)])), pa.array(np.repeat([x[1] for x in out], m).astype(np.int64)), pa.array(np.repeat([x[2] for x in out], m).astype(np.int32))], names=["key", "sid", "n"])
+    sid, n = np.repeat([x[1] for x in out], m).astype(np.int64), np.repeat([x[2] for x in out], m).astype(np.int64)
+    rest = np.concatenate([np.zeros(0, np.int64), *(x[3] for x in out)])
+    small = rest * (100 + NUMERATOR) >= NUMERATOR * 2 * n
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(x[0] for x in out)])), pa.array(sid), pa.array(n.astype(np.int32)), pa.array(rest.astype(np.int32)), pa.array(small)], names=["key", "sid", "n", "rest", "small"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -281,27 +289,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked(keys: DataFrame, sets: DataFrame, rounds: int = LEADER_ROUNDS) -> DataFrame:
-    """(node, root) of all sets that link with another one, from the index keys (key, sid, n)."""
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * NUMERATOR) & (F.col(y) * 100 >= F.col(x) * NUMERATOR)
-    keys = common.saved(keys.join(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key"), "keys")
+    """(node, root) of all sets that link with another one, from the index keys (key, sid, n, rest, small)."""
+    n, m = F.col("n").cast("long"), F.col("m").cast("long")
+    can = (m * 100 >= n * NUMERATOR) & (n * 100 >= m * NUMERATOR) & (F.least("rest", "mrest") * (100 + NUMERATOR) >= (n + m) * NUMERATOR)
+    useful = keys.groupBy("key").agg(F.count("*").alias("c"), F.max("small").alias("some")).where("c > 1 and some").select("key")
+    keys = common.saved(keys.join(useful, "key").withColumn("root", F.col("sid")), "keys")
     links, roots = None, None
     for k in range(rounds + 1):
         if roots is not None:
             named = keys.drop("root").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-            mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+            mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("small").alias("some")).where("lo <> hi and some").select("key")
             keys = common.saved(named.join(mixed, "key"), "keys")  # what is settled is settled
-        else:
-            keys = keys.withColumn("root", F.col("sid"))
         if keys.isEmpty():
             break
+        # One of a linked pair is the smaller one: leaders, and one side of what is compared at the end, are such sets.
+        smaller = keys.where("small")
         if k < rounds:
             order = F.col("sid") if k == 0 else F.xxhash64("sid", F.lit(k))
-            leader = keys.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))).alias("l")).select("key", "l.*")
-            pairs = keys.join(leader, "key").where(F.col("root") != F.col("r"))
+            leader = smaller.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rest").alias("mrest"), F.col("root").alias("r"))).alias("l")).select("key", "l.*")
+            pairs = keys.join(leader, "key").where((F.col("root") != F.col("r")) & can)
         else:
-            other = keys.select("key", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
-            pairs = keys.join(other, "key").where((F.col("sid") < F.col("b")) & (F.col("root") != F.col("r")))
-        pairs = pairs.where(fits("n", "m")).select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
+            other = smaller.select("key", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rest").alias("mrest"), F.col("root").alias("r"))
+            pairs = keys.join(other, "key").where((F.col("root") != F.col("r")) & can & ((m < n) | (m == n) & (F.col("b") < F.col("sid"))))
+        pairs = pairs.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
         found = common.saved(verified(pairs, sets), "links")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
