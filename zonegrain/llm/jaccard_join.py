@@ -27,7 +27,9 @@ SHINGLE, NUMERATOR = 5, 75
 #: Sets that a rare token is in at most.
 RARE = 64
 #: Rounds of leaders before what is left is compared directly.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 4
+#: Entries of each set that meet leaders in the first round: they settle most groups, whose other entries then fall out.
+FIRST_KEYS = 8
 #: Tokens that a map task holds before it sends them on.
 CHUNK = 1_500_000
 
@@ -220,8 +222,8 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sid[a]), pa.array(n[a].astype(np.int32)), pa.array([int((kind[x:y] == 0).sum()) for x, y in zip(a, b, strict=True)], pa.int32()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)), pa.array(flat))], names=["sid", "n", "n_rare", "tokens"])
 
 
-#: rest: the tokens that the set has from the entry on; small: it can be the smaller (or equal) one of a linked pair.
-_KEYS = "key long, sid long, n int, rest int, small boolean"
+#: rest: the tokens that the set has from the entry on; small: it can be the smaller (or equal) one of a linked pair; nth: its place among the set's entries.
+_KEYS = "key long, sid long, n int, rest int, small boolean, nth int"
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +255,7 @@ def _key_rows(out: list) -> pa.RecordBatch:
     sid, n = np.repeat([x[1] for x in out], m).astype(np.int64), np.repeat([x[2] for x in out], m).astype(np.int64)
     rest = np.concatenate([np.zeros(0, np.int64), *(x[3] for x in out)])
     small = rest * (100 + NUMERATOR) >= NUMERATOR * 2 * n
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(x[0] for x in out)])), pa.array(sid), pa.array(n.astype(np.int32)), pa.array(rest.astype(np.int32)), pa.array(small)], names=["key", "sid", "n", "rest", "small"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(x[0] for x in out)])), pa.array(sid), pa.array(n.astype(np.int32)), pa.array(rest.astype(np.int32)), pa.array(small), pa.array(np.concatenate([np.zeros(0, np.int32), *(np.arange(x, dtype=np.int32) for x in m)]))], names=["key", "sid", "n", "rest", "small", "nth"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -289,7 +291,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked(keys: DataFrame, sets: DataFrame, rounds: int = LEADER_ROUNDS) -> DataFrame:
-    """(node, root) of all sets that link with another one, from the index keys (key, sid, n, rest, small)."""
+    """(node, root) of all sets that link with another one, from the index keys (key, sid, n, rest, small, nth)."""
     n, m = F.col("n").cast("long"), F.col("m").cast("long")
     can = (m * 100 >= n * NUMERATOR) & (n * 100 >= m * NUMERATOR) & (F.least("rest", "mrest") * (100 + NUMERATOR) >= (n + m) * NUMERATOR)
     useful = keys.groupBy("key").agg(F.count("*").alias("c"), F.max("small").alias("some")).where("c > 1 and some").select("key")
@@ -303,11 +305,12 @@ def linked(keys: DataFrame, sets: DataFrame, rounds: int = LEADER_ROUNDS) -> Dat
         if keys.isEmpty():
             break
         # One of a linked pair is the smaller one: leaders, and one side of what is compared at the end, are such sets.
-        smaller = keys.where("small")
+        tried = keys.where(F.col("nth") < FIRST_KEYS) if k == 0 else keys
+        smaller = tried.where("small")
         if k < rounds:
             order = F.col("sid") if k == 0 else F.xxhash64("sid", F.lit(k))
             leader = smaller.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rest").alias("mrest"), F.col("root").alias("r"))).alias("l")).select("key", "l.*")
-            pairs = keys.join(leader, "key").where((F.col("root") != F.col("r")) & can)
+            pairs = tried.join(leader, "key").where((F.col("root") != F.col("r")) & can)
         else:
             other = smaller.select("key", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rest").alias("mrest"), F.col("root").alias("r"))
             pairs = keys.join(other, "key").where((F.col("root") != F.col("r")) & can & ((m < n) | (m == n) & (F.col("b") < F.col("sid"))))
