@@ -31,7 +31,7 @@ LEADER_ROUNDS = 4
 #: Entries of each set that meet leaders in the first round: they settle most groups, whose other entries then fall out.
 FIRST_KEYS = 8
 #: Tokens that a map task holds before it sends them on.
-CHUNK = 1_500_000
+CHUNK = 800_000
 
 _COEFF = common.mixed(np.arange(101, 101 + 64, dtype=np.uint64)) | np.uint64(1)
 

@@ -23,7 +23,7 @@ from zonegrain.llm import common
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words, and parts of words, whose ids a worker keeps at most; beyond it the table starts again. It bounds memory, not the result.
-CACHE_WORDS, CACHE_PARTS = 600_000, 900_000
+CACHE_WORDS, CACHE_PARTS = 200_000, 350_000
 
 #: Code points at which str.split() and the tokenizer might not agree: such a text is encoded in one piece.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
