@@ -36,7 +36,8 @@ def components(points: DataFrame, moves: list[tuple[int, int, int]] = FACES) ->
         took = at.join(sent, ["sample", "id"]).select(*VOXEL, "id", F.least("label", "offer").alias("new"), F.col("label").alias("old"))
         beyond = took.select("sample", F.col("id").alias("new"), F.col("new").alias("far"))
         took = took.join(beyond, ["sample", "new"]).select(*VOXEL, "id", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("old")).alias("moved")).checkpoint()
-        at = took.drop("moved")
+        # A checkpoint keeps the size that the plan expected, a product that joins raise to a power each round; its digits would fill the driver.
+        at = DataFrame(spark._jsparkSession.createDataFrame(took.drop("moved")._jdf.toJavaRDD(), took.drop("moved")._jdf.schema()), spark)
         if took.where("moved").isEmpty():
             return at.drop("id")
 
