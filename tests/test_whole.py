@@ -42,3 +42,13 @@ def test_components_of_all_layers(spark, volumes):
     noise = np.where(np.random.default_rng(0).random((30, 8, 8)) < 0.12, 200, 100)
     got = {r["sample"]: (r.components, r.voxels) for r in registry.QUERIES["components_whole"](spark, volumes({0: joined, 1: noise})).collect()}
     assert got == {0: (2, 39), 1: (pieces(noise > 175), (noise > 175).sum())}
+
+
+def test_rotation_of_all_layers(spark, volumes):
+    """A quarter turn of sample 30, against numpy."""
+    a = np.random.default_rng(1).integers(0, 256, (15, 8, 8))
+    got = np.full(a.shape, -1.0)
+    for r in registry.QUERIES["rotate_volume_whole"](spark, volumes({30: a})).collect():
+        got[r.z, r.y, r.x] = r.val
+    turned = [np.rot90(a, k, (1, 2)) for k in (1, 3)]
+    assert any(np.allclose(got, t) for t in turned)

@@ -95,3 +95,4 @@ _add("rotate_volume", lambda s, d: _tidy(V.rotated(T.voxels(s, d).where("z < 6")
 P AS (SELECT sample, y, x, z, round(cy + cos(a) * (y - cy) + sin(a) * (x - cx), 9) AS fy, round(cx - sin(a) * (y - cy) + cos(a) * (x - cx), 9) AS fx FROM W JOIN K USING (sample)),
 N AS (SELECT sample, y, x, z, (floor(fy) + dy)::INT AS ny, (floor(fx) + dx)::INT AS nx, CASE dy WHEN 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END * CASE dx WHEN 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END AS w FROM P, range(0, 2) t(dy), range(0, 2) u(dx))
 SELECT N.sample, N.y, N.x, N.z, round(sum(w * coalesce(W.val, 0)), 6) + 0.0 AS val FROM N LEFT JOIN W ON N.sample = W.sample AND ny = W.y AND nx = W.x AND N.z = W.z WHERE w > 0 GROUP BY ALL"""))
+_add("rotate_volume_whole", lambda s, d: _tidy(V.rotated(T.voxels(s, d), F.col("sample") * 3.0, 4), "val"), ORACLE["rotate_volume"].replace("SELECT * FROM V WHERE z < 6", "SELECT * FROM V"))
