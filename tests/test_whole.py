@@ -52,3 +52,20 @@ def test_rotation_of_all_layers(spark, volumes):
         got[r.z, r.y, r.x] = r.val
     turned = [np.rot90(a, k, (1, 2)) for k in (1, 3)]
     assert any(np.allclose(got, t) for t in turned)
+
+
+def test_forest_of_all_groups(spark, volumes):
+    """Every row is scored by trees of other groups: by the class of its features, whatever its own group's labels say."""
+    bright = np.arange(17 * 8) % 2 == 1
+    group = np.arange(17 * 8) % 17
+    y = np.where(group == 16, ~bright, bright)
+    layers = np.where(bright, 200, 50)[:, None, None] * np.ones((1, 8, 8))
+    d = volumes({0: layers})
+    t = pd.read_parquet(f"{d}/embeddings.parquet")
+    t["label"] = np.where(y, 2, 0).astype(np.int32)
+    t.to_parquet(f"{d}/embeddings.parquet")
+    got = registry.QUERIES["forest_logo"](spark, d).toPandas().sort_values("row_id", ignore_index=True)
+    assert got["row_id"].tolist() == list(range(17 * 8))
+    assert (got["y"] == y).all()
+    assert ((got["probability"] > 0.5) == bright).all()
+    assert (got["probability"][group == 16] == bright[group == 16]).all()

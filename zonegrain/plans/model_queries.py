@@ -133,7 +133,7 @@ _add("angle_search", _angle_search)
 
 
 def _forest(s, d):
-    return learn.forest_logo(_fe3(s, d).where("group_id < 4"), 3, trees=5).groupBy("group_id").agg(F.count("*").alias("n"))
+    return _tidy(learn.forest_logo(_fe3(s, d), 3).select("row_id", "y", "probability"), "probability", digits=5)
 
 
 _add("forest_logo", _forest)
