@@ -22,10 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_mixing": mixing.op3_mixing,
-    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_url_rules": url_rules.ORACLE,
-    "op6_toxicity": toxicity.op6_toxicity,
-    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
