@@ -80,7 +80,10 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
 def survivors(docs: DataFrame) -> DataFrame:
     """One row of docs for each text, that with the largest doc_id, with its columns as they are. A row without doc_id stays if its text has no row with one."""
     found = common.saved(deduplicate(docs).select("doc_id", "keep_id", "kept", "text_sha256"), "deduplicated")
-    left = common.without(docs, found.where("doc_id <> keep_id"))
+    # By id and text: a doc_id may come again with a text of its own.
+    lost = found.where("doc_id <> keep_id").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__lost")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.sha2(common.text_column(docs), 256) == F.col("__lost"))
+    left = docs.join(lost, same, "left_anti")
     # Rows that repeat the doc_id as well, or have none: one of each text stays.
     repeated = found.where("doc_id <=> keep_id and not kept or doc_id is null")
     if repeated.isEmpty():
