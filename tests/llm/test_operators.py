@@ -76,13 +76,15 @@ def test_packing_round_trip(nasty, empty):
     assert packing.pack(empty).isEmpty()
 
 
-def test_word_encoder_agrees_with_the_tokenizer():
-    enc = packing.WordEncoder(packing.tokenizer_path(), words=500, parts=300)
+def test_encoder_agrees_with_the_tokenizer():
+    import pyarrow as pa
+
+    enc = packing.Encoder(packing.tokenizers(packing.TOKENIZER), limit=300)
     rng = random.Random(1)
-    letters = "ab'stLVEdMÉß²½İΣσ_.,!#0９ \n\t\xa0漢<|>́\x1c"
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(4000)] + ["a<|endoftext|>b", ""]
+    letters = "ab'stLVEdMÉß²½İΣσ×÷éœ_.,!#0９ \n\t\xa0漢<|>́\x1c"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(4000)] + ["a<|endoftext|>b", "", "<|ENDOFTEXT|>", "don't stop 12ab!!"]
     for i in range(0, len(texts), 200):
-        ids, counts = enc.encode(texts[i : i + 200])
+        ids, counts = enc.encode(*common.string_buffers(pa.array(texts[i : i + 200])))
         want = [x.ids for x in enc.tokenizer.encode_batch(texts[i : i + 200], add_special_tokens=False)]
         assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [j for x in want for j in x]
 

@@ -8,10 +8,8 @@ record on both sides. Only the last sequence is short. No shuffle moves text or
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +20,20 @@ from pyspark.sql import functions as F
 from zonegrain.llm import common
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words, and parts of words, whose ids a worker keeps at most; beyond it the table starts again. It bounds memory, not the result.
-CACHE_WORDS, CACHE_PARTS = 200_000, 350_000
-
-#: Code points at which str.split() and the tokenizer might not agree: such a text is encoded in one piece.
-_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Words of Latin letters, for which lower case, letters and numbers are the same here and in the tokenizer.
-_PLAIN = re.compile("(?!.*<\\|)[!-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]+")
-#: How the tokenizer parts a word.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Units whose ids a task keeps at most; beyond it the table starts again. It bounds memory, not the result.
+CACHE_UNITS = 300_000
+#: Bytes of text that are encoded together: a unit that repeats inside is looked up once.
+SLICE_BYTES = 4 << 20
+
+# Bytes by kind. A word of letters, digits and marks alone is parted where the tokenizer parts it: runs of letters, single
+# digits, runs of marks. A word with any other byte (an apostrophe, a control, a letter beyond Latin-1) is one unit.
+_SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[33:127] = _MARK
+_KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[39] = _ODD
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -41,121 +43,133 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class _Table:
-    """Token ids by string."""
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """Pieces of texts whose ids laid end to end are the ids of the texts, how many each text has, and which are odd words.
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-
-    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        k, n, m = len(self.known), len(keys), len(ids)
-        while self.used + m > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while k + n > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-        self.flat[self.used : self.used + m] = ids
-        self.at[k : k + n] = self.used + np.cumsum(sizes) - sizes
-        self.size[k : k + n] = sizes
-        self.known.update(zip(keys, range(k, k + n), strict=True))
-        self.used += m
-
-    def get(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of known strings end to end, and how many each has."""
-        k = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-        size = self.size[k]
-        ends = np.cumsum(size, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.arange(total) + np.repeat(self.at[k] - (ends - size), size)], size
-
-
-class WordEncoder:
-    """Ids of whole texts by way of ids of their words.
-
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of its words in turn; it
-    parts a word into letters, digits and marks and never joins across those. Each distinct part is encoded once.
+    The tokenizer drops white space and never joins across it, nor across letters, digits and marks. Texts lie at
+    offsets[i]:offsets[i+1] of data.
     """
-
-    def __init__(self, path: str, words: int = CACHE_WORDS, parts: int = CACHE_PARTS):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.limits = Tokenizer.from_file(path), (words, parts)
-        self.words, self.parts = _Table(), _Table()
+    n = len(data)
+    if not n:
+        return pa.array([], pa.string()), np.zeros(len(offsets) - 1, np.int64), np.zeros(0, bool)
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)  # letters of Latin-1, but for its times and division signs
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    kind[np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))] = _ODD  # a special token may begin here
+    filled = kind != _SPACE
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    begins = filled.copy()
+    begins[1:] &= ~filled[:-1] | edge[1:n]
+    part = begins.copy()
+    part[1:] |= filled[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+    word, starts = np.flatnonzero(begins), np.flatnonzero(part)
+    odd_word = np.zeros(len(word), bool)
+    odd_word[np.searchsorted(word, np.flatnonzero(kind == _ODD), "right") - 1] = True
+    odd = odd_word[np.searchsorted(word, starts, "right") - 1] if odd_word.any() else np.zeros(len(starts), bool)
+    keep = ~odd | begins[starts]
+    starts, odd = starts[keep], odd[keep]
+    counts = np.diff(np.searchsorted(starts, offsets))
+    place = np.cumsum(filled) - 1
+    ends = np.append(place[starts[1:]], int(filled.sum())) if len(starts) else np.zeros(0, np.int64)
+    dense = data[filled]
+    low = common.LOWER[dense]
+    if odd.any():
+        low = np.where(np.repeat(odd, np.diff(ends, prepend=0)), dense, low)
+    upto = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(upto), pa.py_buffer(low)), counts, odd
+
+
+class Encoder:
+    """Ids of whole texts by way of ids of their units. Each distinct unit is encoded once, as long as the table holds it."""
+
+    def __init__(self, tokenizers: tuple, limit: int = CACHE_UNITS):
+        (self.tokenizer, self.plain), self.limit = tokenizers, limit
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._clear()
 
-    def _directly(self, table: _Table, keys: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch(keys, add_special_tokens=False)]
-        table.add(keys, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
-
-    def _add_parts(self, new: list[str]) -> None:
-        """Parts are encoded many at a time: each ends with an id that can end a word."""
-        for i in range(0, len(new), 5000):
-            keys = new[i : i + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(keys), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(keys) and (not len(ends) or ends[-1] == len(ids)):
-                self.parts.add(keys, ids, np.diff(ends, prepend=0))
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _store(self, keys: list[str], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat, self.size = np.concatenate([self.flat, *ids]), np.concatenate([self.size, sizes])
+
+    def _whole(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+
+    def _learn(self, plain: list[str], odd: list[str]) -> None:
+        """Plain units are encoded many at a time: each ends with an id that can end a word."""
+        ids, sizes = [], []
+        for i in range(0, len(plain), 250):
+            keys = plain[i : i + 250]
+            got = np.array(self.plain.encode_batch_fast([" ".join(keys)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[got]) + 1
+            if len(ends) == len(keys) and ends[-1] == len(got):
+                got = got, np.diff(ends, prepend=0)
             else:
-                self._directly(self.parts, keys)
-
-    def _add_words(self, new: list[str]) -> None:
-        plain, other = [], []
-        for w in new:
-            (plain if _PLAIN.fullmatch(w) else other).append(w)
-        if other:
-            self._directly(self.words, other)
-        split = [[w.lower()] if w.isalpha() else _PARTS.findall(w.lower()) for w in plain]
-        flat = [x for parts in split for x in parts]
-        if len(self.parts.known) > self.limits[1]:
-            self.parts = _Table()
-        self._add_parts([x for x in set(flat) if x not in self.parts.known])
-        ids, sizes = self.parts.get(flat)
-        upto = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, split)])]
-        self.words.add(plain, ids, np.diff(upto))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+                got = self._whole(keys)
+            ids.append(got[0])
+            sizes.append(got[1])
+        if odd:
+            got = self._whole(odd)
+            ids.append(got[0])
+            sizes.append(got[1])
+        if ids:
+            self._store([*plain, *odd], ids, sizes)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has."""
-        if len(self.words.known) > self.limits[0]:
-            self.words = _Table()
-        odd = lambda t: any(c in t for c in _SEPARATORS) if t.isascii() else _ODD.search(t)
-        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if odd(t)}
-        split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        flat = list(chain.from_iterable(split))
-        self._add_words([w for w in set(flat) if w not in self.words.known])
-        ids, sizes = self.words.get(flat)
-        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.cumsum([0, *map(len, split)])]
-        if not whole:
-            return ids, np.diff(upto)
-        parts = [np.array(whole[i], np.uint32) if i in whole else ids[upto[i] : upto[i + 1]] for i in range(len(texts))]
-        return np.concatenate(parts), np.array([len(p) for p in parts])
+        flat, counts, odd = units(data, offsets)
+        coded = flat.dictionary_encode()
+        keys, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        if len(self.known) > self.limit:
+            self._clear()
+        is_odd = np.zeros(len(keys), bool)
+        is_odd[at[odd]] = True
+        new = [i for i, k in enumerate(keys) if k not in self.known]
+        self._learn([keys[i] for i in new if not is_odd[i]], [keys[i] for i in new if is_odd[i]])
+        row = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[at]
+        size = self.size[row]
+        ends = np.cumsum(size)
+        ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.at[row] - (ends - size), size)]
+        return ids, np.diff(np.concatenate([[0], ends])[np.cumsum([0, *counts])])
+
 
+_TOKENIZERS: dict[str, tuple] = {}
 
-_ENCODERS: dict[str, WordEncoder] = {}
 
+def tokenizers(name: str) -> tuple:
+    """The tokenizer, and the same model for plain units alone; one pair for each worker process. Tables of units are a task's own and end with it."""
+    if name not in _TOKENIZERS:
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-def encoder(name: str) -> WordEncoder:
-    """One for each worker process."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = WordEncoder(name if "/" in name else tokenizer_path(name))
-    return _ENCODERS[name]
+        whole, plain = (Tokenizer.from_file(name if "/" in name else tokenizer_path(name)) for _ in range(2))
+        plain.normalizer = normalizers.Lowercase()
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        _TOKENIZERS[name] = whole, plain
+    return _TOKENIZERS[name]
 
 
 TOKENS = "doc_id long, part int, part_start long, n_tokens long, ids binary"
 
 
-def tokenise(tokenizer: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def tokenise(name: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow over (doc_id, text): one row a document with its ids (little-endian, 4 bytes each) and the tokens before it in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, before = Encoder(tokenizers(name)), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column("text")
-            _, off = common.string_buffers(texts)
-            for a, b in common.slices(off, 2 * common.SLICE_BYTES):
-                ids, counts = enc.encode([x or "" for x in texts.slice(a, b - a).to_pylist()])
+            data, off = common.string_buffers(batch.column("text"))
+            for a, b in common.slices(off, SLICE_BYTES):
+                ids, counts = enc.encode(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 sizes = counts + 1
                 out = np.full(int(sizes.sum()), end_id, "<u4")
                 keep = np.ones(len(out), bool)
@@ -192,7 +206,7 @@ def cut(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return run
 
 
-def pack(docs: DataFrame, length: int = 4096, tokenizer: str = TOKENIZER, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, length: int = 4096, name: str = TOKENIZER, end_id: int = 2) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, is_boundary (its document is cut).
 
     A null or empty text has the end id alone. Repeated rows and repeated doc_ids are documents of their own. A very long
@@ -201,7 +215,7 @@ def pack(docs: DataFrame, length: int = 4096, tokenizer: str = TOKENIZER, end_id
     """
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
-    tokens = common.saved(plain.mapInArrow(tokenise(tokenizer, end_id), TOKENS), "tokens", "zstd")
+    tokens = common.saved(plain.mapInArrow(tokenise(name, end_id), TOKENS), "tokens", "zstd")
     # One number a partition: as many as the scan has splits.
     totals = sorted((r[0], r[1]) for r in tokens.groupBy("part").agg(F.sum("n_tokens")).collect())
     begins = np.cumsum([0, *(t for _, t in totals)])[:-1].tolist()
