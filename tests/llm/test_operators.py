@@ -99,7 +99,7 @@ def test_mixing_matches_targets(spark, nasty, empty):
     t = spark.createDataFrame([(i, int(tokens[i]), p[i].tolist()) for i in range(200)], "doc_id long, tokens long, posterior array<double>")
     have = (tokens[:, None] * p).sum(0)
     targets = (have * [0.5, 1.5, 0.8]).tolist()
-    rated, misfit = mixing.fit_rates(t, targets)
+    rated, misfit = mixing.fit_rates(t, targets, tolerance=1e-5)
     x = np.array([r.rate for r in rated.orderBy("doc_id").collect()])
     assert (x >= 0).all() and max(map(abs, misfit)) < 1e-4
     assert (tokens[:, None] * p * x[:, None]).sum(0) == pytest.approx(targets, rel=1e-3)
@@ -113,10 +113,39 @@ def test_mixing_matches_targets(spark, nasty, empty):
     assert capped.where("rate > 1 or rate < 0").isEmpty()
 
 
+def test_posteriors_against_numpy(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labelled = mixing.by_language(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    names = sorted(mixing.TARGETS)
+    rows = {r.doc_id: r for r in docs.collect()}
+    split = {i: [w for w in re.split("[\x20\x09-\x0d]+", r.text or "") if w] for i, r in rows.items()}
+    vocab = sorted({w for x in split.values() for w in x})
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in vocab], "w string").select("w", mixing._bucket(F.col("w")).alias("b")).collect()}
+    count, docs_by = defaultdict(lambda: np.zeros(len(names))), np.zeros(len(names))
+    for r in labelled.collect():
+        docs_by[names.index(r.domain)] += 1
+        for w in split[r.doc_id]:
+            count[bucket[w]][names.index(r.domain)] += 1
+    total = sum(count.values())
+    like = {b: np.log((c + 0.5) / (total + 0.5 * mixing.BUCKETS)) for b, c in count.items()}
+    for r in mixing.mix(docs, labelled, mixing.TARGETS).collect():
+        known = [like[bucket[w]] for w in split[r.doc_id] if bucket[w] in like]
+        z = np.log((docs_by + 1) / (docs_by.sum() + len(names))) + sum(known, np.zeros(len(names))) / math.sqrt(max(1, len(known)))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert [r.posterior[d] for d in names] == pytest.approx(p.tolist(), abs=1e-9) and r.tokens == len(split[r.doc_id])
+        assert r.misfit < 1e-2
+
+
+def test_unmet_targets_are_told(spark):
+    t = spark.createDataFrame([(1, 10, [1.0, 0.0])], "doc_id long, tokens long, posterior array<double>")
+    _, misfit = mixing.fit_rates(t, [5.0, 5.0])
+    assert misfit == pytest.approx([0, -0.5], abs=1e-3)
+
+
 def test_mixing_nasty(spark, nasty, empty):
     labelled = nasty.select("doc_id", F.col("lang").alias("domain"))
     got = mixing.mix(nasty, labelled, mixing.TARGETS).collect()
-    assert len(got) == nasty.select("doc_id").distinct().count()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in nasty.select("doc_id").collect())
     assert all(abs(sum(r.posterior.values()) - 1) < 1e-9 and r.rate >= 0 for r in got)
     assert mixing.chosen(nasty, mixing.mix(nasty, labelled, mixing.TARGETS, 1.0)).columns == nasty.columns
     assert mixing.mix(empty, labelled, mixing.TARGETS).isEmpty()
@@ -248,8 +277,9 @@ def brute_join(rows):
     return Counter((doc, len(sets[i]), least.get(find(i)) if sets[i] else doc) for i, (doc, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("rare,seed", [(64, 1), (2, 2), (1, 3)])
-def test_jaccard_join(spark, rare, seed):
+@pytest.mark.parametrize("rare,seed,paired,bits", [(64, 1, 512, 64), (2, 2, 512, 64), (1, 3, 24, 64), (2, 4, 0, 64), (2, 5, 30, 6)])
+def test_jaccard_join(spark, rare, seed, paired, bits):
+    """paired 0: no pairs of tokens; bits 6: nearly all sets share their signature with another one."""
     rng = random.Random(seed)
     vocab = [f"v{i}" for i in range(300)]
     draw = lambda n: [rng.choice(vocab) for _ in range(n)]
@@ -269,7 +299,7 @@ def test_jaccard_join(spark, rare, seed):
         rows.append((1000 - i, " ".join(w)))
     rows += [rows[3], (5, None), (6, ""), (7, "a b"), (8, "A b"), (9, "a  b\n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs, rare=rare).collect())
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs, rare=rare, paired=paired, bits=bits).collect())
     assert got == brute_join(rows)
 
 
@@ -280,6 +310,21 @@ def test_jaccard_join_nasty(nasty, empty):
     assert jaccard_join.join(empty).isEmpty()
 
 
+def test_jaccard_join_of_long_texts(spark):
+    """70 near copies of a text of 50,000 different shingles, and a text that shares half of it."""
+    base = [f"w{i}" for i in range(50_000)]
+    rows = [(100 + i, " ".join([*base[: 700 * i], "x", *base[700 * i + 1 :]])) for i in range(70)] + [(5, " ".join([*base[:25_000], *(f"y{i}" for i in range(25_000))]))]
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: 5 if i == 5 else 100 for i, _ in rows}
+
+
+def test_representatives(spark):
+    copy = " ".join(f"c{i}" for i in range(40))
+    rows = [(5, copy), (5, "quite another text of its own kind"), (7, copy + " more"), (None, copy), (None, "alone with no id"), (3, None), (3, None), (5, copy), (9, "ends with a b c d"), (9, "ends with a b c d")]
+    left = jaccard_join.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, left.collect())) == Counter([(5, copy), (5, rows[1][1]), (None, "alone with no id"), (3, None), (3, None), (9, "ends with a b c d")])
+
+
 def test_components(spark):
     rng = random.Random(0)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]

@@ -21,9 +21,11 @@ SLICE_BYTES = 1 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a new local one where it is unset)."""
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a new local one for a local master alone."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -49,15 +51,38 @@ def text_column(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
-#: Ids up to this many bytes (16 each) are broadcast; beyond it a shuffled join does the same.
+#: Rows to drop, up to this many bytes (64 each), are broadcast; beyond it a shuffled join does the same.
 BROADCAST_BYTES = 32 << 20
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't among the dropped ones."""
-    dropped = saved(dropped.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "dropped")
-    small = dropped.count() * 16 <= BROADCAST_BYTES
-    return docs.join(F.broadcast(dropped) if small else dropped, "doc_id", "left_anti").select(*docs.columns)
+def text_keys(text: Column) -> list[Column]:
+    """128 bits that tell a text from the others under its doc_id."""
+    return [F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit(1), text).alias("text_b")]
+
+
+def _among(docs: DataFrame, rows: DataFrame, keys: list[Column], how: str) -> DataFrame:
+    """docs joined with rows (doc_id, then a column for each key): by id and text, as a doc_id may come again with another text."""
+    names = [f"__k{i}" for i in range(len(keys) + 1)]
+    rows = saved(rows.toDF(*names).distinct(), "rows")
+    same = docs["doc_id"].cast("long").eqNullSafe(rows["__k0"])
+    for name, key in zip(names[1:], keys, strict=True):
+        same &= key == rows[name]
+    small = rows.count() * 64 <= BROADCAST_BYTES
+    return docs.join(F.broadcast(rows) if small else rows, same, how)
+
+
+def without(docs: DataFrame, lost: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows of docs that aren't among the lost ones."""
+    return _among(docs, lost, keys, "left_anti")
+
+
+def once(docs: DataFrame, repeated: DataFrame, keys: list[Column]) -> DataFrame:
+    """docs with one row of each doc_id and text that are among the repeated ones: any one, where other columns differ."""
+    if repeated.isEmpty():
+        return docs
+    again = _among(docs, repeated, keys, "left_semi")
+    one = again.groupBy("doc_id", *[k.alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.any_value(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return without(docs, repeated, keys).unionByName(one)
 
 
 # --- words in numpy ---------------------------------------------------------------------------------------------------

@@ -79,25 +79,11 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
 
 def survivors(docs: DataFrame) -> DataFrame:
     """One row of docs for each text, that with the largest doc_id, with its columns as they are. A row without doc_id stays if its text has no row with one."""
-    found = common.saved(deduplicate(docs).select("doc_id", "keep_id", "kept", "text_sha256"), "deduplicated")
-    # By id and text: a doc_id may come again with a text of its own.
-    lost = found.where("doc_id <> keep_id").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__lost")).distinct()
-    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.sha2(common.text_column(docs), 256) == F.col("__lost"))
-    left = docs.join(lost, same, "left_anti")
+    found = common.saved(deduplicate(docs).select("doc_id", "text_sha256", "keep_id", "kept"), "deduplicated")
+    key = [F.sha2(common.text_column(docs), 256)]
+    left = common.without(docs, found.where("not (doc_id <=> keep_id)").select("doc_id", "text_sha256"), key)
     # Rows that repeat the doc_id as well, or have none: one of each text stays.
-    repeated = found.where("doc_id <=> keep_id and not kept or doc_id is null")
-    if repeated.isEmpty():
-        return left
-    ids = repeated.where("doc_id is not null").select("doc_id").distinct()
-    again = left.join(ids, "doc_id", "left_semi").unionByName(_of_texts(left.where("doc_id is null"), found.where("doc_id is null and kept")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", common.text_column(again)).orderBy(F.lit(1)))
-    once = again.withColumn("__n", nth).where("__n = 1").select(*docs.columns)
-    return left.where("doc_id is not null").join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
-
-
-def _of_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    texts = found.select(F.col("text_sha256").alias("__sha")).distinct()
-    return docs.withColumn("__sha", F.sha2(common.text_column(docs), 256)).join(texts, "__sha", "left_semi").select(*docs.columns)
+    return common.once(left, found.where("doc_id <=> keep_id and not kept").select("doc_id", "text_sha256"), key)
 
 
 def _empty(spark: SparkSession) -> DataFrame:

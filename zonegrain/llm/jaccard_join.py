@@ -3,11 +3,16 @@
 Documents are sets of word shingles. Tokens (shingle hashes) are ordered by class: those of one set only, those of a few
 sets (rare), those of many (frequent). Two sets that link share the first k tokens they have in common within prefixes of
 n - ceil(t n) + k tokens. So they share a rare token of the prefix for k = 1, or else every common token is frequent and
-they share two tokens of the prefix for k = 2: rare tokens are indexed one by one, frequent ones in pairs. An entry says how
-many tokens a set can still have in common from there on; with that and the sizes most pairs of a group fall out, and a
-group without a member that can be the smaller one of a pair falls out whole. Equal sets are one entry. A group of the
-index isn't expanded into pairs: each member is verified against a leader of the group, linked members are joined into
-components, and only members of a group that are still in different components are compared.
+they share two tokens of the prefix for k = 2: rare tokens are indexed one by one, frequent ones in pairs. A long set has
+too many pairs; it is indexed by the frequent tokens of its prefix for k = 1, and sets near the limit in both ways. An entry
+says how many tokens a set can still have in common from there on; with that and the sizes most pairs of a group fall out,
+and a group without a member that can be the smaller one of a pair falls out whole. Equal sets are one entry.
+
+A group of the index isn't expanded into pairs. In a round each set is verified against one leader of one of its groups, and
+what links is joined into components; a group within one component is settled. When leaders find next to nothing new, the
+groups that are left are gone through: leaders of their rarest components meet all other members and leave the group, more leaders
+each time, until no group has two components. Jaccard distances obey the triangle inequality, so two sets whose
+distances from one leader differ by more than a link's are not compared.
 
 Sets are shuffled in packed form: a row holds the tokens of many documents that belong to one range of tokens.
 """
@@ -26,10 +31,14 @@ from zonegrain.llm import common
 SHINGLE, NUMERATOR = 5, 75
 #: Sets that a rare token is in at most.
 RARE = 64
-#: Rounds of leaders before what is left is compared directly.
-LEADER_ROUNDS = 4
-#: Entries of each set that meet leaders in the first round: they settle most groups, whose other entries then fall out.
-FIRST_KEYS = 8
+#: Shingles of a set that is indexed by pairs of frequent tokens at most; beyond it by single ones.
+PAIRED = 192
+#: Links that a round must find for each set that isn't settled, for another round with one leader a set; and the leaders of a group in the rounds after that, as powers.
+WORTH, GROWTH = 0.1, 4
+#: Sets that share a 64-bit signature with another one and are told by a second one: at most (among 10^11 sets 300 are expected).
+CLASHES = 100_000
+#: Shingles that a range of tokens has at most, about.
+RANGE = 4_000_000
 #: Tokens that a map task holds before it sends them on.
 CHUNK = 800_000
 
@@ -70,14 +79,23 @@ def _signatures(tokens: np.ndarray, counts: np.ndarray, salt: int) -> np.ndarray
     return common.mixed(upto[ends] - upto[ends - counts] + counts.astype(np.uint64)).view(np.int64)
 
 
-_DOCS = "doc_id long, n_shingles long, sid long, sid2 long"
+def _named(tokens: np.ndarray, counts: np.ndarray, bits: int, clashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The name of each set: its signature, or the second one where the first stands for several sets; and the second one."""
+    sid, sid2 = _signatures(tokens, counts, 50), _signatures(tokens, counts, 51)
+    if bits < 64:
+        sid = sid & np.int64((1 << bits) - 1)
+    return (np.where(np.isin(sid, clashes), sid2, sid) if len(clashes) else sid), sid2
+
+
+_DOCS = "doc_id long, text_a long, text_b long, n_shingles long, sid long, sid2 long"
 
 
-def _describe(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _describe(size: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, tokens, counts in shingles(batch.column("text"), size):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(counts), pa.array(_signatures(tokens, counts, 50)), pa.array(_signatures(tokens, counts, 51))], names=["doc_id", "n_shingles", "sid", "sid2"])
+                own = [batch.column(c).slice(a, b - a) for c in ("doc_id", "text_a", "text_b")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(counts), *map(pa.array, _named(tokens, counts, bits, np.zeros(0, np.int64)))], names=[x.split()[0] for x in _DOCS.split(", ")])
 
     return run
 
@@ -118,7 +136,7 @@ def _rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.binary())], names=["part", "kind", "payload"])
 
 
-def _send(size: int, rare: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _send(size: int, rare: int, parts: int, bits: int, clashes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Tokens of each distinct set by range of tokens. A token of more than `rare` sets of a chunk is known to be frequent: only a mark goes to its range, so that no range gets more than `rare` sets of a token from a chunk."""
 
     def flush(held: list, chunk: int) -> Iterator[pa.RecordBatch]:
@@ -141,7 +159,7 @@ def _send(size: int, rare: int, parts: int) -> Callable[[Iterator[pa.RecordBatch
         held, total, sent, chunk = [], 0, set(), 0
         for batch in batches:
             for _, _, tokens, counts in shingles(batch.column("text"), size):
-                sid = _signatures(tokens, counts, 50)
+                sid, _ = _named(tokens, counts, bits, clashes)
                 new = np.zeros(len(sid), bool)
                 for i, s in enumerate(sid.tolist()):
                     if counts[i] and s not in sent:
@@ -222,48 +240,56 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sid[a]), pa.array(n[a].astype(np.int32)), pa.array([int((kind[x:y] == 0).sum()) for x, y in zip(a, b, strict=True)], pa.int32()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)), pa.array(flat))], names=["sid", "n", "n_rare", "tokens"])
 
 
-#: rest: the tokens that the set has from the entry on; small: it can be the smaller (or equal) one of a linked pair; nth: its place among the set's entries.
-_KEYS = "key long, sid long, n int, rest int, small boolean, nth int"
+#: rest: the tokens that the set has from the entry on; small: it can be the smaller (or equal) one of a linked pair.
+_KEYS = "key long, sid long, n int, rest int, small boolean"
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rare tokens of the prefix one by one, frequent ones in pairs."""
-    for batch in batches:
-        out, size = [], 0
-        for sid, n, n_rare, tokens in zip(batch.column("sid").to_pylist(), batch.column("n").to_pylist(), batch.column("n_rare").to_pylist(), batch.column("tokens"), strict=True):
-            t = tokens.values.to_numpy()
-            left = n + (-NUMERATOR * n // 100) + 1 - (n - len(t))  # what the tokens of this set alone leave of the prefix
-            if left <= 0:
-                continue
-            keys = t[: min(n_rare, left)].view(np.uint64)
-            rest = len(t) - np.arange(len(keys))
-            f = t[n_rare : max(n_rare, min(len(t), left + 1))].view(np.uint64)
-            if len(f) > 1:
-                i, j = np.triu_indices(len(f), 1)
-                keys = np.concatenate([keys, common.mixed(f[i] * _COEFF[60] + f[j]) | np.uint64(1 << 48)])
-                rest = np.concatenate([rest, len(t) - n_rare - j + 1])
-            out.append((keys.view(np.int64), sid, n, rest))
-            size += len(keys)
-            if size > 500_000:
-                yield _key_rows(out)
-                out, size = [], 0
-        yield _key_rows(out)
+def _index(paired: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rare tokens of the prefix one by one, frequent ones in pairs up to `paired` shingles; one by one for sets that can link with a larger set than that."""
+
+    def entries(n: int, n_rare: int, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left = n + (-NUMERATOR * n // 100) + 1 - (n - len(t))  # what the tokens of this set alone leave of the prefix
+        if left <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        single = n * 100 > paired * NUMERATOR
+        keys = t[: left if single else min(n_rare, left)].view(np.uint64)
+        rest = len(t) - np.arange(len(keys))
+        f = t[n_rare : max(n_rare, min(len(t), left + 1))].view(np.uint64)
+        if n <= paired and len(f) > 1:
+            i, j = np.triu_indices(len(f), 1)
+            keys = np.concatenate([keys, common.mixed(f[i] * _COEFF[60] + f[j]) | np.uint64(1 << 48)])
+            rest = np.concatenate([rest, len(t) - n_rare - j + 1])
+        return keys, rest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, size = [], 0
+            for sid, n, n_rare, tokens in zip(batch.column("sid").to_pylist(), batch.column("n").to_pylist(), batch.column("n_rare").to_pylist(), batch.column("tokens"), strict=True):
+                keys, rest = entries(n, n_rare, tokens.values.to_numpy())
+                out.append((keys.view(np.int64), sid, n, rest))
+                size += len(keys)
+                if size > 500_000:
+                    yield _key_rows(out)
+                    out, size = [], 0
+            yield _key_rows(out)
+
+    return run
 
 
 def _key_rows(out: list) -> pa.RecordBatch:
     m = [len(x[0]) for x in out]
     sid, n = np.repeat([x[1] for x in out], m).astype(np.int64), np.repeat([x[2] for x in out], m).astype(np.int64)
-    rest = np.concatenate([np.zeros(0, np.int64), *(x[3] for x in out)])
+    keys, rest = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in out)]) for i in (0, 3))
     small = rest * (100 + NUMERATOR) >= NUMERATOR * 2 * n
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(x[0] for x in out)])), pa.array(sid), pa.array(n.astype(np.int32)), pa.array(rest.astype(np.int32)), pa.array(small), pa.array(np.concatenate([np.zeros(0, np.int32), *(np.arange(x, dtype=np.int32) for x in m)]))], names=["key", "sid", "n", "rest", "small", "nth"])
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sid), pa.array(n.astype(np.int32)), pa.array(rest.astype(np.int32)), pa.array(small)], names=["key", "sid", "n", "rest", "small"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of at least the threshold."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with their Jaccard distance, and whether they link."""
     one = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     other = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb")).cast("long")
-    return pairs.join(one, "a").join(other, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * NUMERATOR).select("a", "b")
+    both, union = F.size(F.array_intersect("ta", "tb")).cast("long"), F.col("na") + F.col("nb") - F.col("both")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", both.alias("both")).select("a", "b", (1 - F.col("both") / union).alias("distance"), (F.col("both") * 100 >= union * NUMERATOR).alias("links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -290,58 +316,100 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "node long, root long")
 
 
-def linked(keys: DataFrame, sets: DataFrame, rounds: int = LEADER_ROUNDS) -> DataFrame:
-    """(node, root) of all sets that link with another one, from the index keys (key, sid, n, rest, small, nth)."""
+def _settled(live: DataFrame) -> DataFrame:
+    """The entries of groups that still have two components and a member that can be the smaller one of a pair."""
+    open_ = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("small").alias("some")).where("lo <> hi and some").select("key")
+    return common.saved(live.join(open_, "key"), "entries")
+
+
+def linked(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) of all sets that link with another one, from the index keys (key, sid, n, rest, small)."""
     n, m = F.col("n").cast("long"), F.col("m").cast("long")
-    can = (m * 100 >= n * NUMERATOR) & (n * 100 >= m * NUMERATOR) & (F.least("rest", "mrest") * (100 + NUMERATOR) >= (n + m) * NUMERATOR)
-    useful = keys.groupBy("key").agg(F.count("*").alias("c"), F.max("small").alias("some")).where("c > 1 and some").select("key")
-    keys = common.saved(keys.join(useful, "key").withColumn("root", F.col("sid")), "keys")
-    links, roots = None, None
-    for k in range(rounds + 1):
-        if roots is not None:
-            named = keys.drop("root").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-            mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("small").alias("some")).where("lo <> hi and some").select("key")
-            keys = common.saved(named.join(mixed, "key"), "keys")  # what is settled is settled
-        if keys.isEmpty():
-            break
-        # One of a linked pair is the smaller one: leaders, and one side of what is compared at the end, are such sets.
-        tried = keys.where(F.col("nth") < FIRST_KEYS) if k == 0 else keys
-        smaller = tried.where("small")
-        if k < rounds:
-            order = F.col("sid") if k == 0 else F.xxhash64("sid", F.lit(k))
-            leader = smaller.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rest").alias("mrest"), F.col("root").alias("r"))).alias("l")).select("key", "l.*")
-            pairs = tried.join(leader, "key").where((F.col("root") != F.col("r")) & can)
+    far = 1 - NUMERATOR / 100 + 1e-9
+    can = (m * 100 >= n * NUMERATOR) & (n * 100 >= m * NUMERATOR) & (F.least("rest", "lead_rest") * (100 + NUMERATOR) >= (n + m) * NUMERATOR) & (F.col("small") | F.col("lead_small")) & (F.col("root") != F.col("lead_root"))
+    near = ~F.coalesce((F.col("pivot") == F.col("lead_pivot")) & (F.abs(F.col("away") - F.col("lead_away")) > far), F.lit(False))
+    live = _settled(keys.withColumns({"root": F.col("sid"), "pivot": F.lit(None).cast("long"), "away": F.lit(None).cast("double")}))
+    tried = links = None
+    leaders, k = 0, 0  # leaders of a group; 0 while each set meets one leader of all its groups
+    while not live.isEmpty():
+        lead = F.struct(F.xxhash64("sid", F.lit(k)).alias("o"), F.col("sid").alias("lead"), F.col("n").alias("m"), F.col("rest").alias("lead_rest"), F.col("small").alias("lead_small"), F.col("root").alias("lead_root"), F.col("pivot").alias("lead_pivot"), F.col("away").alias("lead_away"))
+        if leaders:
+            size = live.groupBy("key", "root").agg(F.count("*").alias("members"))
+            slot = F.pmod(F.xxhash64("sid", F.lit(-k)), F.lit(leaders)).alias("slot")
+            chosen = common.saved(live.join(size, ["key", "root"]).groupBy("key", slot).agg(F.min(F.struct("members", lead.alias("l"))).alias("l")).select("key", "l.l.*"), "leaders")
         else:
-            other = smaller.select("key", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rest").alias("mrest"), F.col("root").alias("r"))
-            pairs = keys.join(other, "key").where((F.col("root") != F.col("r")) & can & ((m < n) | (m == n) & (F.col("b") < F.col("sid"))))
-        pairs = pairs.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
-        found = common.saved(verified(pairs, sets), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-    return roots if roots is not None else keys.sparkSession.createDataFrame([], "node long, root long")
+            chosen = live.where("small").groupBy("key").agg(F.min(lead).alias("l")).select("key", "l.*")
+        met = live.join(chosen, "key").where(can & near)
+        if not leaders:
+            met = common.saved(met.groupBy("sid").agg(F.min_by("lead", "o").alias("lead")), "met")
+            members = live.agg(F.count_distinct("sid")).first()[0]
+        pairs = met.select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
+        found = common.saved(measured(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), sets), "pairs")
+        tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
+        links = found.where("links") if links is None else links.unionByName(found.where("links"))
+        if k == 0:
+            from_lead = met.join(found, (F.least("sid", "lead") == F.col("a")) & (F.greatest("sid", "lead") == F.col("b"))).select("sid", "distance", "lead")
+            leads = met.select(F.col("lead").alias("sid"), F.lit(0.0).alias("distance"), "lead").distinct()
+            pivots = from_lead.unionByName(leads).groupBy("sid").agg(F.min(F.struct("distance", "lead")).alias("p")).select("sid", F.col("p.lead").alias("pivot"), F.col("p.distance").alias("away"))
+            live = live.drop("pivot", "away").join(pivots, "sid", "left")
+        if leaders:
+            live = live.join(chosen.select("key", F.col("lead").alias("sid")), ["key", "sid"], "left_anti")
+        count = found.agg(F.count("*").alias("pairs"), F.count_if("links").alias("links")).first()
+        if count["links"]:
+            live = live.drop("root").join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        live, k = _settled(live), k + 1
+        leaders = GROWTH * leaders if leaders else GROWTH * int(count["links"] < WORTH * members)
+    return components(links) if links is not None else keys.sparkSession.createDataFrame([], "node long, root long")
+
+
+def grouped(docs: DataFrame, size: int = SHINGLE, rare: int = RARE, paired: int = PAIRED, bits: int = 64) -> DataFrame:
+    """doc_id, text_a, text_b, n_shingles, root for each row of docs: root is the same for all rows of a component, null for an empty set. bits: of the first signature of a set."""
+    spark, text = docs.sparkSession, common.text_column(docs)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *common.text_keys(text))
+    table = common.saved(plain.mapInArrow(_describe(size, bits), _DOCS), "sets-of-docs")
+    clash = table.where("n_shingles > 0").groupBy("sid").agg(F.min("sid2").alias("lo"), F.max("sid2").alias("hi")).where("lo <> hi").select("sid").limit(CLASHES + 1)
+    clashes = np.array([r[0] for r in clash.collect()], np.int64)
+    if len(clashes) > CLASHES:
+        raise ValueError("too many sets share a signature")
+    if len(clashes):
+        told = spark.createDataFrame([(int(x), True) for x in clashes], "sid long, clash boolean")
+        table = table.join(F.broadcast(told), "sid", "left").withColumn("sid", F.when(F.col("clash"), F.col("sid2")).otherwise(F.col("sid"))).drop("clash")
+    shingled = table.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    parts = max(common.partitions(spark), -(-shingled // RANGE))
+    by_token = plain.select("text").mapInArrow(_send(size, rare, parts, bits, clashes), _PACKED).repartitionById(parts, F.col("part"))
+    by_set = by_token.mapInArrow(_classify(rare, parts), _PACKED).repartitionById(parts, F.col("part"))
+    sets = common.saved(by_set.mapInArrow(_assemble, _SETS), "sets")
+    roots = linked(sets.mapInArrow(_index(paired), _KEYS), sets)
+    return common.saved(table.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "text_a", "text_b", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "sid")).alias("root")), "rooted")
 
 
-def join(docs: DataFrame, size: int = SHINGLE, rare: int = RARE) -> DataFrame:
+def join(docs: DataFrame, size: int = SHINGLE, rare: int = RARE, paired: int = PAIRED, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text); component_id: the smallest doc_id reachable by links.
 
     A null text or one without words has an empty set and is its own component. Rows that repeat a text or a doc_id are
     equal sets and so linked. Texts of any length count whole; an empty table gives no row. Of docs only doc_id and text
     are read.
     """
-    spark, parts = docs.sparkSession, common.partitions(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
-    table = common.saved(plain.mapInArrow(_describe(size), _DOCS), "sets-of-docs")
-    if not table.where("n_shingles > 0").groupBy("sid").agg(F.min("sid2").alias("a"), F.max("sid2").alias("b")).where("a <> b").isEmpty():
-        raise ValueError("two different sets have the same 64-bit signature")
-    by_token = plain.select("text").mapInArrow(_send(size, rare, parts), _PACKED).repartitionById(parts, F.col("part"))
-    by_set = by_token.mapInArrow(_classify(rare, parts), _PACKED).repartitionById(parts, F.col("part"))
-    sets = common.saved(by_set.mapInArrow(_assemble, _SETS), "sets")
-    roots = linked(sets.mapInArrow(_index, _KEYS), sets)
-    rooted = table.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "sid")).alias("root"))
-    rooted = common.saved(rooted, "rooted")
+    rooted = grouped(docs, size, rare, paired, bits)
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of docs for each group of near copies, that with the smallest doc_id, with its columns as they are.
+
+    A row without doc_id stays if its group has no row with one (of several texts that with the least hash). Rows without
+    words are groups of their own. Of rows that repeat doc_id and text one stays.
+    """
+    rooted = grouped(docs).where("root is not null")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_a", "text_b")
+    kept = rooted.groupBy("root").agg(F.min(first).alias("k")).select("root", "k.*").toDF("root", "none", "keep_id", "keep_a", "keep_b")
+    is_kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_a") == F.col("keep_a")) & (F.col("text_b") == F.col("keep_b"))
+    told = common.saved(rooted.join(kept, "root").select("doc_id", "text_a", "text_b", is_kept.alias("kept")), "told")
+    keys = common.text_keys(common.text_column(docs))
+    left = common.without(docs, told.where("not kept").drop("kept"), keys)
+    return common.once(left, told.where("kept").groupBy("doc_id", "text_a", "text_b").agg(F.count("*").alias("c")).where("c > 1").drop("c"), keys)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
