@@ -4,9 +4,10 @@ A page becomes its sequence of leaf blocks: runs of text between block-level tag
 words of class and id). A bidirectional LSTM in numpy reads a vector of the hashed path, a vector of the hashed words and
 a few shapes for each block, and says for every block, with the whole page as context, whether it is article text.
 
-There are no labels of blocks, so the network learns from marked-up pages: in a bounded sample, blocks under <article>
-or <main> and not under navigation, notices and the like are article text. Variants of those pages teach it what this
-sample lacks: other containers, and menus, forms, adverts, notices and comments at other places, inside the article too.
+There are no labels of blocks, so the network learns from a bounded sample of the pages: of a page with <article> or <main>,
+the blocks under it; of any other page, those under the element that has most unlinked text of its own. Navigation, notices
+and the like are left out in either case. Variants of those pages teach it what the sample lacks: other containers,
+and menus, forms, adverts, notices and comments at other places, inside the article too.
 """
 
 from __future__ import annotations
@@ -23,21 +24,21 @@ from pyspark.sql import functions as F
 
 from zonegrain.llm import common
 
-#: Pages that the fit sees at most, in order of a hash of page_id, characters of html that such a page has at most, and variants made of each.
-FIT_PAGES, FIT_CHARS, VARIANTS = 300, 40_000, 3
+#: Pages that the fit sees at most, in order of a hash of page_id (whole, however long), and variants made of each.
+FIT_PAGES, VARIANTS = 300, 3
 BUCKETS, PATH_DIM, WORD_DIM, SHAPES, HIDDEN = 1024, 16, 8, 7, 16
 EPOCHS, BATCH, RATE = 6, 32, 0.01
-#: Pages that are labelled at a time, and pages that go through the network together.
-PAGES, ROWS = 512, 64
+#: Bytes of html that are labelled at a time; pages that go through the network together, and their blocks with padding (a longer page goes alone).
+SLICE_BYTES, ROWS, CELLS = 2 << 20, 64, 1 << 14
 
 # Elements by their part in a page.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|template|noscript|textarea|svg|iframe|object|canvas"
 SELF_CLOSING = {"p": "p", "li": "li", "dt": "dd dt", "dd": "dd dt", "option": "option", "tr": "tr td th", "td": "td th", "th": "td th"}
-NOT_TEXT = frozenset("nav header footer aside form head title button select option menu dialog label fieldset legend figcaption".split())
-NOT_TEXT_WORDS = frozenset("ad ads advert adverts advertisement advertising alert banner bar breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright cta disclaimer discussion disqus feedback footer form gdpr header login masthead menu meta modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar topbar tracking widget".split())
-CONTAINERS = ['article', 'main', 'div class="content"', 'div id="content"', 'div class="post"', 'div class="entry-content"', 'div class="article-body"', 'section class="story"', 'div class="main-text"']
+NOT_TEXT = frozenset("nav header footer aside form head title button select option menu dialog label fieldset legend".split())
+NOT_TEXT_WORDS = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split())
+CONTAINERS = ['article', 'main', 'div', 'section', 'td', 'div class="content"', 'div id="content"', 'div id="main"', 'div class="post"', 'div class="entry-content"', 'div class="article-body"', 'section class="story"', 'div class="main-text"']
 FURNITURE = ['nav', 'header', 'footer', 'aside', 'form', 'div class="ad"', 'div class="advert"', 'div class="ads banner"', 'div class="sponsored promo"', 'div class="sidebar"', 'div id="sidebar"', 'div class="menu"', 'ul class="nav"', 'div class="cookie-notice"', 'div class="notice"', 'div class="alert"', 'div class="consent-banner"', 'div class="comments"', 'section id="comments"', 'div class="comment"', 'ol class="comment-list"', 'div class="header"', 'div id="footer"', 'div class="share social"', 'div class="newsletter subscribe"', 'div class="related"', 'div class="breadcrumb"', 'div class="popup modal"', 'div class="widget"', 'aside class="sidebar"', 'div class="login search"', 'section class="replies discussion"']
 
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+(?:>|\Z)|</?[a-zA-Z][^<>]*+\Z", re.S | re.I)
@@ -50,6 +51,7 @@ class Block:
     text: str
     path: tuple[str, ...]  # tags and, with a dot before them, words of class, id and role
     linked: int  # characters inside links
+    nodes: tuple[int, ...] = ()  # the open elements, by number
 
 
 def _open(name: str, attributes: str) -> tuple[str, ...]:
@@ -62,13 +64,14 @@ def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page that have text, in page order; character references decoded, white space one space."""
     out: list[Block] = []
     stack: list[tuple[str, ...]] = []
+    numbers: list[int] = []
     parts: list[str] = []
-    state = {"path": (), "linked": 0}
+    state = {"path": (), "nodes": (), "linked": 0}
 
     def say(raw: str) -> None:
         if raw and not raw.isspace():
             if not any(p and not p.isspace() for p in parts):
-                state["path"] = tuple(t for e in stack for t in e)
+                state["path"], state["nodes"] = tuple(t for e in stack for t in e), tuple(numbers)
             if any(e[0] == "a" for e in stack):
                 state["linked"] += len(raw)
         parts.append(raw)
@@ -77,7 +80,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, state["path"], min(state["linked"], len(text))))
+                out.append(Block(text, state["path"], min(state["linked"], len(text)), state["nodes"]))
             parts.clear()
             state["linked"] = 0
 
@@ -98,7 +101,7 @@ def blocks(page: str) -> list[Block]:
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    del stack[i:]
+                    del stack[i:], numbers[i:]
                     break
                 if stack[i][0] in ("article", "main", "body") and name in ("p", "b", "i", "a", "span", "li"):
                     break
@@ -107,30 +110,46 @@ def blocks(page: str) -> list[Block]:
                 shut = SELF_CLOSING[name].split()
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in shut:
-                        del stack[i:]
+                        del stack[i:], numbers[i:]
                         break
                     if stack[i][0] in BLOCK:
                         break
             stack.append(_open(name, attributes))
+            numbers.append(at)
     say(page[at:])
     end()
     return out
 
 
-def marked(path: tuple[str, ...]) -> int:
-    """What markup says: 1 under an article or main element and under nothing that isn't text."""
+def _furniture(path: tuple[str, ...]) -> bool:
+    """Whether the block is under something that isn't text. A header inside the article is part of it."""
     inside = False
     for t in path:
-        if t in ("article", "main"):
-            inside = True
-        elif t in NOT_TEXT and not (t == "header" and inside) or t[0] == "." and t[1:] in NOT_TEXT_WORDS:
-            return 0
-    return int(inside)
+        inside |= t in ("article", "main")
+        name = t.removeprefix(".")
+        if name in (NOT_TEXT_WORDS if t[0] == "." else NOT_TEXT) and not (name == "header" and inside):
+            return True
+    return False
+
+
+def taught(page: list[Block]) -> list[int]:
+    """1 for blocks of the article: by markup, or else under the element with most unlinked text of its own."""
+    text = [not _furniture(b.path) for b in page]
+    if any("article" in b.path or "main" in b.path for b in page):
+        return [int(x and ("article" in b.path or "main" in b.path)) for b, x in zip(page, text, strict=True)]
+    weight: dict[int, float] = {}
+    for b, x in zip(page, text, strict=True):
+        if x and 2 * b.linked < len(b.text):
+            near = b.nodes[::-1][b.path[-1] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "figcaption", "b", "i", "em", "strong", "span") :] if b.path else ()
+            for i, node in enumerate(near[:4]):
+                weight[node] = weight.get(node, 0.0) + (len(b.text) - b.linked) / 2**i
+    best = max(weight, key=lambda k: (weight[k], k), default=-1)
+    return [int(x and 2 * b.linked < len(b.text) and best in b.nodes) for b, x in zip(page, text, strict=True)]
 
 
 def variants(page: list[Block], n: int, rng: np.random.Generator) -> Iterator[tuple[list[Block], list[int]]]:
     """The page itself, and variants of it with labels."""
-    labels = [marked(b.path) for b in page]
+    labels = taught(page)
     yield page, labels
     texts = [b.text for b in page] or ["x"]
     for _ in range(n):
@@ -290,7 +309,7 @@ def train(pages: list[list[Block]], labels: list[list[int]], epochs: int = EPOCH
     for _ in range(epochs if some else 0):
         order = rng.permutation(some)
         order = order[np.argsort([len(pages[i]) + rng.integers(0, 8) for i in order], kind="stable")]
-        lots = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
+        lots = _lots(order, [len(x) for x in pages], BATCH)
         for k in rng.permutation(len(lots)):
             data, y = inputs([pages[i] for i in lots[k]]), np.concatenate([labels[i] for i in lots[k]]).astype(np.float32)
             grads, step = _gradients(model, data, y), step + 1
@@ -321,34 +340,41 @@ def _gradients(model: dict, data: Inputs, y: np.ndarray) -> dict:
     return g
 
 
-def learn(pages: DataFrame, fit_pages: int = FIT_PAGES, fit_chars: int = FIT_CHARS, n_variants: int = VARIANTS) -> dict:
-    """The network from a bounded sample of marked-up pages."""
-    sample = pages.where(F.col("html").isNotNull() & (F.length("html") <= fit_chars)).select(F.xxhash64("page_id").alias("o"), "html").orderBy("o", "html").limit(fit_pages).toArrow()
+def learn(pages: DataFrame, fit_pages: int = FIT_PAGES, n_variants: int = VARIANTS) -> dict:
+    """The network from a bounded sample of pages."""
+    sample = pages.where("html is not null").select(F.xxhash64("page_id").alias("o"), "html").orderBy("o", "html").limit(fit_pages).toArrow()
     rng = np.random.default_rng(9)
     made = [v for x in sample.column("html").to_pylist() for v in variants(blocks(x), n_variants, rng)]
     return train([x[0] for x in made], [x[1] for x in made])
 
 
+def _lots(order: list[int], sizes: list[int], rows: int) -> list[list[int]]:
+    """Pages that go through the network together, from pages in order of size."""
+    lots: list[list[int]] = []
+    for i in order:
+        if not lots or len(lots[-1]) >= rows or (len(lots[-1]) + 1) * sizes[i] > CELLS:
+            lots.append([])
+        lots[-1].append(i)
+    return lots
+
+
 def texts(model: dict, pages: list[str]) -> list[str]:
     """The main text of each page."""
     found = [blocks(x) for x in pages]
-    out = [""] * len(found)
-    order = sorted(range(len(found)), key=lambda i: len(found[i]))
-    for k in range(0, len(order), ROWS):
-        lot = order[k : k + ROWS]
+    out, sizes = [""] * len(found), [len(x) for x in found]
+    for lot in _lots(sorted(range(len(found)), key=sizes.__getitem__), sizes, ROWS):
         p, at = label(model, inputs([found[i] for i in lot])), 0
         for i in lot:
-            n = len(found[i])
-            out[i] = "\n".join(b.text for b, x in zip(found[i], p[at : at + n], strict=True) if x >= 0.5)
-            at += n
+            out[i] = "\n".join(b.text for b, x in zip(found[i], p[at : at + sizes[i]], strict=True) if x >= 0.5)
+            at += sizes[i]
     return out
 
 
 def _extract(model: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, PAGES):
-                part = batch.slice(i, PAGES)
+            for a, b in common.slices(common.string_buffers(batch.column("html"))[1], SLICE_BYTES):
+                part = batch.slice(a, b - a)
                 found = texts(model, part.column("html").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -28,10 +28,11 @@ from zonegrain.llm import common
 
 #: Tokens of a chunk, about.
 CHUNK = 2_000_000
-SWEEPS, KEPT = 2, 2
+#: Gibbs sweeps, and how many of the last ones are averaged: those before them start from a guess.
+SWEEPS, KEPT = 3, 2
 STRENGTH, ROOT_STRENGTH, ROOT_DISCOUNT = 1.0, 1.0, 0.5
-#: Customers of a dish who are seated one by one; later ones in growing blocks, with the chance of a new table fixed in a block.
-SINGLY = 16
+#: Customers of a dish who are seated one by one; later ones in blocks of a 32nd of those before, whose new tables are binomial with the chance at mid-block.
+SINGLY, BLOCK = 64, 32
 #: Stands for a null doc_id inside chunks.
 NO_ID = -(2**63)
 #: The hash of the end of a text as a word, and of its start as a context.
@@ -197,6 +198,29 @@ def _returned(table: pa.Table, kind: int, dealt: tuple[np.ndarray, np.ndarray],
 # --- seating ----------------------------------------------------------------------------------------------------------
 
 
+def _uniform(key: np.ndarray, name: int) -> np.ndarray:
+    return (common.mixed(key + np.uint64(name % (1 << 64))) >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
+def _binomial(size: np.ndarray, p: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Successes of `size` trials with chance p from uniform numbers u, v: by inversion, or the normal limit beyond a variance of 25."""
+    q = np.minimum(p, 1 - p)
+    mean, var = size * q, size * q * (1 - q)
+    out = np.floor(mean + np.sqrt(var) * np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * v) + 0.5)
+    left = np.flatnonzero(var <= 25)
+    mass = (1 - q[left]) ** size[left]
+    below, j = mass.copy(), 0
+    out[left] = 0
+    while len(left):
+        more = (u[left] >= below) & (j < size[left])
+        left, mass, below = left[more], mass[more], below[more]
+        mass = mass * (size[left] - j) / (j + 1) * q[left] / (1 - q[left])
+        below, j = below + mass, j + 1
+        out[left] = j
+    out = np.clip(out, 0, size)
+    return np.where(p > q, size - out, out).astype(np.int64)
+
+
 def seat(count: np.ndarray, pull: np.ndarray, discount: float, key: np.ndarray, salt: int) -> np.ndarray:
     """Tables of `count` customers: the first opens one, the k-th a new one with chance pull / (pull + k - 1 - discount * tables).
 
@@ -206,12 +230,17 @@ def seat(count: np.ndarray, pull: np.ndarray, discount: float, key: np.ndarray,
     live = np.flatnonzero(count > 1)
     k = 1
     while len(live):
-        block = 1 if k < SINGLY else k // 8
-        size = np.minimum(block, count[live] - k)
-        p = pull[live] / (pull[live] + k - discount * tables[live])
-        name = np.uint64((k * int(_C[1]) + salt * int(_C[2])) % (1 << 64))
-        draw = (common.mixed(key[live] + name) >> np.uint64(11)).astype(float) / float(1 << 53)
-        tables[live] += np.floor(size * p + draw).astype(np.int64)  # for one customer: a table if draw >= 1 - p
+        block = 1 if k < SINGLY else k // BLOCK
+        name = k * int(_C[1]) + salt * int(_C[2])
+        t, b, draw = tables[live], pull[live], _uniform(key[live], name)
+        p = b / (b + k - discount * t)
+        if block == 1:
+            tables[live] = t + (draw >= 1 - p)
+        else:
+            size = np.minimum(block, count[live] - k)
+            half = (size - 1) / 2
+            p = b / (b + k + half - discount * (t + half * p))
+            tables[live] = t + _binomial(size, p, draw, _uniform(key[live], name + int(_C[3])))
         k += block
         live = live[count[live] > k]
     return tables
@@ -350,7 +379,8 @@ def score(docs: DataFrame, held: Column, sweeps: int = SWEEPS, kept: int = KEPT,
         more, (t, tables, *_) = returned(sent, FIRST_SWEEP + s - 1, 8, 2, _root_answer(s, stats[-1] | {"v": v}), f"lm-sweep{s}")
         known = known.unionByName(more)
         stats.append({"sweep": s, "n": n, "v": v, "t": t, "s": tables})
-    out = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_scored(stats, sweeps, kept, parts), _SCORES)
+    out = common.saved(chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_scored(stats, sweeps, kept, parts), _SCORES), "lm-scores")
+    spark.sql(f"DROP TABLE {name}")
     return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
