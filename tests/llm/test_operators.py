@@ -33,6 +33,44 @@ def test_quality_held_out(spark, data):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in t.collect())
 
 
+def plain_features(text):
+    """What quality.features counts, by loops over characters and words."""
+    data, n = text.encode(), max(len(text.encode()), 1)
+    kind = lambda c: next((k for k, codes in quality._CLASSES.items() if c in codes), "other")
+    odd_kinds = {"shout", "mark", "bar", "bracket", "other"}
+    names = [*quality._CLASSES, "other"]
+    odd_kinds = {names[k] for k in (6, 7, 8, 9)} | {"other"}
+    share = {k: sum(kind(c) == k for c in data) / n for k in names}
+    w = [x.encode() for x in re.findall(r"[^\x20\x09-\x0d]+", text)]
+    low = [x.lower() for x in w]
+    m = max(len(w), 1)
+    cnt = lambda x, kinds: sum(kind(c) in kinds for c in x)
+    part = lambda f: sum(map(f, w)) / m
+    odd = lambda x: cnt(x, odd_kinds)
+    repeated = sum(c - 1 for c in Counter(low).values()) / m
+    return [*(math.sqrt(share[k]) for k in names), part(len), math.sqrt(part(lambda x: cnt(x, {"upper"}) > 1 and cnt(x, {"lower"}) == 0)), math.sqrt(part(lambda x: odd(x) > 0)), math.sqrt(part(lambda x: odd(x) > 0 and cnt(x, {"lower", "upper"}) > 0)), math.sqrt(part(lambda x: odd(x) == len(x))), math.sqrt(sum(a == b for a, b in zip(low, low[1:], strict=False)) / m), repeated * math.log1p(len(w)) / 10, math.sqrt(part(lambda x: len(x) > 20)), math.log1p(len(w)) / 10, math.sqrt(sum(kind(c) == "line" for c in data) / m)]
+
+
+def test_quality_features_and_fit_by_hand(spark, data):
+    import pyarrow as pa
+
+    texts = [r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").limit(60).collect()] + ["", "A", "a A a", "!!! ??", "WOW WOW x" + "y" * 30, "é | {b}\n\n"]
+    got = quality.features(*common.string_buffers(pa.array(texts)))
+    want = np.array([plain_features(x) for x in texts])
+    assert got == pytest.approx(want, abs=1e-9)
+    # The weights are where the gradient of the penalised pairwise loss is zero, over the same pairs.
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(80, 3)), np.arange(80) % 4 > 0
+    x[y] += 0.7
+    model = quality.fit(x, y.astype(int))
+    z, draw = (x - model["mean"]) / model["sd"], np.random.default_rng(11)
+    good, bad = np.flatnonzero(y), np.flatnonzero(~y)
+    m = quality.PAIRS_PER_ROW * len(bad)
+    diff = z[good[draw.integers(0, len(good), m)]] - z[np.resize(bad, m)]
+    assert diff.T @ (1 / (1 + np.exp(diff @ model["w"]))) / m - 1e-2 * model["w"] == pytest.approx(np.zeros(3), abs=1e-6)
+    assert (z @ model["w"] < model["cut"]).sum() == len(bad)
+
+
 def test_quality_nasty(nasty, empty, labels):
     model = quality.learn(nasty, labels)
     got = quality.score(nasty, model)
@@ -160,6 +198,15 @@ def shingles(text, n=5):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
+def plain_sketch(text):
+    h = sorted({hashlib.md5(" ".join(x).encode()).hexdigest()[:16] for x in shingles(text)})
+    return [x for x in h if x < "4" + "0" * 15] or h[:1]
+
+
+def plain_likeness(a, b):
+    return len({*a} & {*b}) / len({*a, *b}) if a or b else 1.0
+
+
 def test_fingerprints(spark, data, nasty, empty):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
@@ -173,9 +220,14 @@ def test_fingerprints(spark, data, nasty, empty):
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         a, b = shingles(text), shingles(edited)
         error.append(abs(r.near_edited - (len(a & b) / len(a | b) if a | b else 1)))
+        s, e, f = (plain_sketch(x) for x in (text, edited, follow))
+        assert (r.fingerprint, r.edited_fingerprint) == (" ".join(s), " ".join(e))
+        assert r.near_edited == pytest.approx(plain_likeness(s, e)) and r.near_next == pytest.approx(plain_likeness(s, f))
         prints[text].add(r.fingerprint)
     assert np.mean(error) < 0.08 and all(len(x) == 1 for x in prints.values())
+    sure = {r.doc_id: r for r in fingerprints.fingerprint_edits(nasty).collect()}
     assert fingerprints.fingerprint_edits(nasty).count() == nasty.count()
+    assert sure[2].fingerprint == "" and sure[2].n_chars == 0 and sure[9].fingerprint == " ".join(plain_sketch(nasty.where("doc_id = 9").first().text))
     assert fingerprints.fingerprint_edits(empty).isEmpty()
     one = fingerprints.fingerprint_edits(docs.limit(1)).first()
     assert one.near_next == 1
@@ -226,20 +278,54 @@ def test_toxicity_held_out(spark):
     t = toxicity.op6_toxicity(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").collect()
     clean = [r for r in t if r.held_out and r.toxic == 0]
     assert sum(r.predicted == 0 for r in clean) / len(clean) > 0.8
-    seen = [r for r in t if not r.held_out and r.toxic == 1]
-    assert sum(r.predicted for r in seen) / len(seen) > 0.7
+    toxic = [r for r in t if r.held_out and r.toxic == 1]
+    assert toxic and sum(r.predicted for r in toxic) / len(toxic) > 0.5
 
 
 def test_toxicity_gradient():
-    """The step's gradient of a filter against finite differences."""
+    """Every parameter's gradient against finite differences of the loss."""
     rng = np.random.default_rng(0)
-    texts = [(rng.integers(1, 50, 6).astype(np.int32), rng.integers(1, 50, 6).astype(np.int32)) for _ in range(4)]
-    y = np.array([0, 1, 1, 0])
-    model = toxicity.train(texts, y)
+    texts = [(rng.integers(1, 50, 6).astype(np.int32), rng.integers(1, 50, 6).astype(np.int32)) for _ in range(6)]
+    y, weight = np.array([0, 1, 1, 0, 1, 0]), np.array([1, 2, 1, 0.5, 1, 1])
     i, j = (np.concatenate([t[k] for t in texts]) for k in (0, 1))
-    n = np.array([6] * 4)
-    assert np.isfinite(toxicity.logits(model, i, j, n)).all()
-    assert toxicity.logits(model, i[:6], j[:6], n[:1])[0] == pytest.approx(toxicity.logits(model, i, j, n)[0], rel=1e-5)
+    model = {k: np.asarray(v, np.float64) for k, v in toxicity.train(texts, y).items()}
+
+    def loss():
+        z = toxicity.logits(model, i, j, np.array([6] * 6))
+        return np.mean(weight * (np.log1p(np.exp(z)) - y * z))
+
+    grads, embedded = toxicity.gradients(model, texts, y, weight)
+    for e, (rows, g) in embedded.items():
+        grads[e] = np.zeros_like(model[e])
+        grads[e][rows] = g
+    for name, g in grads.items():
+        g = np.atleast_1d(g)
+        model[name] = np.atleast_1d(model[name])
+        flat = model[name].reshape(-1)
+        for at in {int(np.abs(g).argmax()), *rng.integers(0, len(flat), 3).tolist()} - ({*range(toxicity.DIM)} if name in embedded else set()):
+            old = flat[at]
+            sides = []
+            for step in (1e-5, -1e-5):
+                flat[at] = old + step
+                sides.append(loss())
+            flat[at] = old
+            assert g.reshape(-1)[at] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=1e-6), name
+
+
+def test_toxicity_logit_by_hand():
+    """Of one text against loops over positions, widths and filters."""
+    rng = np.random.default_rng(1)
+    texts = [(rng.integers(1, 50, 7).astype(np.int32), rng.integers(1, 50, 7).astype(np.int32)) for _ in range(4)]
+    model = toxicity.train(texts, np.array([0, 1, 1, 0]))
+    first, second = texts[1]
+    x = [model["e1"][a].astype(float) + model["e2"][b] for a, b in zip(first, second, strict=True)] + [np.zeros(toxicity.DIM)] * 2
+    out, at = float(model["c"]), 0
+    for w in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            best = max(sum(float(x[k + s] @ model[f"w{w}"][s][:, f]) for s in range(w)) for k in range(7))
+            out += max(0.0, best + model["b"][at]) * model["v"][at]
+            at += 1
+    assert toxicity.logits(model, first, second, np.array([7]))[0] == pytest.approx(out, rel=1e-4, abs=1e-5)
 
 
 def test_toxicity_nasty(nasty, empty, labels):
@@ -398,6 +484,23 @@ def test_html_other_layouts(spark):
     assert html_text.extract(pages, html_text.learn(pages.limit(0))).count() == 6
 
 
+def test_html_without_article_tags(spark):
+    """A crawl none of whose pages has an article or main element yields its articles, and captions stay."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = pages.withColumn("html", F.replace(F.replace("html", F.lit("<article>"), F.lit("<div class='content'>")), F.lit("</article>"), F.lit("</div>")))
+    want = {r.page_id: truth(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in html_text.extract(plain, html_text.learn(plain)).collect()}
+    assert sum(got[i] == x for i, x in want.items()) / len(want) > 0.9
+    page = html_text.blocks("<article><h1>T</h1><figure><figcaption>A caption.</figcaption></figure><div class=tags>x</div><div class=comments>y</div></article>")
+    assert html_text.taught(page) == [1, 1, 1, 0]
+
+
+def test_html_of_many_blocks():
+    page = "<article>" + "<p>some words of it.</p>" * 50_000 + "</article>"
+    model = html_text.train([html_text.blocks("<nav><a>m</a></nav><article><p>words of it.</p></article>")] * 40, [[0, 1]] * 40)
+    assert html_text.texts(model, [page, "<nav>m</nav>"])[0].count("\n") == 49_999
+
+
 def test_lstm_gradient():
     """Analytic gradients against finite differences."""
     page = html_text.blocks("<html><body><nav><a>x y</a></nav><article><p>one two.</p><p>three</p></article></body></html>")
@@ -447,6 +550,56 @@ def test_language_model(spark, data, nasty, empty):
     assert language_model.score(empty, F.lit(False)).isEmpty()
 
 
+def test_language_model_by_hand(spark):
+    """Every customer of a small corpus seated one after the other, in dictionaries."""
+    lm, rng = language_model, random.Random(5)
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12)))) for i in range(30)]
+    held = {i for i, _ in docs if i % 5 == 0}
+    out = {r.doc_id: r for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") % 5 == 0, chunk=40).collect()}
+    import pyarrow as pa
+
+    code = {w: int(h) for w, h in zip("abcdefgh", common.words(*common.string_buffers(pa.array(list("abcdefgh")))).hashes, strict=True)}
+    end, big = int(lm.END), 1 << 64
+    tokens = {i: [*(code[w] for w in x.split()), end] for i, x in docs}
+    word, pair = Counter(), Counter()
+    for i, x in tokens.items():
+        if i not in held:
+            word.update(x)
+            pair.update(zip([end, *x[:-1]], x, strict=True))
+    one = lambda key, name: int(common.mixed(np.array([(key + name) % big], np.uint64))[0] >> np.uint64(11)) / (1 << 53)
+
+    def seat(count, pull, d, key, salt):
+        tables = min(count, 1)
+        for k in range(1, count):
+            p = pull / (pull + k - d * tables)
+            tables += one(key, k * int(lm._C[1]) + salt * int(lm._C[2])) >= 1 - p
+        return tables
+
+    n, v = sum(word.values()), len(word)
+    once, twice = (sum(c == k for c in pair.values()) for k in (1, 2))
+    d = min(0.95, max(0.1, once / (once + 2 * twice)))
+    name = lambda u, w: int(common.mixed(np.array([(u * int(lm._C[0]) + w) % big], np.uint64))[0])
+    parent = lambda w: (word[w] + 1) / (n + v + 1)
+    below = lambda u: math.ceil(word[u] ** 0.75)
+    root, total, models = v, None, []
+    for s in range(1, lm.SWEEPS + 1):
+        tables = {k: seat(c, (lm.STRENGTH + d * below(k[0])) * parent(k[1]), d, name(*k), s) for k, c in pair.items()}
+        t, u = Counter(), Counter()
+        for (a, b), m in tables.items():
+            t[b] += m
+            u[a] += m
+        pull = (lm.ROOT_STRENGTH + lm.ROOT_DISCOUNT * root) / (v + 1)
+        seats = {w: seat(c, pull, lm.ROOT_DISCOUNT, w, 1000 + s) for w, c in t.items()}
+        root, total = sum(seats.values()), sum(t.values())
+        parent = lambda w, t=t, seats=seats, root=root, total=total: (max(t[w] - lm.ROOT_DISCOUNT * seats.get(w, 0), 0) + (lm.ROOT_STRENGTH + lm.ROOT_DISCOUNT * root) / (v + 1)) / (lm.ROOT_STRENGTH + total)
+        below = lambda x, u=u: u[x]
+        models.append(lambda a, b, tables=tables, parent=parent, u=u: (max(pair[a, b] - d * tables.get((a, b), 0), 0) + (lm.STRENGTH + d * u[a]) * parent(b)) / (lm.STRENGTH + word[a]))
+    for i, x in tokens.items():
+        want = sum(math.log10(sum(m(a, b) for m in models[-lm.KEPT :]) / lm.KEPT) for a, b in zip([end, *x[:-1]], x, strict=True))
+        assert out[i].score == pytest.approx(want, rel=1e-9)
+    assert not [r.tableName for r in spark.sql("SHOW TABLES").collect() if r.tableName.startswith("lm_chunks")]
+
+
 def test_language_model_probabilities_sum_to_one():
     """Of the parent over the known words and the place of unknown ones, and of a context's restaurant."""
     rng = np.random.default_rng(0)
@@ -478,4 +631,17 @@ def test_seating_follows_the_restaurant_rule():
             q[j] += p[j] * (1 - new)
         p = q
     assert t.mean() == pytest.approx((p * np.arange(n + 2)).sum(), rel=0.02)
+    # Beyond the customers who are seated one by one: mean and spread.
+    n, pull, d = 1500, 20.0, 0.6
+    t = language_model.seat(np.full(m, n), np.full(m, pull), d, common.mixed(np.arange(m, dtype=np.uint64)), 1)
+    p, j = np.zeros(n + 2), np.arange(n + 2)
+    p[1] = 1
+    for k in range(1, n):
+        new = np.minimum(1, pull / np.maximum(pull + k - d * j, 1e-9))
+        q = p * (1 - new)
+        q[1:] += (p * new)[:-1]
+        p = q
+    mean = (p * j).sum()
+    assert t.mean() == pytest.approx(mean, rel=0.005) and t.std() == pytest.approx(math.sqrt((p * j * j).sum() - mean**2), rel=0.03)
+    d = 0.5
     assert (language_model.seat(np.array([0, 1, 100_000]), np.ones(3), d, np.arange(3, dtype=np.uint64), 1)[:2] == [0, 1]).all()

@@ -10,7 +10,7 @@ def test_only_sql():
     assert ORACLE_SQL and all(isinstance(v, str) for v in ORACLE_SQL.values())
 
 
-@pytest.mark.parametrize("name", ["op5_url_rules", "op8_exact_dedup"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(spark, duck, data, name):  # noqa: F811
     df = QUERIES[name](spark, data)
     want = duck.execute(ORACLE_SQL[name])

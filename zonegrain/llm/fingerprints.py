@@ -3,7 +3,8 @@
 A sketch is a sorted array of 64-bit hashes of word 5-shingles (words: ``[^\\x20\\x09-\\x0D]+``; of fewer words the whole
 sequence; of none an empty sketch). Its size follows the text, so sketches of very unequal texts can be compared by
 containment, and the sketch of a union is the union of sketches. A text none of whose hashes lies below the fraction
-keeps its smallest one. All of it is column expressions.
+keeps its smallest one. A hash is the first 16 hexadecimal digits of the MD5 of the shingle's words with spaces between, in
+lower case: as text they order as the numbers do. All of it is column expressions.
 """
 
 from __future__ import annotations
@@ -18,12 +19,18 @@ FRACTION = 1 / 4
 SHINGLE = 5
 
 
+def _limit(fraction: float) -> str:
+    """The hash at which the fraction of the range ends."""
+    return f"{min(int(fraction * 2**64), 2**64 - 1):016x}"
+
+
 def sketch(text: Column, fraction: float = FRACTION, size: int = SHINGLE) -> Column:
-    """array<bigint> of a text; null for null."""
-    limit = int(-(2**63) + fraction * 2**64)
-    hashes = F.transform(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    """Sorted array of hashes of a text; null for null."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    name = lambda shingle: F.substring(F.md5(F.array_join(shingle, " ").cast("binary")), 1, 16)
     # One expression that names its parts: each part is an element of a one-element array, so that it is computed once.
-    return _let(hashes, lambda h: _let(F.when(F.size(h) >= size, F.slice(F.transform(h, lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, size)))), F.lit(1), F.size(h) - (size - 1))).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>")), lambda s: _let(F.sort_array(F.array_distinct(F.filter(s, lambda x: x < F.lit(limit)))), lambda kept: F.when((F.size(kept) > 0) | (F.size(s) == 0), kept).otherwise(F.array(F.array_min(s))))))
+    hashes = _let(words, lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (size - 1))), lambda i: name(F.slice(w, i, F.lit(size))))).otherwise(F.array().cast("array<string>")))
+    return _let(hashes, lambda s: _let(F.sort_array(F.array_distinct(F.filter(s, lambda x: x < F.lit(_limit(fraction))))), lambda kept: F.when((F.size(kept) > 0) | (F.size(s) == 0), kept).otherwise(F.array(F.array_min(s)))))
 
 
 def _let(value: Column, body) -> Column:
@@ -31,7 +38,7 @@ def _let(value: Column, body) -> Column:
 
 
 def to_string(sketched: Column) -> Column:
-    return F.array_join(F.transform(sketched, lambda h: F.lower(F.hex(h))), " ")
+    return F.array_join(sketched, " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -47,8 +54,7 @@ def containment(a: Column, b: Column) -> Column:
 
 def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     """The sketch of both texts' shingles together: hashes below the fraction, or else the smallest."""
-    limit = int(-(2**63) + fraction * 2**64)
-    return _let(F.sort_array(F.array_union(a, b)), lambda u: _let(F.filter(u, lambda x: x < F.lit(limit)), lambda kept: F.when((F.size(kept) > 0) | (F.size(u) == 0), kept).otherwise(F.slice(u, 1, 1))))
+    return _let(F.sort_array(F.array_union(a, b)), lambda u: _let(F.filter(u, lambda x: x < F.lit(_limit(fraction))), lambda kept: F.when((F.size(kept) > 0) | (F.size(u) == 0), kept).otherwise(F.slice(u, 1, 1))))
 
 
 def _range_of(key: Column, bounds: list[int]) -> Column:
@@ -70,8 +76,8 @@ def with_next(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
     n = common.partitions(spark)
-    # A row without doc_id is ordered as the smallest.
-    plain = plain.withColumn("order", F.coalesce("doc_id", F.lit(-(2**63))))
+    # Rows without doc_id come last, dealt by a hash of their text.
+    plain = plain.withColumn("order", F.coalesce("doc_id", F.pmod(F.xxhash64("text"), F.lit(1 << 40)) - F.lit(2**63 - 1)))
     quantiles = plain.agg(F.percentile_approx("order", [i / n for i in range(1, n)] or [0.5])).first()[0] or []
     ranged = plain.withColumn("range", _range_of(F.col("order"), sorted(set(quantiles))))
     # The first document of each range: one row a range.
@@ -89,7 +95,7 @@ def fingerprint_edits(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
 
     The edited text has the last floor(n_chars/3) code points replaced by the first as many (or all) of the next
     document. Null counts as empty; texts of any length count whole. Repeated doc_ids follow one another in order of
-    text, rows without one come last. A single document is its own next; an empty table gives no row. Other columns aren't read.
+    text, rows without one come last, in order of a hash of the text. A single document is its own next; an empty table gives no row. Other columns aren't read.
     """
     rows = with_next(docs, fraction).withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
@@ -100,3 +106,18 @@ def fingerprint_edits(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_SKETCH = "list_transform(CASE WHEN len({w}) = 0 THEN [] ELSE range(1, greatest(2, len({w}) - 3)) END, lambda i: md5(array_to_string({w}[i:i + 4], ' '))[1:16])"
+_KEPT = "list_sort(list_distinct(CASE WHEN len(list_filter({s}, lambda x: x < '4000000000000000')) > 0 OR len({s}) = 0 THEN list_filter({s}, lambda x: x < '4000000000000000') ELSE [list_min({s})] END))"
+_LIKE = "CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS u, length(t) // 3 AS k FROM d),
+e AS (SELECT doc_id, t, u, left(t, length(t) - k) || left(u, k) AS v FROM n),
+w AS (SELECT *, {", ".join(f"list_filter(string_split_regex({x}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w{x}" for x in "tuv")} FROM e),
+s AS (SELECT *, {", ".join(f"{_SKETCH.format(w='w' + x)} AS s{x}" for x in "tuv")} FROM w),
+f AS (SELECT *, {", ".join(f"{_KEPT.format(s='s' + x)} AS f{x}" for x in "tuv")} FROM s)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(v) AS edited_sha256, array_to_string(ft, ' ') AS fingerprint, array_to_string(fv, ' ') AS edited_fingerprint,
+       {_LIKE.format(a="ft", b="fv")} AS near_edited, {_LIKE.format(a="ft", b="fu")} AS near_next FROM f
+"""

@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_fingerprints": fingerprints.ORACLE,
     "op5_url_rules": url_rules.ORACLE,
+    "op7_jaccard_join": jaccard_join.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }

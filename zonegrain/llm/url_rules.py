@@ -27,16 +27,20 @@ SAMPLE_PER_RANGE = 50
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first ://; empty for null or without ://."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty for null or without ://."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("__url"))).otherwise("")
-    return F.coalesce(F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), _UPPER, _LOWER), F.lit(""))
+    return F.coalesce(F.translate(F.regexp_extract(_rest(url), r"(?s)^([^/?#]*)", 1), _UPPER, _LOWER), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
     """What follows the host, up to ?, # or the end."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("__url"))).otherwise("")
-    return F.coalesce(F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(_rest(url), r"(?s)^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def _reversed(host: Column) -> Column:
@@ -100,7 +104,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) ->
     """
     spark = pages.sparkSession
     n = common.partitions(spark)
-    parts = pages.select(F.col("page_id"), F.col("url").cast("string").alias("__url")).select("page_id", host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"))
+    url = F.col("url").cast("string")
+    parts = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     # Each different (host, path) once, with a key for the host and each parent domain. The full host ends the key, so
     # that keys differ and ranges can part the many urls that share a parent domain and a path.
     labels = F.split("host", r"\.", -1)
