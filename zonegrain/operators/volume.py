@@ -220,31 +220,47 @@ def plane_angle(points: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def void_zones(v: DataFrame, interface: DataFrame, deep: int, calcified: int, offset: int, threshold: float) -> DataFrame:
-    """Deep and calcified zones around an interface, with a test for voids.
-
-    A column whose `deep` voxels above the interface have one below threshold / 2 has a void: its calcified zone then starts
-    at interface + offset and its deep zone ends at the last voxel before the interface that is tissue. Indexes before the
-    top or beyond the end are no voxels.
+    """Deep and calcified zones at an interface, with a test for voids; z counts from the start of the zone.
+
+    The base of a column lies `offset` above its interface; where the interface is nearer to the top than `deep` it is
+    `deep`, where it is nearer to the end than `calcified` it is the last place that leaves room. A void is a value below threshold / 2
+    among the `deep` voxels up to the base. A sound column has its calcified zone from the base on and its deep zone
+    before it. On a void below `deep` the calcified zone starts at base + offset, if that leaves room, and the deep zone
+    ends at the last voxel from base - offset (from the base where there is no room) upward that reaches the threshold, at
+    `deep` at the latest. Indexes before the top or beyond the end are no voxels.
+    """
+    depth = v.groupBy("sample").agg((F.max("z") + 1).alias("depth"))  # one row a sample
+    z, base = F.col("z"), F.col("base")
+    place = F.when(F.col("surface") < deep, F.lit(deep)).when(F.col("depth") - F.col("surface") < calcified, F.col("depth") - calcified).otherwise(F.col("surface") - offset)
+    t = v.join(interface, COLUMN).join(depth, "sample").withColumn("base", place)
+    walk = F.when(base - deep > offset, base - offset).otherwise(base)
+    found = t.groupBy(*COLUMN).agg(F.max(((z > base - deep) & (z <= base) & (F.col("val") < threshold / 2) & (base > deep)).cast("int")).alias("void"), F.max(F.when((z <= walk) & (z > deep) & (F.col("val") >= threshold), z)).alias("tissue"))
+    void = F.col("void") == 1
+    t = t.join(found, COLUMN).withColumns({"end": F.when(void, F.greatest(F.lit(deep), F.coalesce("tissue", F.lit(deep)))).otherwise(base), "start": F.when(void & (base < F.col("depth") - calcified), base + offset).otherwise(base)})
+    zones = F.array(F.struct(F.lit("deep").alias("zone"), (z - F.col("end") + deep).alias("at"), F.lit(deep).alias("size")), F.struct(F.lit("calc").alias("zone"), (z - F.col("start")).alias("at"), F.lit(calcified).alias("size")))
+    return t.select(*COLUMN, "val", "void", F.inline(F.filter(zones, lambda e: (e["at"] >= 0) & (e["at"] < e["size"])))).select("zone", *COLUMN, F.col("at").cast("int").alias("z"), "val", "void")
+
+
+def drop_cut(v: DataFrame, extent: tuple[int, int, int, int], threshold: float, low: int = 0, high: int = 650, step: int = 4, window: int = 50, weight: float = 20.0, ones: float = 192.0, beyond: int = 20) -> DataFrame:
+    """sample, ry, rx, cut: for each of 4 by 4 regions, an eighth of the extent (y1, y2, x1, x2, ends included) wide, the depth to keep.
+
+    At every `step`-th z from low up to high a window is flagged if its values above the threshold sum to more than weight * ones^2.
+    The windows end at the first drop from flagged to not flagged after the second one. The cut is the last flagged
+    z + beyond, at most the depth of the sample; the whole depth if nothing, or only z = 0, is flagged.
     """
-    t = v.join(interface, COLUMN)
-    at = F.col("z") - F.col("surface")
-    void = t.groupBy(*COLUMN).agg(F.max(((at < 0) & (at >= -deep) & (F.col("val") < threshold / 2)).cast("int")).alias("void"), F.max(F.when((at < 0) & (F.col("val") >= threshold / 2), F.col("z"))).alias("tissue"))
-    t = t.join(void, COLUMN)
-    end = F.when(F.col("void") == 1, F.coalesce(F.col("tissue") + 1, F.col("surface"))).otherwise(F.col("surface"))
-    start = F.when(F.col("void") == 1, F.col("surface") + offset).otherwise(F.col("surface"))
-    zone = F.when((F.col("z") < end) & (F.col("z") >= end - deep), "deep").when((F.col("z") >= start) & (F.col("z") < start + calcified), "calc")
-    return t.select(zone.alias("zone"), *COLUMN, F.when(zone == "deep", F.col("z") - (end - deep)).otherwise(F.col("z") - start).cast("int").alias("z"), "val", "void").where("zone is not null")
-
-
-def drop_cut(v: DataFrame, threshold: float, window: int = 50, step: int = 4, beyond: int = 20) -> DataFrame:
-    """For each sample: sums of foreground over a sliding z window at every `step`-th z; the first change from above to below gives the cut, last flagged z + beyond."""
-    sums = v.groupBy("sample", "z").agg(F.sum((F.col("val") > threshold).cast("long")).alias("n"))
-    ahead = Window.partitionBy("sample").orderBy("z").rangeBetween(0, window - 1)
-    seen = sums.withColumn("total", F.sum("n").over(ahead)).where(F.pmod("z", F.lit(step)) == 0)
-    mean = seen.groupBy("sample").agg((F.sum("total").cast("double") / F.count("*")).alias("mean"))
-    order = Window.partitionBy("sample").orderBy("z")
-    flags = seen.join(mean, "sample").withColumn("on", F.col("total") > F.col("mean")).withColumn("was", F.lag("on").over(order)).withColumn("z_was", F.lag("z").over(order))
-    return flags.groupBy("sample").agg((F.min(F.when(F.col("was") & ~F.col("on"), F.col("z_was"))) + beyond).cast("int").alias("cut"))
+    y1, y2, x1, x2 = extent
+    side = (y2 - y1 + 1) // 8, (x2 - x1 + 1) // 8
+    region = [F.floor((F.col(c) - first) / s).cast("int").alias(f"r{c}") for c, first, s in zip("yx", (y1, x1), side, strict=True)]
+    depth = v.groupBy("sample").agg((F.max("z") + 1).alias("depth"))
+    inside = v.where((F.col("y") >= y1) & (F.col("y") < y1 + 4 * side[0]) & (F.col("x") >= x1) & (F.col("x") < x1 + 4 * side[1]))
+    sums = inside.groupBy("sample", *region, "z").agg(F.sum(F.when(F.col("val") > threshold, F.col("val")).otherwise(0)).alias("n"))
+    key = ["sample", "ry", "rx"]
+    order = Window.partitionBy(*key).orderBy("z")
+    seen = sums.withColumn("flag", F.sum("n").over(order.rangeBetween(0, window - 1)) / (ones * ones) > weight)
+    seen = seen.where((F.col("z") >= low) & (F.col("z") < high) & (F.pmod(F.col("z") - low, F.lit(step)) == 0)).withColumn("was", F.lag("flag").over(order))
+    ended = seen.withColumn("dropped", F.max((F.col("was") & ~F.col("flag") & (F.col("z") > low + step)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    last = ended.groupBy(*key).agg(F.max(F.when(F.col("flag") & (F.coalesce("dropped", F.lit(0)) == 0), F.col("z"))).alias("last"))
+    return last.join(depth, "sample").select(*key, F.when(F.coalesce("last", F.lit(0)) == 0, F.col("depth")).otherwise(F.least(F.col("last") + beyond, "depth")).cast("int").alias("cut"))
 
 
 def fill_below(m: DataFrame, edge: DataFrame) -> DataFrame:

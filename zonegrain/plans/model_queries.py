@@ -57,7 +57,7 @@ _add("param_sets", lambda s, d: study.parameter_sets(T.grades(s, d).select(F.col
 # --- segmentation ---
 _CC = ", P AS (SELECT sample, y, x, z, z::BIGINT * 1099511627776 + y * 1048576 + x AS id FROM V WHERE {}), N AS (SELECT a.sample, a.id AS a, b.id AS b FROM P a JOIN P b ON a.sample = b.sample AND abs(a.y - b.y) + abs(a.x - b.x) + abs(a.z - b.z) = 1), R AS (SELECT sample, id AS root, id AS node FROM P UNION SELECT R.sample, R.root, N.b FROM R JOIN N ON N.sample = R.sample AND N.a = R.node), C AS (SELECT sample, node, min(root) AS label FROM R GROUP BY ALL)"
 _add("largest_component", lambda s, d: segment.largest_component(T.voxels(s, d).where("val > 175")), sql("V", _CC.format("val > 175") + ", Z AS (SELECT sample, label, count(*) AS n FROM C GROUP BY ALL), T AS (SELECT sample, first(label ORDER BY n DESC, label) AS label FROM Z GROUP BY sample) SELECT C.sample, P.y, P.x, P.z FROM C JOIN T ON C.sample = T.sample AND C.label = T.label JOIN P ON P.sample = C.sample AND P.id = C.node", True))
-_add("components", lambda s, d: segment.components(T.voxels(s, d).where("val > 175").where("z < 12")).groupBy("sample").agg(F.countDistinct("label").alias("components"), F.count("*").alias("voxels")), sql("V", ", P AS (SELECT sample, y, x, z, z * 64 + y * 8 + x AS id FROM V WHERE val > 175 AND z < 12), N AS (SELECT a.sample, a.id AS a, b.id AS b FROM P a JOIN P b ON a.sample = b.sample AND abs(a.y - b.y) + abs(a.x - b.x) + abs(a.z - b.z) = 1), R AS (SELECT sample, id AS root, id AS node FROM P UNION SELECT R.sample, R.root, N.b FROM R JOIN N ON N.sample = R.sample AND N.a = R.node), C AS (SELECT sample, node, min(root) AS label FROM R GROUP BY ALL) SELECT sample, count(DISTINCT label) AS components, count(*) AS voxels FROM C GROUP BY sample", True))
+_add("components", lambda s, d: segment.components(T.voxels(s, d).where("val > 175")).groupBy("sample", "label").agg(F.count("*").alias("voxels")).drop("label"), sql("V", _CC.format("val > 175") + " SELECT sample, count(*) AS voxels FROM C GROUP BY sample, label", True))
 _add("components_whole", lambda s, d: segment.components(T.voxels(s, d).where("val > 175")).groupBy("sample").agg(F.countDistinct("label").alias("components"), F.count("*").alias("voxels")), sql("V", _CC.format("val > 175") + " SELECT sample, count(DISTINCT label) AS components, count(*) AS voxels FROM C GROUP BY sample", True))
 _add("slice_bounding_boxes", lambda s, d: segment.bounding_boxes(T.voxels(s, d).where("val > 140"), 3))
 _add("kmeans_segment", lambda s, d: segment.kmeans(T.images(s, d)).groupBy("image", "cluster").agg(F.count("*").alias("n")))

@@ -39,8 +39,8 @@ _add("minmax_scale", lambda s, d: V.minmax_to_byte(T.images(s, d)), sql("I", " S
 _add("normalise_intensity", lambda s, d: T.voxels(s, d).select("sample", "y", "x", "z", C.tidy(C.normalised(F.col("val"), 128.0, 32.0)).alias("val"), C.normalised(F.col("val"), 128.0).alias("centred"), C.normalised(F.col("val")).alias("plain")), sql("V", " SELECT sample, y, x, z, round((val - 128.0::DOUBLE) / 32.0, 6) + 0.0 AS val, val - 128.0::DOUBLE AS centred, val::DOUBLE AS plain FROM V"))
 _add("binary_target", lambda s, d: T.grades(s, d).withColumn("target", C.binary_target(F.col("grade"))), sql("G", " SELECT *, (grade > 1)::INT AS target FROM G"))
 _add("name_parse", lambda s, d: T.table(s, d, "pages").select("page_id", C.sample_name(F.col("url")).alias("sample"), C.subject_name(F.concat(F.col("url"), F.lit("_sub3"))).alias("subject"), C.without_sub_image(F.concat(F.substring_index("url", "/", -1), F.lit("_sub3"))).alias("parent")), "SELECT page_id, regexp_replace(regexp_replace(split_part(url, '/', -1), '[.][^.]*$', ''), '_[^_]*$', '') AS sample, split_part(split_part(url || '_sub3', '/', -1), '_', 1) AS subject, split_part(url, '/', -1) AS parent FROM pages")
-_add("mask_subtract", lambda s, d: V.mask_minus(T.voxels(s, d), T.mask(s, d)), sql("V M", " SELECT * FROM V ANTI JOIN M USING (sample, y, x, z)"))
-_add("mask_intersect", lambda s, d: V.mask_and(T.voxels(s, d), T.mask(s, d).where("p < 0.6")), sql("V M", " SELECT * FROM V SEMI JOIN (SELECT * FROM M WHERE p < 0.6) USING (sample, y, x, z)"))
+_add("mask_subtract", lambda s, d: V.mask_minus(T.voxels(s, d), T.mask(s, d)), sql("V", " SELECT * FROM V WHERE val <= 140"))
+_add("mask_intersect", lambda s, d: V.mask_and(T.voxels(s, d), T.mask(s, d).where("p < 0.6")), sql("V", " SELECT * FROM V WHERE val > 140 AND val / 255.0::DOUBLE < 0.6"))
 _add("target_transform", lambda s, d: T.grades(s, d).select("sample", C.tidy(C.backward(C.forward(F.col("grade") + 1, "exp") * 1.5, "exp")).alias("from_exp"), C.tidy(C.backward(C.forward(F.col("grade") + 1, "log") * 1.5, "log")).alias("from_log")), sql("G", " SELECT sample, round(ln(exp(grade + 1) * 1.5), 6) + 0.0 AS from_exp, round(exp(ln(grade + 1) * 1.5), 6) + 0.0 AS from_log FROM G"))
 _add("prediction_clip", lambda s, d: T.features(s, d).where("bin = 0").select("sample", C.tidy(C.clipped(F.col("val") * 10, 3.0)).alias("clipped"), C.tidy(C.no_nan(F.when(F.col("val") > 0, F.col("val")).otherwise(F.lit(float("nan"))))).alias("no_nan")), sql("FE", " SELECT sample, round(least(greatest(val * 10, 0), 3.0), 6) + 0.0 AS clipped, round(CASE WHEN val > 0 THEN val ELSE 0 END, 6) + 0.0 AS no_nan FROM FE WHERE bin = 0"))
 
@@ -82,17 +82,25 @@ _add("slice_boxes", lambda s, d: V.slice_boxes(T.voxels(s, d), 150), sql("V", "
 _BX = ", K AS (SELECT sample, z::DOUBLE AS z, min(x)::DOUBLE AS x1 FROM V WHERE val > 150 GROUP BY ALL)"
 _add("edge_line_angle", lambda s, d: _tidy(V.edge_angle(V.slice_boxes(T.voxels(s, d), 150)), "angle", "slope", "intercept"), sql("V", _BX + " SELECT sample, round(degrees(0.5 * atan2(2 * covar_pop(z, x1), var_pop(z) - var_pop(x1))), 6) + 0.0 AS angle, round(regr_slope(x1, z), 6) + 0.0 AS slope, round(regr_intercept(x1, z), 6) + 0.0 AS intercept FROM K GROUP BY sample"))
 _add("pca_angle", lambda s, d: _tidy(V.plane_angle(T.voxels(s, d).where("val > 150"), "z", "x"), "angle"), sql("V", " SELECT sample, round(degrees(0.5 * atan2(2 * covar_pop(z::DOUBLE, x::DOUBLE), var_pop(z::DOUBLE) - var_pop(x::DOUBLE))), 6) + 0.0 AS angle FROM V WHERE val > 150 GROUP BY sample"))
-_add("void_test_zones", lambda s, d: V.void_zones(T.voxels(s, d), V.surface(T.voxels(s, d), 160), 4, 5, 2, 240), sql("V", ", F AS (SELECT sample, y, x, coalesce(min(z) FILTER (val > 160), 0) AS f FROM V GROUP BY ALL), T AS (SELECT V.*, f FROM V JOIN F USING (sample, y, x)), W AS (SELECT sample, y, x, max((z < f AND z >= f - 4 AND val < 120)::INT) AS void, max(z) FILTER (z < f AND val >= 120) AS tissue FROM T GROUP BY ALL), X AS (SELECT T.*, void, CASE WHEN void = 1 THEN coalesce(tissue + 1, f) ELSE f END AS e, CASE WHEN void = 1 THEN f + 2 ELSE f END AS st FROM T JOIN W USING (sample, y, x)) SELECT CASE WHEN z < e AND z >= e - 4 THEN 'deep' ELSE 'calc' END AS zone, sample, y, x, (CASE WHEN z < e AND z >= e - 4 THEN z - (e - 4) ELSE z - st END)::INT AS z, val, void FROM X WHERE (z < e AND z >= e - 4) OR (z >= st AND z < st + 5)"))
-_add("drop_detect", lambda s, d: V.drop_cut(T.voxels(s, d), 140, 10, 2, 5), sql("V", ", N AS (SELECT sample, z, sum((val > 140)::INT) AS n FROM V GROUP BY ALL), W AS (SELECT *, sum(n) OVER (PARTITION BY sample ORDER BY z RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS total FROM N), K AS (SELECT * FROM W WHERE z % 2 = 0), A AS (SELECT sample, sum(total)::DOUBLE / count(*) AS mean FROM K GROUP BY sample), P AS (SELECT sample, z, total > mean AS o, lag(total > mean) OVER w AS was, lag(z) OVER w AS zw FROM K JOIN A USING (sample) WINDOW w AS (PARTITION BY sample ORDER BY z)) SELECT sample, (min(zw) FILTER (was AND NOT o) + 5)::INT AS cut FROM P GROUP BY sample"))
+_add("void_test_zones", lambda s, d: V.void_zones(T.voxels(s, d), V.surface(T.voxels(s, d), 160), 4, 5, 2, 240), sql("V", """, F AS (SELECT sample, y, x, coalesce(min(z) FILTER (val > 160), 0) AS f FROM V GROUP BY ALL), D AS (SELECT sample, max(z) + 1 AS depth FROM V GROUP BY sample),
+B AS (SELECT sample, y, x, depth, CASE WHEN f < 4 THEN 4 WHEN depth - f < 5 THEN depth - 5 ELSE f - 2 END AS base FROM F JOIN D USING (sample)),
+W AS (SELECT sample, y, x, depth, base, base > 4 AND bool_or(z BETWEEN base - 3 AND base AND val < 120) AS void, coalesce(max(z) FILTER (val >= 240 AND z > 4 AND z <= CASE WHEN base - 4 > 2 THEN base - 2 ELSE base END), 4) AS tissue FROM V JOIN B USING (sample, y, x) GROUP BY sample, y, x, depth, base),
+X AS (SELECT *, CASE WHEN void THEN tissue ELSE base END AS e, CASE WHEN void AND base < depth - 5 THEN base + 2 ELSE base END AS st FROM W)
+SELECT 'deep' AS zone, sample, y, x, (z - e + 4)::INT AS z, val, void::INT AS void FROM V JOIN X USING (sample, y, x) WHERE z < e AND z >= e - 4 UNION ALL
+SELECT 'calc', sample, y, x, (z - st)::INT, val, void::INT FROM V JOIN X USING (sample, y, x) WHERE z >= st AND z < st + 5"""))
+_add("drop_detect", lambda s, d: V.drop_cut(T.voxels(s, d), (0, 7, 0, 7), 140, 0, 1_000_000, 2, 10, 700.0, 1.0, 5), sql("V", """, N AS (SELECT sample, y AS ry, x AS rx, z, sum(CASE WHEN val > 140 THEN val ELSE 0 END) AS n FROM V WHERE y < 4 AND x < 4 GROUP BY ALL), D AS (SELECT sample, max(z) + 1 AS depth FROM V GROUP BY sample),
+W AS (SELECT *, sum(n) OVER (PARTITION BY sample, ry, rx ORDER BY z RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) > 700 AS flag FROM N), K AS (SELECT *, lag(flag) OVER (PARTITION BY sample, ry, rx ORDER BY z) AS was FROM W WHERE z % 2 = 0),
+S AS (SELECT sample, ry, rx, min(z) AS stop FROM K WHERE was AND NOT flag AND z > 2 GROUP BY ALL), L AS (SELECT sample, ry, rx, coalesce(max(z) FILTER (flag AND (stop IS NULL OR z < stop)), 0) AS last FROM K LEFT JOIN S USING (sample, ry, rx) GROUP BY ALL)
+SELECT sample, ry, rx, (CASE WHEN last = 0 THEN depth ELSE least(last + 5, depth) END)::INT AS cut FROM L JOIN D USING (sample)"""))
 _add("fill_below", lambda s, d: V.fill_below(T.mask(s, d).drop("p"), T.voxels(s, d).where("val > 180")), sql("V M", ", F AS (SELECT sample, z, x, min(y) AS f FROM V WHERE val > 180 GROUP BY ALL) SELECT M.sample, M.y, M.x, M.z, M.val FROM M LEFT JOIN F USING (sample, z, x) WHERE f IS NULL OR M.y < f"))
 _add("series_median", lambda s, d: V.running_median(T.series(s, d), "user_id", "pos", "value").select("event_id", C.tidy(F.col("median")).alias("median")), sql("E", ", P AS (SELECT event_id, list(value) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS l FROM E) SELECT event_id, round(list_sort(l || CASE len(l) WHEN 5 THEN [] WHEN 4 THEN [0.0] WHEN 3 THEN [0.0, 0.0] WHEN 2 THEN [0.0, 0.0, 0.0] ELSE [0.0, 0.0, 0.0, 0.0] END)[3], 6) + 0.0 AS median FROM P"))
-_add("mask_apply", lambda s, d: V.apply_mask(T.voxels(s, d), T.mask(s, d).drop("val"), 0.6), sql("V M", " SELECT V.sample, V.y, V.x, V.z, CASE WHEN p > 0.6 THEN V.val ELSE 0 END AS val FROM V LEFT JOIN M USING (sample, y, x, z)"))
+_add("mask_apply", lambda s, d: V.apply_mask(T.voxels(s, d), T.mask(s, d).drop("val"), 0.6), sql("V", " SELECT sample, y, x, z, CASE WHEN val > 140 AND val / 255.0::DOUBLE > 0.6 THEN val ELSE 0 END AS val FROM V"))
 _add("mask_ensemble", lambda s, d: _tidy(V.mean_mask(T.mask(s, d), V.permute(T.mask(s, d).drop("val").withColumnRenamed("p", "val"), ("x", "y", "z")).withColumnRenamed("val", "p"), 0.55), "p"), sql("V M", " SELECT sample, y, x, z, round(sum(p) / 2, 6) + 0.0 AS p FROM (SELECT sample, y, x, z, p FROM M UNION ALL SELECT sample, x, y, z, p FROM M) GROUP BY ALL HAVING sum(p) / 2 >= 0.55"))
 _add("grid_fit", lambda s, d: V.place_mask(T.mask(s, d).drop("val"), 3, 20), sql("V M", " SELECT sample, y, x, z + 3 AS z, floor(p * 255)::INT AS val FROM M WHERE z + 3 < 20"))
 _add("region_cut", lambda s, d: V.region_cut(T.voxels(s, d), V.tile_means(T.voxels(s, d), 4, 4).groupBy("sample", "tile_y", "tile_x").agg(F.max_by("z", F.struct("val", "z")).alias("cut")).select("sample", (F.col("tile_y") * 4).alias("y1"), (F.col("tile_y") * 4 + 4).alias("y2"), (F.col("tile_x") * 4).alias("x1"), (F.col("tile_x") * 4 + 4).alias("x2"), "cut")), sql("V", ", A AS (SELECT sample, y // 4 AS ty, x // 4 AS tx, z, avg(val) AS m FROM V GROUP BY ALL), K AS (SELECT sample, ty, tx, first(z ORDER BY m DESC, z DESC) AS cut FROM A GROUP BY ALL) SELECT V.* FROM V JOIN K ON V.sample = K.sample AND V.y // 4 = ty AND V.x // 4 = tx WHERE z < cut"))
 _add("rescale", lambda s, d: _tidy(V.scale_means(T.voxels(s, d), 4), "val"), sql("V", " SELECT sample, (y // 4)::INT AS y, (x // 4)::INT AS x, (z // 4)::INT AS z, round(avg(val), 6) + 0.0 AS val FROM V GROUP BY ALL"))
-_add("rotate_volume", lambda s, d: _tidy(V.rotated(T.voxels(s, d).where("z < 6"), F.col("sample") * 3.0, 4), "val"), sql("V", """, W AS (SELECT * FROM V WHERE z < 6), K AS (SELECT sample, (min(y) + max(y)) / 2.0::DOUBLE AS cy, (min(x) + max(x)) / 2.0::DOUBLE AS cx, CASE WHEN sample * 3 >= 4 THEN sample * 3.0::DOUBLE ELSE 0 END * (pi() / 180) AS a FROM W GROUP BY sample),
+_add("rotate_volume", lambda s, d: _tidy(V.rotated(T.voxels(s, d), F.col("sample") * 2.0, 4), "val"), sql("V", """, W AS (SELECT * FROM V), K AS (SELECT sample, (min(y) + max(y)) / 2.0::DOUBLE AS cy, (min(x) + max(x)) / 2.0::DOUBLE AS cx, CASE WHEN sample * 2 >= 4 THEN sample * 2.0::DOUBLE ELSE 0 END * (pi() / 180) AS a FROM W GROUP BY sample),
 P AS (SELECT sample, y, x, z, round(cy + cos(a) * (y - cy) + sin(a) * (x - cx), 9) AS fy, round(cx - sin(a) * (y - cy) + cos(a) * (x - cx), 9) AS fx FROM W JOIN K USING (sample)),
 N AS (SELECT sample, y, x, z, (floor(fy) + dy)::INT AS ny, (floor(fx) + dx)::INT AS nx, CASE dy WHEN 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END * CASE dx WHEN 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END AS w FROM P, range(0, 2) t(dy), range(0, 2) u(dx))
 SELECT N.sample, N.y, N.x, N.z, round(sum(w * coalesce(W.val, 0)), 6) + 0.0 AS val FROM N LEFT JOIN W ON N.sample = W.sample AND ny = W.y AND nx = W.x AND N.z = W.z WHERE w > 0 GROUP BY ALL"""))
-_add("rotate_volume_whole", lambda s, d: _tidy(V.rotated(T.voxels(s, d), F.col("sample") * 3.0, 4), "val"), ORACLE["rotate_volume"].replace("SELECT * FROM V WHERE z < 6", "SELECT * FROM V"))
+_add("rotate_volume_whole", lambda s, d: _tidy(V.rotated(T.voxels(s, d), F.col("sample") * 3.0, 4), "val"), ORACLE["rotate_volume"].replace("sample * 2", "sample * 3"))
