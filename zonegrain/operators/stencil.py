@@ -1,14 +1,19 @@
 """Stencils and textures over images as long tables: image, y, x, val.
 
-A stencil is a constant table of offsets that is exploded beside each pixel; the target pixel sums what it is sent. Partial
-sums are made before the shuffle, and the key is the pixel, so one image of any size is dealt over all tasks. Boxes and
-Gaussians are separable: two passes of k offsets instead of k * k.
+Wide stencils (medians, Gaussians, patterns, similarity) go by tiles: a pixel is sent to its tile and to the tiles whose halo
+it lies in, one shuffle of little more than the image, and numpy works on one tile at a time. A tile has a bounded size, so
+one image of any size is dealt over all tasks. Small stencils are constant tables of offsets, exploded beside each pixel; the
+target pixel sums what it is sent, with partial sums before the shuffle.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,24 +85,134 @@ def correlate(images: DataFrame, table: Offsets, edge: str = "zero") -> DataFram
     return inside(_sent(source, table).groupBy(*PIXEL).agg(F.sum(F.col("w") * F.col("val")).alias("val")), images)
 
 
+#: Rows and columns of a tile without its halo, and numbers that a median handles at a time.
+TILE, LOT = 256, 4_000_000
+Grid = dict[str, np.ndarray]
+
+
+def tiled(images: DataFrame, halo: int, work: Callable[[Grid, np.ndarray], Grid], out: str, tile: int = TILE) -> DataFrame:
+    """image, y, x and what work answers (out, a schema) for each pixel of images (image, y, x and values).
+
+    work gets each value as a grid over the pixels of a tile with `halo` more on each side (0 where there is no pixel), and
+    where pixels are; it answers with grids of that shape. Tiles are sorted in their partition and read one after the other, so many small
+    images share a task and no image needs one task.
+    """
+    names = [c for c in images.columns if c not in PIXEL]
+    fields = [f.strip().split(" ")[0] for f in out.split(",")]
+    types = {f.name: f.dataType for f in images.sparkSession.createDataFrame([], out).schema}
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)))
+    sent = images.withColumn("ty", near("y")).withColumn("tx", near("x"))
+    kinds = ", ".join(f"{c} {t}" for c, t in images.select(*PIXEL).dtypes)
+
+    def answer(t: pa.Table) -> pa.RecordBatch:
+        y, x = (t.column(c).to_numpy().astype(np.int64) for c in "yx")
+        y0, x0 = y.min(), x.min()
+        at = y - y0, x - x0
+        there = np.zeros((at[0].max() + 1, at[1].max() + 1), bool)
+        there[at] = True
+        grids = {}
+        for n in names:
+            v = t.column(n).to_numpy()
+            grids[n] = np.zeros(there.shape, v.dtype)
+            grids[n][at] = v
+        found = work(grids, there)
+        own = (y // tile == t.column("ty")[0].as_py()) & (x // tile == t.column("tx")[0].as_py())
+        rows = t.select(PIXEL).filter(pa.array(own)).combine_chunks()
+        at = at[0][own], at[1][own]
+        kept = [rows.column(c).combine_chunks() if rows.num_rows else pa.array([], t.schema.field(c).type) for c in PIXEL]
+        return pa.RecordBatch.from_arrays([*kept, *(pa.array(found[f][at], _ARROW[types[f].typeName()]) for f in fields)], names=[*PIXEL, *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last, done, size = None, [], 0
+        for batch in batches:
+            n = batch.num_rows
+            new = np.zeros(n + 1, bool)
+            new[[0, n]] = True
+            for c in ("image", "ty", "tx") if n > 1 else ():
+                v = batch.column(c)
+                new[1:n] |= pc.not_equal(v.slice(1), v.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(new).tolist() if n else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(batch.column(c)[a].as_py() for c in ("image", "ty", "tx"))
+                if held and key != last:
+                    done.append(answer(pa.Table.from_batches(held)))
+                    size, held = size + done[-1].num_rows, []
+                    if size > 50_000:
+                        yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+                        done, size = [], 0
+                held.append(batch.slice(a, b - a))
+                last = key
+        if held:
+            done.append(answer(pa.Table.from_batches(held)))
+        yield from pa.Table.from_batches(done).combine_chunks().to_batches() if done else ()
+
+    return sent.repartition("image", "ty", "tx").sortWithinPartitions("image", "ty", "tx").mapInArrow(run, f"{kinds}, {out}")
+
+
+_ARROW = {"integer": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+
+
+def _shifted(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    """a[y + dy, x + dx], 0 beyond the grid."""
+    out = np.zeros_like(a)
+    h, w = a.shape
+    if abs(dy) < h and abs(dx) < w:
+        out[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)] = a[max(0, dy) : h - max(0, -dy), max(0, dx) : w - max(0, -dx)]
+    return out
+
+
+def _along(a: np.ndarray, weights: list[float]) -> np.ndarray:
+    """a correlated with the weights along y, then along x."""
+    h = len(weights) // 2
+    for axis in (0, 1):
+        a = sum(w * _shifted(a, *((i - h, 0) if axis == 0 else (0, i - h))) for i, w in enumerate(weights))
+    return a
+
+
+def _medians(a: np.ndarray, size: int) -> np.ndarray:
+    h, n = size // 2, size * size
+    wide = np.pad(a, ((h, size - 1 - h),) * 2)
+    out, step = np.empty_like(a), max(1, LOT // (a.shape[1] * n))
+    for y in range(0, len(a), step):
+        near = np.lib.stride_tricks.sliding_window_view(wide[y : y + step + size - 1], (size, size))
+        out[y : y + step] = np.partition(near.reshape(*near.shape[:2], n), n // 2, -1)[..., n // 2]
+    return out
+
+
+def _reflected(images: DataFrame, pad: int) -> DataFrame:
+    """reflected() with `own`: 1 for the pixels of the image itself."""
+    t = images.select(*PIXEL, "val").join(bounds(images), "image").withColumn("own", F.lit(1))
+    for a in "yx":
+        lo, hi, at = F.col(f"{a}_min"), F.col(f"{a}_max"), F.col(a)
+        copies = F.filter(F.array_distinct(F.array(at, 2 * lo - 1 - at, 2 * hi + 1 - at)), lambda p: (p >= lo - pad) & (p <= hi + pad))  # noqa: B023
+        t = t.withColumn("copy", F.explode(copies)).withColumn("own", F.col("own") * ((F.col("copy") >= lo) & (F.col("copy") <= hi)).cast("int")).withColumn(a, F.col("copy")).drop("copy")
+    return t.select(*PIXEL, F.col("val").cast("double").alias("val"), "own")
+
+
 def blur(images: DataFrame, size: int, sigma: float, edge: str = "reflect") -> DataFrame:
-    w = gauss(size, sigma)
-    return correlate(correlate(images, box_1d(w, "y"), edge), box_1d(w, "x"), edge)
+    """Gaussian means; beyond the edge are zeros, or the image reflected."""
+    w, h = gauss(size, sigma), size // 2
+    source = _reflected(images, h) if edge == "reflect" else images.select(*PIXEL, F.col("val").cast("double").alias("val"), F.lit(1).alias("own"))
+    return tiled(source, h, lambda g, there: {"val": _along(g["val"], w), "own": g["own"]}, "val double, own int").where("own = 1").drop("own")
 
 
 def standardise(images: DataFrame, size1: int, sigma1: float, size2: int, sigma2: float, raw: bool = False) -> DataFrame:
-    """Local contrast: val minus its blur, over the root of the blurred square (of the centred image; raw: of the image) + 1e-9."""
-    centred = images.join(blur(images, size1, sigma1).withColumnRenamed("val", "m"), PIXEL).select(*PIXEL, (F.col("val") - F.col("m")).alias("val"))
-    squares = (images if raw else centred).withColumn("val", F.col("val") * F.col("val"))
-    return centred.join(blur(squares, size2, sigma2).withColumnRenamed("val", "s"), PIXEL).select(*PIXEL, (F.col("val") / (F.sqrt(F.greatest("s", F.lit(0.0))) + 1e-9)).alias("val"))
+    """Local contrast: val minus its blur, over the root of the blurred square (of the centred image; raw: of the image) + 1e-9. Edges are reflected."""
+    w1, w2, halo = gauss(size1, sigma1), gauss(size2, sigma2), size1 // 2 + size2 // 2
+
+    def work(g: Grid, there: np.ndarray) -> Grid:
+        centred = g["val"] - _along(g["val"], w1)
+        squares = _along((g["val"] if raw else centred) ** 2, w2)
+        return {"val": centred / (np.sqrt(np.maximum(squares, 0)) + 1e-9), "own": g["own"]}
+
+    return tiled(_reflected(images, halo), halo, work, "val double, own int").where("own = 1").drop("own")
 
 
 def median_filter(images: DataFrame, size: int) -> DataFrame:
     """Median of size * size pixels, with zeros beyond the edge."""
-    n = size * size
-    got = _sent(images, square(size)).groupBy(*PIXEL).agg(F.collect_list("val").alias("l"))
-    full = F.array_sort(F.concat("l", F.array_repeat(F.lit(0).cast(images.schema["val"].dataType), F.lit(n) - F.size("l"))))
-    return inside(got.select(*PIXEL, F.element_at(full, n // 2 + 1).alias("val")), images)
+    kind = dict(images.dtypes)["val"].replace("bigint", "long")
+    return tiled(images.select(*PIXEL, "val"), size // 2, lambda g, there: {"val": _medians(g["val"], size)}, f"val {kind}")
 
 
 def dilate(images: DataFrame, size: int) -> DataFrame:
@@ -135,41 +250,38 @@ def sobel(images: DataFrame) -> DataFrame:
 # --- local binary patterns --------------------------------------------------------------------------------------------
 
 
-def neighbours(parts: list[tuple[DataFrame, str, float]], n: int) -> DataFrame:
-    """For each pixel, the n circle neighbours of each (images, name, radius) as columns name0, name1, ...; one shuffle for all parts."""
-    sent = None
-    for images, name, radius in parts:
-        table = F.array(*(F.struct(F.lit(f"{name}{k}").alias("k"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(float(w)).alias("w")) for k in range(n) for dy, dx, w in circle(k, n, radius)))
-        one = images.withColumn("o", F.explode(table)).select("image", (F.col("y") - F.col("o.dy")).alias("y"), (F.col("x") - F.col("o.dx")).alias("x"), F.col("o.k").alias("k"), (F.col("o.w") * F.col("val")).alias("v"))
-        sent = one if sent is None else sent.unionByName(one)
-    return sent.groupBy(*PIXEL).agg(*(F.sum(F.when(F.col("k") == f"{name}{k}", F.col("v"))).alias(f"{name}{k}") for _, name, _ in parts for k in range(n)))
+def _circle(a: np.ndarray, n: int, radius: float) -> list[np.ndarray]:
+    """The n neighbours of each pixel on a circle."""
+    return [sum(w * _shifted(a, dy, dx) for dy, dx, w in circle(k, n, radius)) for k in range(n)]
 
 
-def pattern(values: list[Column]) -> Column:
+def _pattern(values: list[np.ndarray]) -> np.ndarray:
     """A bit for each value that isn't negative; rounded, so that equal sums in another order give equal bits."""
-    return sum((F.when(F.round(v, 9) >= 0, 1 << k).otherwise(0) for k, v in enumerate(values)), F.lit(0))
+    return sum((np.round(v, 9) >= 0).astype(np.int32) << k for k, v in enumerate(values))
 
 
 def lbp(images: DataFrame, radius: float = 1, n: int = 8) -> DataFrame:
     """The plain pattern of each pixel that has all its neighbours: neighbour >= centre."""
-    near = neighbours([(images, "a", radius)], n)
-    t = inside(images.join(near, PIXEL), images, math.ceil(radius))
-    return t.select(*PIXEL, pattern([F.col(f"a{k}") - F.col("val") for k in range(n)]).alias("code"))
+    work = lambda g, there: {"code": _pattern([v - g["val"] for v in _circle(g["val"].astype(float), n, radius)])}
+    return inside(tiled(images.select(*PIXEL, "val"), math.ceil(radius), work, "code int"), images, math.ceil(radius))
 
 
 def codes(images: DataFrame, n: int, large: float, small: float, wc: int, wl: int, ws: int, margin: int) -> DataFrame:
     """Median-robust extended patterns: image, y, x, centre (0 or 1), large, small and radial codes, inside the margin.
 
-    Scaling an image by its standard deviation changes no sign here, so values are taken as they are.
+    Medians, neighbours and patterns of a tile are one step. Scaling an image by its standard deviation changes no sign here, so values are taken as they are.
     """
-    medians = {w: median_filter(images, w) for w in {wc, wl, ws}}
-    near = inside(neighbours([(medians[wl], "l", large), (medians[ws], "s", small)], n), images, margin)
-    centre = inside(medians[wc], images, margin)
-    mean = centre.groupBy("image").agg(F.avg("val").alias("mean"))
-    flags = centre.join(mean, "image").select(*PIXEL, (F.round(F.col("val") - F.col("mean"), 9) < 0).cast("int").alias("centre"))
-    l, s = ([F.col(f"{p}{k}") for k in range(n)] for p in "ls")
-    ml, ms = (sum(x[1:], x[0]) / n for x in (l, s))
-    return flags.join(near, PIXEL).select(*PIXEL, "centre", pattern([x - ml for x in l]).alias("large"), pattern([x - ms for x in s]).alias("small"), pattern([a - b for a, b in zip(l, s, strict=True)]).alias("radial"))
+
+    def work(g: Grid, there: np.ndarray) -> Grid:
+        medians = {w: _medians(g["val"].astype(float), w) for w in {wc, wl, ws}}
+        l, s = _circle(medians[wl], n, large), _circle(medians[ws], n, small)
+        ml, ms = sum(l) / n, sum(s) / n
+        return {"m": medians[wc], "large": _pattern([v - ml for v in l]), "small": _pattern([v - ms for v in s]), "radial": _pattern([a - b for a, b in zip(l, s, strict=True)])}
+
+    halo = max(math.ceil(large) + wl // 2, math.ceil(small) + ws // 2, wc // 2)
+    t = inside(tiled(images.select(*PIXEL, "val"), halo, work, "m double, large int, small int, radial int"), images, margin)
+    mean = t.groupBy("image").agg(F.avg("m").alias("mean"))
+    return t.join(mean, "image").select(*PIXEL, (F.round(F.col("m") - F.col("mean"), 9) < 0).cast("int").alias("centre"), "large", "small", "radial")
 
 
 def histogram(coded: DataFrame, n: int = 8, normalise: bool | None = None) -> DataFrame:
@@ -212,14 +324,16 @@ def noise(images: DataFrame, size: int = 5) -> DataFrame:
 
 def ssim(a: DataFrame, b: DataFrame, size: int = 7, span: float = 255.0) -> DataFrame:
     """Mean structural similarity of two images over full size * size windows."""
-    both = a.join(b.withColumnRenamed("val", "o"), PIXEL).withColumn("o_", F.explode(offsets(square(size))))
-    at = both.select("image", (F.col("y") - F.col("o_.dy")).alias("y"), (F.col("x") - F.col("o_.dx")).alias("x"), F.col("val").cast("double").alias("p"), F.col("o").cast("double").alias("q"))
-    p, q = F.col("p"), F.col("q")
-    w = at.groupBy(*PIXEL).agg(F.count("*").alias("n"), F.avg("p").alias("mp"), F.avg("q").alias("mq"), F.sum(p * p).alias("pp"), F.sum(q * q).alias("qq"), F.sum(p * q).alias("pq")).where(F.col("n") == size * size)
-    n, mp, mq = F.col("n"), F.col("mp"), F.col("mq")
-    vp, vq, c = ((F.col(k) - n * x * y) / (n - 1) for k, x, y in (("pp", mp, mp), ("qq", mq, mq), ("pq", mp, mq)))
-    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
-    return w.groupBy("image").agg(F.avg((2 * mp * mq + c1) * (2 * c + c2) / ((mp * mp + mq * mq + c1) * (vp + vq + c2))).alias("ssim"))
+    n, ones, c1, c2 = size * size, [1.0] * size, (0.01 * span) ** 2, (0.03 * span) ** 2
+
+    def work(g: Grid, there: np.ndarray) -> Grid:
+        p, q = g["p"], g["q"]
+        mp, mq = _along(p, ones) / n, _along(q, ones) / n
+        vp, vq, c = ((_along(u * v, ones) - n * s * t) / (n - 1) for u, v, s, t in ((p, p, mp, mp), (q, q, mq, mq), (p, q, mp, mq)))
+        return {"s": (2 * mp * mq + c1) * (2 * c + c2) / ((mp * mp + mq * mq + c1) * (vp + vq + c2)), "full": (np.round(_along(there.astype(float), ones)) == n).astype(np.int32)}
+
+    both = a.join(b.withColumnRenamed("val", "o"), PIXEL).select(*PIXEL, F.col("val").cast("double").alias("p"), F.col("o").cast("double").alias("q"))
+    return tiled(both, size // 2, work, "s double, full int").where("full = 1").groupBy("image").agg(F.avg("s").alias("ssim"))
 
 
 def padded(images: DataFrame, pad: int) -> DataFrame:
