@@ -38,6 +38,12 @@ def saved(df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, *counts: Column) -> tuple[DataFrame, dict]:
+    """saved(df), and aggregates over its rows."""
+    out = saved(df, name)
+    return out, out.agg(*counts).first().asDict()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

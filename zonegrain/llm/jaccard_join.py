@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonegrain.llm import common
@@ -32,9 +32,9 @@ SHINGLE, NUMERATOR = 5, 75
 #: Sets that a rare token is in at most.
 RARE = 64
 #: Shingles of a set that is indexed by pairs of frequent tokens at most; beyond it by single ones.
-PAIRED = 192
-#: Links that a round must find for each set that isn't settled, for another round with one leader a set; and the leaders of a group in the rounds after that, as powers.
-WORTH, GROWTH = 0.1, 4
+PAIRED = 64
+#: Links that a round must find for each set that met a leader, for another round with one leader a set; and the leaders of a group in the rounds after that, as powers.
+WORTH, GROWTH = 0.4, 4
 #: Sets that share a 64-bit signature with another one and are told by a second one: at most (among 10^11 sets 300 are expected).
 CLASHES = 100_000
 #: Shingles that a range of tokens has at most, about.
@@ -292,6 +292,10 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", both.alias("both")).select("a", "b", (1 - F.col("both") / union).alias("distance"), (F.col("both") * 100 >= union * NUMERATOR).alias("links"))
 
 
+def _n_rows() -> Column:
+    return F.count(F.lit(1)).alias("rows")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b): root is the same all over a component.
 
@@ -299,27 +303,26 @@ def components(edges: DataFrame) -> DataFrame:
     what is left shrinks by half or more.
     """
     spark, labels = edges.sparkSession, None
-    edges = common.saved(edges.where("a <> b").distinct(), "edges")
-    while not edges.isEmpty():
+    edges, left = common.counted(edges.where("a <> b").distinct(), "edges", _n_rows())
+    while left["rows"]:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = common.saved(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "pointers")
-        while True:
+        up, moved = common.saved(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "pointers"), {"rows": 1}
+        while moved["rows"]:
             far = up.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
-            up = common.saved(up.join(far, "root", "left").select("node", F.coalesce("beyond", "root").alias("root"), (F.coalesce("beyond", "root") != F.col("root")).alias("moved")), "pointers")
-            done = up.where("moved").isEmpty()
+            farther = up.select(F.col("node").alias("beyond"), F.col("root").alias("end"))
+            ends = up.join(far, "root", "left").join(farther, "beyond", "left").select("node", F.coalesce("end", "beyond", "root").alias("root"), (F.coalesce("end", "beyond", "root") != F.col("root")).alias("moved"))
+            up, moved = common.counted(ends, "pointers", F.count_if("moved").alias("rows"))
             up = up.drop("moved")
-            if done:
-                break
         ends = lambda c: up.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
-        edges = common.saved(edges.join(ends("a"), "a").join(ends("b"), "b").where("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "edges")
+        edges, left = common.counted(edges.join(ends("a"), "a").join(ends("b"), "b").where("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "edges", _n_rows())
         labels = up if labels is None else common.saved(labels.join(up.select(F.col("node").alias("root"), F.col("root").alias("beyond")), "root", "left").select("node", F.coalesce("beyond", "root").alias("root")), "labels")
     return labels if labels is not None else spark.createDataFrame([], "node long, root long")
 
 
-def _settled(live: DataFrame) -> DataFrame:
-    """The entries of groups that still have two components and a member that can be the smaller one of a pair."""
+def _settled(live: DataFrame) -> tuple[DataFrame, dict]:
+    """The entries of groups that still have two components and a member that can be the smaller one of a pair; and how many (rows)."""
     open_ = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("small").alias("some")).where("lo <> hi and some").select("key")
-    return common.saved(live.join(open_, "key"), "entries")
+    return common.counted(live.join(open_, "key"), "entries", _n_rows())
 
 
 def linked(keys: DataFrame, sets: DataFrame) -> DataFrame:
@@ -328,10 +331,10 @@ def linked(keys: DataFrame, sets: DataFrame) -> DataFrame:
     far = 1 - NUMERATOR / 100 + 1e-9
     can = (m * 100 >= n * NUMERATOR) & (n * 100 >= m * NUMERATOR) & (F.least("rest", "lead_rest") * (100 + NUMERATOR) >= (n + m) * NUMERATOR) & (F.col("small") | F.col("lead_small")) & (F.col("root") != F.col("lead_root"))
     near = ~F.coalesce((F.col("pivot") == F.col("lead_pivot")) & (F.abs(F.col("away") - F.col("lead_away")) > far), F.lit(False))
-    live = _settled(keys.withColumns({"root": F.col("sid"), "pivot": F.lit(None).cast("long"), "away": F.lit(None).cast("double")}))
+    live, left = _settled(keys.withColumns({"root": F.col("sid"), "pivot": F.lit(None).cast("long"), "away": F.lit(None).cast("double")}))
     tried = links = None
     leaders, k = 0, 0  # leaders of a group; 0 while each set meets one leader of all its groups
-    while not live.isEmpty():
+    while left["rows"]:
         lead = F.struct(F.xxhash64("sid", F.lit(k)).alias("o"), F.col("sid").alias("lead"), F.col("n").alias("m"), F.col("rest").alias("lead_rest"), F.col("small").alias("lead_small"), F.col("root").alias("lead_root"), F.col("pivot").alias("lead_pivot"), F.col("away").alias("lead_away"))
         if leaders:
             size = live.groupBy("key", "root").agg(F.count("*").alias("members"))
@@ -341,10 +344,9 @@ def linked(keys: DataFrame, sets: DataFrame) -> DataFrame:
             chosen = live.where("small").groupBy("key").agg(F.min(lead).alias("l")).select("key", "l.*")
         met = live.join(chosen, "key").where(can & near)
         if not leaders:
-            met = common.saved(met.groupBy("sid").agg(F.min_by("lead", "o").alias("lead")), "met")
-            members = live.agg(F.count_distinct("sid")).first()[0]
+            met, members = common.counted(met.groupBy("sid").agg(F.min_by("lead", "o").alias("lead")), "met", _n_rows())
         pairs = met.select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
-        found = common.saved(measured(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), sets), "pairs")
+        found, count = common.counted(measured(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), sets), "pairs", F.count_if("links").alias("links"))
         tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
         links = found.where("links") if links is None else links.unionByName(found.where("links"))
         if k == 0:
@@ -354,11 +356,10 @@ def linked(keys: DataFrame, sets: DataFrame) -> DataFrame:
             live = live.drop("pivot", "away").join(pivots, "sid", "left")
         if leaders:
             live = live.join(chosen.select("key", F.col("lead").alias("sid")), ["key", "sid"], "left_anti")
-        count = found.agg(F.count("*").alias("pairs"), F.count_if("links").alias("links")).first()
         if count["links"]:
             live = live.drop("root").join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        live, k = _settled(live), k + 1
-        leaders = GROWTH * leaders if leaders else GROWTH * int(count["links"] < WORTH * members)
+        (live, left), k = _settled(live), k + 1
+        leaders = GROWTH * leaders if leaders else GROWTH * int(count["links"] <= WORTH * members["rows"])
     return components(links) if links is not None else keys.sparkSession.createDataFrame([], "node long, root long")
 
 
