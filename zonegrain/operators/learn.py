@@ -72,29 +72,58 @@ def folded(model: dict, w: list[float]) -> list[float]:
     return (np.array(model["eigvec"]).T @ (np.array(w) / np.array(model["sv"]))).tolist()
 
 
-def logistic_logo(rows: DataFrame, d: int, c: float = 1.0, steps: int = 8) -> DataFrame:
+def _newton_sums(t: DataFrame, d: int, by: list[str]) -> DataFrame:
+    """Gradient and Hessian sums of the logistic loss of rows (x, y, w)."""
+    x, p = [F.get("x", F.lit(i)) for i in range(d)], F.col("p")
+    t = t.withColumn("p", 1 / (1 + F.exp(-dot(F.col("x"), F.col("w")))))
+    return t.groupBy(*by).agg(*(F.sum((F.col("y").cast("double") - p) * x[i]).alias(f"g{i}") for i in range(d)), *(F.sum(p * (1 - p) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d)))
+
+
+def _newton_step(r: dict, w: np.ndarray, d: int, c: float) -> np.ndarray:
+    g = c * np.array([r[f"g{i}"] or 0.0 for i in range(d)]) - w
+    h = c * np.array([[r[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)]) + np.eye(d)
+    return np.linalg.solve(h, g)
+
+
+#: Change of a weight at which Newton steps end.
+STILL = 1e-9
+
+
+def logistic_fit(rows: DataFrame, d: int, c: float = 1.0) -> np.ndarray:
+    """Weights of the L2 logistic model (no intercept) of rows (x, y), by Newton steps until they stand still."""
+    w = np.zeros(d)
+    while True:
+        r = _newton_sums(rows.withColumn("w", F.array(*(F.lit(float(v)) for v in w))), d, []).first().asDict()
+        step = _newton_step(r, w, d, c)
+        w = w + step
+        if np.abs(step).max() < STILL:
+            return w
+
+
+def logistic_logo(rows: DataFrame, d: int, c: float = 1.0) -> DataFrame:
     """rows (row_id, group_id, x, y) with the probability of the L2 logistic model (no intercept) that was fitted without their group.
 
-    Newton steps for all folds together: one pass gives gradient and Hessian of each fold. Each row meets each fold's
-    weights, of which there is one row a group; folds aren't refitted one by one.
+    All folds start from the fit on everything and take Newton steps together until none moves: a pass gives the sums of
+    each fold, to which a row is sent for every group but its own, one row of weights a group. Groups are a bounded list.
     """
     spark = rows.sparkSession
-    folds = [r[0] for r in rows.select("group_id").distinct().orderBy("group_id").collect()]
     kind = dict(rows.dtypes)["group_id"]
-    w = np.zeros((len(folds), d))
-    y = F.col("y").cast("double")
-    table = lambda: spark.createDataFrame([(f, v.tolist()) for f, v in zip(folds, w, strict=True)], f"fold {kind}, w array<double>")
-    for _ in range(steps):
-        t = rows.join(F.broadcast(table()), F.col("group_id") != F.col("fold")).withColumn("p", 1 / (1 + F.exp(-dot(F.col("x"), F.col("w")))))
-        v = F.col("p") * (1 - F.col("p"))
-        x = [F.get("x", F.lit(i)) for i in range(d)]
-        s = t.groupBy("fold").agg(*(F.sum((y - F.col("p")) * x[i]).alias(f"g{i}") for i in range(d)), *(F.sum(v * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d)))
-        for r in s.collect():
-            k = folds.index(r["fold"])
-            g = c * np.array([r[f"g{i}"] for i in range(d)]) - w[k]
-            h = c * np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) + np.eye(d)
-            w[k] += np.linalg.solve(h, g)
-    return rows.join(F.broadcast(table().withColumnRenamed("fold", "group_id")), "group_id").withColumn("probability", 1 / (1 + F.exp(-dot(F.col("x"), F.col("w"))))).drop("w")
+    folds = [r[0] for r in rows.select("group_id").distinct().orderBy("group_id").collect()]
+    w = {f: logistic_fit(rows, d, c) for f in folds[:1]}
+    w = {f: w[folds[0]].copy() for f in folds}
+    live = list(folds)
+    while live:
+        models = F.array(*(F.struct(F.lit(f).cast(kind).alias("fold"), F.array(*(F.lit(float(x)) for x in w[f])).alias("w")) for f in live))
+        sent = rows.select("group_id", "x", "y", F.explode(F.filter(models, lambda m: m["fold"] != F.col("group_id"))).alias("m")).select("x", "y", F.col("m.fold").alias("fold"), F.col("m.w").alias("w"))
+        moved = []
+        for r in _newton_sums(sent, d, ["fold"]).collect():
+            step = _newton_step(r.asDict(), w[r["fold"]], d, c)
+            w[r["fold"]] = w[r["fold"]] + step
+            if np.abs(step).max() >= STILL:
+                moved.append(r["fold"])
+        live = moved
+    table = spark.createDataFrame([(f, v.tolist()) for f, v in w.items()], f"group_id {kind}, w array<double>")
+    return rows.join(F.broadcast(table), "group_id").withColumn("probability", 1 / (1 + F.exp(-dot(F.col("x"), F.col("w"))))).drop("w")
 
 
 def explained(rows: DataFrame, d: int, alpha: float = 1.0) -> DataFrame:
@@ -108,7 +137,7 @@ def explained(rows: DataFrame, d: int, alpha: float = 1.0) -> DataFrame:
 
 
 def search(rows: DataFrame, d: int, alphas: dict[int, float]) -> DataFrame:
-    """par_id, group_id, error: the mean squared error of each parameter set on each held-out group. The fold sums are made once."""
+    """par_id, group_id, error: the mean squared error of each parameter set on each held-out group."""
     out = None
     for par, alpha in alphas.items():
         p = study.predict(rows, study.fold_models(rows, d, alpha), d)
@@ -148,8 +177,9 @@ def lda(rows: DataFrame, d: int, classes: list[int], ridge: float = 1e-6) -> Dat
 
 
 def first_rows(rows: DataFrame, split: int, order: str) -> DataFrame:
-    """rows with `train`: true for the first `split` of them."""
-    return rows.withColumn("train", F.row_number().over(Window.orderBy(order)) <= split) if split < 10_000 else rows.join(F.broadcast(rows.select(order).orderBy(order).limit(split).withColumn("train", F.lit(True))), order, "left").withColumn("train", F.coalesce("train", F.lit(False)))
+    """rows with `train`: true for the first `split` of them by distinct values of `order`; rows of an equal value go together."""
+    last = rows.select(order).orderBy(order).limit(split).agg(F.max(order).alias("__last"))  # one row
+    return rows.join(F.broadcast(last)).withColumn("train", F.coalesce(F.col(order) <= F.col("__last"), F.lit(False))).drop("__last")
 
 
 def forest_logo(rows: DataFrame, d: int, trees: int = 50, seed: int = 42) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from zonegrain.functions.columns import lcg
 from zonegrain.operators import stencil
+from zonegrain.sources import shared
 
 FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 EIGHT = [(dy, dx, 0) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
@@ -24,10 +25,7 @@ def components(points: DataFrame, moves: list[tuple[int, int, int]] = FACES) ->
     number of rounds is about the logarithm of the longest path. Lineage is cut by checkpoint().
     """
     spark = points.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared.folder(spark)
     number = lambda y, x, z: z.cast("long") * (1 << 40) + y.cast("long") * (1 << 20) + x.cast("long")
     at = points.select(*VOXEL).distinct().withColumn("id", number(F.col("y"), F.col("x"), F.col("z"))).withColumn("label", F.col("id")).checkpoint()
     near = F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(c).alias("dz")) for a, b, c in [(0, 0, 0), *moves]))

@@ -6,6 +6,7 @@ Small solves (d by d) run beside each other, one row a fold, in a pandas functio
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -129,6 +130,15 @@ def with_rank(t: DataFrame, value: str, name: str) -> DataFrame:
     return t.join(ranked, value)
 
 
+def _below(value: Column, cuts: list) -> Column:
+    """How many of the ascending cuts lie below a value, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    n, table = 1 << len(cuts).bit_length(), F.array(*map(F.lit, cuts))
+    steps = F.array(*(F.lit(n >> i) for i in range(1, n.bit_length())))
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when((at + step <= len(cuts)) & (F.get(table, at + step - 1) < value), step).otherwise(0))
+
+
 def _offsets(counts: DataFrame, value: str, desc: bool = False, sums: tuple[str, ...] = ("c",)) -> DataFrame:
     """counts with `before` (before_<sum>): totals of all rows with a smaller value, without one task that orders all.
 
@@ -139,7 +149,7 @@ def _offsets(counts: DataFrame, value: str, desc: bool = False, sums: tuple[str,
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = counts.select(F.percentile_approx(value, [i / n for i in range(1, n)] or [0.5]).alias("q")).first()[0] or []
     cuts = sorted(set(cuts))
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda q: q < F.col(value))) if cuts else F.lit(0)
+    at = _below(F.col(value), cuts)
     placed = counts.withColumn("bucket", -at if desc else at)
     totals = placed.groupBy("bucket").agg(*(F.sum(c).alias(f"t_{c}") for c in sums))
     lower = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -150,17 +160,49 @@ def _offsets(counts: DataFrame, value: str, desc: bool = False, sums: tuple[str,
     return out.select(*counts.columns, *((F.col(f"b_{c}") + F.col(f"w_{c}")).alias(names[c]) for c in sums))
 
 
+def student_p(t: float, df: float) -> float:
+    """Chance of a Student t at least as far from 0: the incomplete beta function by its continued fraction."""
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x >= 1:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) if x > 0 else 0.0
+
+    def fraction(x: float, a: float, b: float) -> float:
+        c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+        h = d
+        for m in range(1, 500):
+            for e in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                c, d = 1 + e / c, 1 / (1 + e * d)
+                h *= c * d
+            if abs(c * d - 1) < 1e-14:
+                break
+        return h
+
+    return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+
+
+def _one_number(f: Callable[..., float]) -> Callable[..., Column]:
+    """f for columns of a table of one row (a report)."""
+    return F.udf(lambda *x: None if None in x else float(f(*x)), "double")
+
+
 def spearman(t: DataFrame, a: str, b: str) -> DataFrame:
-    """rho and n: the correlation of average ranks."""
+    """rho and n: the correlation of average ranks; and p of no correlation by Student's t."""
     r = with_rank(with_rank(t.select(a, b), a, "ra"), b, "rb")
-    return r.agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
+    rho = r.agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
+    p = _one_number(lambda rho, n: student_p(rho * math.sqrt(max(n - 2, 0) / max(1 - rho * rho, 1e-300)), max(n - 2, 1)))
+    return rho.withColumn("p", p("rho", "n"))
 
 
 def wilcoxon(t: DataFrame, a: str, b: str) -> DataFrame:
-    """The smaller of the signed rank sums, n, and z of the normal approximation; zero differences are dropped."""
+    """The smaller of the signed rank sums, n, z and p of the normal approximation, with ties taken into account; zero differences are dropped."""
     d = t.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("size", F.abs("d"))
     s = with_rank(d, "size", "rank").agg(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0)).alias("plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0)).alias("minus"), F.count("*").alias("n"))
-    return s.select(F.least("plus", "minus").alias("statistic"), "n")
+    c = F.col("c").cast("double")
+    ties = d.groupBy("size").agg(F.count("*").alias("c")).agg(F.sum(c * c * c - c).alias("ties"))
+    n = F.col("n").cast("double")
+    z = (F.least("plus", "minus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    return s.join(F.broadcast(ties)).select(F.least("plus", "minus").alias("statistic"), "n", z.alias("z")).withColumn("p", _one_number(lambda z: math.erfc(abs(z) / math.sqrt(2)))("z"))
 
 
 def roc_points(t: DataFrame, label: str, score: str) -> DataFrame:
@@ -216,7 +258,7 @@ def fold_sums(rows: DataFrame, d: int) -> DataFrame:
     return rows.groupBy("group_id").agg(F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("yy"), *(F.sum(x(i)).alias(f"s{i}") for i in range(d)), *(F.sum(x(i) * y).alias(f"c{i}") for i in range(d)), *(F.sum(x(i) * x(j)).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)))
 
 
-def _ridge(stat: pd.Series, d: int, alpha: float, normalise: bool, lasso: bool = False) -> np.ndarray:
+def ridge(stat: pd.Series, d: int, alpha: float, normalise: bool, lasso: bool = False) -> np.ndarray:
     """Coefficients and intercept from sums; the penalty acts on centred columns over their L2 norm if normalise."""
     n, mx, my = stat["n"], np.array([stat[f"s{i}"] for i in range(d)]) / stat["n"], stat["sy"] / stat["n"]
     g = np.array([[stat[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) - n * np.outer(mx, mx)
@@ -243,7 +285,7 @@ def fold_models(rows: DataFrame, d: int, alpha: float = 1.0, normalise: bool = T
 
     def solve(parts):
         for pdf in parts:
-            yield pd.DataFrame({"group_id": pdf["group_id"], "w": [_ridge(r, d, alpha, normalise, lasso).tolist() for _, r in pdf.iterrows()]})
+            yield pd.DataFrame({"group_id": pdf["group_id"], "w": [ridge(r, d, alpha, normalise, lasso).tolist() for _, r in pdf.iterrows()]})
 
     kind = dict(rows.dtypes)["group_id"]
     return left.mapInPandas(solve, f"group_id {kind}, w array<double>")

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonegrain.operators import learn, stencil, study, volume
+from zonegrain.sources.files import PARAMETERS
+
+
+#: What titles of zone images begin with.
+ZONES = ("surf", "deep", "calc")
 
 
 def zone_images(v: DataFrame, side: int, zones: dict[str, tuple[int, int]], centre_at: float = 128) -> DataFrame:
@@ -24,6 +29,28 @@ def texture_features(images: DataFrame, **parameters) -> DataFrame:
     return stencil.mrelbp(images, **parameters).select(F.col("image").alias("sample"), "bin", "val")
 
 
+def picked(images: DataFrame, title: str) -> DataFrame:
+    """The images (zone, ...) of the zone that a title begins with; an error for any other title."""
+    zone = title[:4].lower()
+    if zone not in ZONES:
+        raise ValueError(f"a title begins with one of {', '.join(ZONES)}: {title!r}")
+    return images.where(F.col("zone") == zone)
+
+
+def zone_features(images: DataFrame, parameters: DataFrame) -> DataFrame:
+    """zone, sample, bin, val of zone images (zone, sample, y, x, val) by the parameters of their zone (a row for each zone).
+
+    Local standardisation, then median-robust patterns as shares of each histogram.
+    """
+    out = None
+    for p in parameters.orderBy("zone").collect():  # a row a zone
+        one = picked(images, p["zone"]).select(F.col("sample").alias("image"), "y", "x", F.col("val").cast("double").alias("val"))
+        even = stencil.standardise(one, p["ks1"], p["sigma1"], p["ks2"], p["sigma2"])
+        bins = texture_features(even, n=p["N"], large=p["large"], small=p["small"], wc=p["wc"], wl=p["wl"], ws=p["ws"], normalise=False).select(F.lit(p["zone"]).alias("zone"), "sample", "bin", "val")
+        out = bins if out is None else out.unionByName(bins)
+    return out
+
+
 def graded(features: DataFrame, grades: DataFrame, n: int = 5, alpha: float = 1.0) -> tuple[DataFrame, dict]:
     """sample, actual, prediction (clipped to the grades' range), and the PCA model: zero bins dropped, whitened scores, ridge by group."""
     kept = study.without_zero_bins(features)
@@ -48,3 +75,72 @@ def zone_table(listings: dict[str, DataFrame], names: DataFrame) -> DataFrame:
         out = one if out is None else out.unionByName(one)
     pos = F.row_number().over(Window.partitionBy("zone").orderBy("path")) - 1
     return out.withColumn("pos", pos).join(names, ["zone", "pos"])
+
+
+def metrics(t: DataFrame, limit: float = 1) -> DataFrame:
+    """name, value: of rows (actual, prediction); the classification metrics tell grades above the limit."""
+    y = t.select("actual", "prediction", (F.col("actual") > limit).cast("int").alias("y"))
+    long = lambda df: df.unpivot([], [c for c in df.columns if c != "n"], "name", "value")
+    parts = [study.regression_metrics(y, "actual", "prediction"), study.auc(y, "y", "prediction"), study.average_precision(y, "y", "prediction").select("average_precision"), study.spearman(y, "actual", "prediction").select("rho", F.col("p").alias("rho_p")), study.wilcoxon(y, "actual", "prediction").select("statistic", F.col("p").alias("statistic_p"))]
+    out = None
+    for one in parts:
+        one = long(one.select(*(F.col(c).cast("double").alias(c) for c in one.columns)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def report(predictions: DataFrame) -> DataFrame:
+    """sample, actual, prediction, difference, in order of sample."""
+    return predictions.select("sample", "actual", "prediction", F.abs(F.col("actual") - F.col("prediction")).alias("difference")).orderBy("sample")
+
+
+def stored_model(rows: DataFrame, model: dict, zone: str, c: float = 1.0, limit: float = 1) -> DataFrame:
+    """One row of learn.MODEL: the components with linear and logistic weights on whitened scores, fitted on all rows (row_id, group_id, x, y)."""
+    k = len(model["sv"])
+    sums = study.fold_sums(rows.withColumn("group_id", F.lit(0)), k).toPandas().iloc[0].astype(float)
+    w = study.ridge(sums, k, 1.0, False)
+    v = learn.logistic_fit(rows.withColumn("y", (F.col("y") > limit).cast("double")), k, c)
+    row = (zone, k, [float(x) for x in model["mean"]], model["eigvec"], [float(x) for x in model["sv"]], w[:-1].tolist(), v.tolist(), float(w[-1]), 0.0)
+    return rows.sparkSession.createDataFrame([row], learn.MODEL)
+
+
+def weight_report(models: DataFrame) -> DataFrame:
+    """zone, kind, bin, weight: linear and logistic weights of stored models, mapped back to the features, plus the mean."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(w).alias("w")) for k, w in (("linear", "w_lin"), ("logistic", "w_log")))))
+    t = models.select("zone", "eigvec", "mean", kinds.alias("k")).select("zone", F.col("k.kind").alias("kind"), F.posexplode("mean").alias("bin", "m"), "eigvec", F.col("k.w").alias("w"))
+    back = F.aggregate(F.zip_with("eigvec", "w", lambda e, w: F.get(e, F.col("bin")) * w), F.lit(0.0), lambda a, b: a + b)
+    return t.select("zone", "kind", "bin", (back + F.col("m")).alias("weight"))
+
+
+def grading(images: DataFrame, grades: DataFrame, parameters: DataFrame, n: int = 5, limit: float = 1, replicates: int = 50) -> dict[str, DataFrame]:
+    """From zone images (zone, sample, y, x, val) to predictions, metrics, ROC curves and bootstrapped AUC intervals, by zone."""
+    features = zone_features(images, parameters)
+    out: dict[str, DataFrame] = {}
+    for zone in [r[0] for r in parameters.select("zone").orderBy("zone").collect()]:
+        predictions, _ = graded(features.where(F.col("zone") == zone).drop("zone"), grades, n)
+        scored = predictions.select("sample", (F.col("actual") > limit).cast("int").alias("y"), F.col("raw").alias("score"))
+        found = {"predictions": report(predictions), "metrics": metrics(predictions, limit), "curves": study.roc_points(scored, "y", "score").select("threshold", "tpr", "fpr", "precision"), "intervals": study.interval(study.bootstrap_auc(scored, "y", "score", "sample", replicates), "auc")}
+        for name, t in found.items():
+            t = t.withColumn("zone", F.lit(zone))
+            out[name] = out[name].unionByName(t) if name in out else t
+    return out
+
+
+def texture_search(images: DataFrame, grades: DataFrame, sets: DataFrame, n: int = 5) -> DataFrame:
+    """zone, par_id, error: for each zone the parameter set (par_id and the columns of files.PARAMETERS but zone) with the least squared error of held-out groups.
+
+    Sets are a bounded list; each is one distributed pass over the images.
+    """
+    out = None
+    for p in sets.orderBy("par_id").collect():
+        for zone in ZONES:
+            mine = images.sparkSession.createDataFrame([(zone, *(p[c] for c in ("ks1", "ks2", "sigma1", "sigma2", "N", "large", "small", "wc", "wl", "ws")))], PARAMETERS)
+            own = picked(images, zone)
+            if own.isEmpty():
+                continue
+            features = zone_features(own, mine)
+            predictions, _ = graded(features.drop("zone"), grades, n)
+            one = predictions.agg(F.avg((F.col("actual") - F.col("prediction")) ** 2).alias("error")).select(F.lit(zone).alias("zone"), F.lit(p["par_id"]).cast("long").alias("par_id"), "error")
+            out = one if out is None else out.unionByName(one)
+    best = F.min(F.struct("error", "par_id")).alias("b")
+    return out.groupBy("zone").agg(best).select("zone", F.col("b.par_id").alias("par_id"), F.col("b.error").alias("error"))

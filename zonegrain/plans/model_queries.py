@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from zonegrain.functions.columns import tidy
 from zonegrain.operators import learn, segment, study
 from zonegrain.plans import image_queries, jobs, volume_queries
+from zonegrain.sources import shared
 from zonegrain.plans import views as T
 from zonegrain.plans.study_queries import _FOLD, _LCG, _ONE
 from zonegrain.plans.views import sql
@@ -82,14 +83,7 @@ _add("latest_result", lambda s, d: arrivals.latest(T.table(s, d, "events").selec
 
 def stream_results(s, d):
     """Events as arriving files: scored by a stream, then the latest of each user."""
-    import uuid
-
-    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    at = f"{root.rstrip('/')}/arrivals-{uuid.uuid4().hex}"
+    at = shared.scratch(s, "arrivals")
     events = T.table(s, d, "events")
     arrivals.score_arrivals(s, d, events.schema, lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("ts")), f"{at}/out", f"{at}/failed", f"{at}/state", "events.parquet")
     return s.read.schema("user_id long, n long, ts timestamp, batch long").parquet(f"{at}/out").groupBy("user_id").agg(F.sum("n").alias("n"), F.max("ts").alias("ts"))

@@ -44,8 +44,8 @@ _add("dice", lambda s, d: _tidy(S.dice(T.mask(s, d), T.voxels(s, d).where("val b
 _add("regression_metrics", lambda s, d: _tidy(S.regression_metrics(_rows(s, d).withColumn("p", F.get("x", F.lit(0)) * 1500.0), "y", "p").withColumns({"mse": F.col("mse") / 1e6, "abs_error": F.col("abs_error") / 1e6}), "mse", "r2", "abs_error"), sql("L", " SELECT round(avg((y - x0 * 1500.0) ** 2) / 1e6, 6) + 0.0 AS mse, round(1 - sum((y - x0 * 1500.0) ** 2) / (var_pop(y) * count(y)), 6) + 0.0 AS r2, round(sum(abs(y - x0 * 1500.0)) / 1e6, 6) + 0.0 AS abs_error FROM L"))
 _add("class_metrics", lambda s, d: _tidy(S.class_metrics(T.scored_rows(s, d).withColumn("score", F.col("score") / 2000.0), "y", "score"), "precision", "recall", "f1", "accuracy"), sql("S", ", C AS (SELECT sum((y = 1 AND score >= 1000)::INT) AS tp, sum((y = 0 AND score >= 1000)::INT) AS fp, sum((y = 1 AND score < 1000)::INT) AS fn, count(*) AS n FROM S) SELECT round(tp / (tp + fp), 6) + 0.0 AS precision, round(tp / (tp + fn), 6) + 0.0 AS recall, round(2 * tp / (2 * tp + fp + fn), 6) + 0.0 AS f1, (tp + fn)::BIGINT AS support, round((n - fp - fn) / n, 6) + 0.0 AS accuracy FROM C"))
 _RANK = lambda v, t: f"(rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0)"
-_add("spearman", lambda s, d: _tidy(S.spearman(_rows(s, d).withColumn("q", F.get("x", F.lit(0))), "q", "y"), "rho"), sql("L", f" SELECT round(corr(a, b), 6) + 0.0 AS rho, count(*) AS n FROM (SELECT {_RANK('x0', 'L')} AS a, {_RANK('y', 'L')} AS b FROM L)"))
-_add("wilcoxon_stat", lambda s, d: _tidy(S.wilcoxon(_rows(s, d).withColumn("q", F.get("x", F.lit(0)) * 1490), "y", "q"), "statistic"), sql("L", f", D AS (SELECT y - x0 * 1490 AS d FROM L WHERE y - x0 * 1490 <> 0), R AS (SELECT d, {_RANK('abs(d)', 'D')} AS r FROM D) SELECT round(least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)), 6) + 0.0 AS statistic, count(*) AS n FROM R"))
+_add("spearman", lambda s, d: _tidy(S.spearman(_rows(s, d).withColumn("q", F.get("x", F.lit(0))), "q", "y").drop("p"), "rho"), sql("L", f" SELECT round(corr(a, b), 6) + 0.0 AS rho, count(*) AS n FROM (SELECT {_RANK('x0', 'L')} AS a, {_RANK('y', 'L')} AS b FROM L)"))
+_add("wilcoxon_stat", lambda s, d: _tidy(S.wilcoxon(_rows(s, d).withColumn("q", F.get("x", F.lit(0)) * 1490), "y", "q").drop("p"), "statistic", "z"), sql("L", f", D AS (SELECT y - x0 * 1490 AS d FROM L WHERE y - x0 * 1490 <> 0), R AS (SELECT d, {_RANK('abs(d)', 'D')} AS r FROM D) SELECT round(s, 6) + 0.0 AS statistic, n, round((s - n * (n + 1) / 4.0::DOUBLE) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - t / 48), 6) + 0.0 AS z FROM (SELECT least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END))::DOUBLE AS s, count(*) AS n FROM R), (SELECT sum(c::DOUBLE ** 3 - c) AS t FROM (SELECT count(*) AS c FROM D GROUP BY abs(d)))"))
 _ROC = ", C AS (SELECT score, sum(y)::BIGINT AS p, sum(1 - y)::BIGINT AS q FROM S GROUP BY score), R AS (SELECT score, p, q, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER () AS np, sum(q) OVER () AS nq FROM C WINDOW w AS (ORDER BY score DESC))"
 _add("roc_points", lambda s, d: _tidy(S.roc_points(T.scored_rows(s, d), "y", "score"), "tpr", "fpr", "precision"), sql("S", _ROC + " SELECT score AS threshold, p, q, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / np, 6) + 0.0 AS tpr, round(fp / nq, 6) + 0.0 AS fpr, round(tp / (tp + fp), 6) + 0.0 AS precision FROM R"))
 _add("auc", lambda s, d: _tidy(S.auc(T.scored_rows(s, d), "y", "score"), "auc"), sql("S", f", R AS (SELECT y, {_RANK('score', 'S')} AS r FROM S) SELECT round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) + 0.0 AS auc FROM R"))

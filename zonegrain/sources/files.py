@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,9 +50,14 @@ def resolved(listing: DataFrame) -> DataFrame:
     return listing.groupBy("sample").agg(F.min_by("path", F.struct(rank, "path")).alias("path"))
 
 
+def _glob(term: str) -> str:
+    """A regular expression of a glob term: * is any run, ? any character, all else itself."""
+    return "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in term)
+
+
 def selected(listing: DataFrame, terms: list[str], done: DataFrame | None = None) -> DataFrame:
     """Samples that match one of the glob terms and aren't done."""
-    pattern = "|".join(f"(?:^{t.replace('.', '[.]').replace('*', '.*')}$)" for t in terms)
+    pattern = "|".join(f"(?:^{_glob(t)}$)" for t in terms)
     some = listing.where(F.col("sample").rlike(pattern)).distinct()
     return some if done is None else some.join(done, "sample", "left_anti")
 
@@ -85,6 +92,16 @@ def write_by_zone(t: DataFrame, path: str) -> None:
     t.write.mode("overwrite").partitionBy("zone").parquet(path)
 
 
+def zone_images(spark: SparkSession, path: str, zone: str, schema: str = "sample string, y int, x int, val double") -> DataFrame:
+    """The images that write_by_zone stored for one zone; only its folder is read."""
+    return spark.read.schema(f"{schema}, zone string").parquet(path).where(F.col("zone") == zone)
+
+
+def models(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The models that write_by_zone stored."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def append_results(results: DataFrame, path: str) -> None:
     results.select("sample", "grade").write.mode("append").option("sep", ";").csv(path)
 
