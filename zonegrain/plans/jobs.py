@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonegrain.operators import learn, stencil, study, volume
+from zonegrain.sources import shared
 from zonegrain.sources.files import PARAMETERS
 
 
@@ -114,10 +115,10 @@ def weight_report(models: DataFrame) -> DataFrame:
 
 def grading(images: DataFrame, grades: DataFrame, parameters: DataFrame, n: int = 5, limit: float = 1, replicates: int = 50) -> dict[str, DataFrame]:
     """From zone images (zone, sample, y, x, val) to predictions, metrics, ROC curves and bootstrapped AUC intervals, by zone."""
-    features = zone_features(images, parameters)
+    features = shared.saved(zone_features(shared.saved(images, "zone-images"), parameters), "zone-features")
     out: dict[str, DataFrame] = {}
     for zone in [r[0] for r in parameters.select("zone").orderBy("zone").collect()]:
-        predictions, _ = graded(features.where(F.col("zone") == zone).drop("zone"), grades, n)
+        predictions = shared.saved(graded(features.where(F.col("zone") == zone).drop("zone"), grades, n)[0], "predictions")
         scored = predictions.select("sample", (F.col("actual") > limit).cast("int").alias("y"), F.col("raw").alias("score"))
         found = {"predictions": report(predictions), "metrics": metrics(predictions, limit), "curves": study.roc_points(scored, "y", "score").select("threshold", "tpr", "fpr", "precision"), "intervals": study.interval(study.bootstrap_auc(scored, "y", "score", "sample", replicates), "auc")}
         for name, t in found.items():
@@ -131,14 +132,14 @@ def texture_search(images: DataFrame, grades: DataFrame, sets: DataFrame, n: int
 
     Sets are a bounded list; each is one distributed pass over the images.
     """
-    out = None
+    images, out = shared.saved(images, "zone-images"), None
     for p in sets.orderBy("par_id").collect():
         for zone in ZONES:
             mine = images.sparkSession.createDataFrame([(zone, *(p[c] for c in ("ks1", "ks2", "sigma1", "sigma2", "N", "large", "small", "wc", "wl", "ws")))], PARAMETERS)
             own = picked(images, zone)
             if own.isEmpty():
                 continue
-            features = zone_features(own, mine)
+            features = shared.saved(zone_features(own, mine), "zone-features")
             predictions, _ = graded(features.drop("zone"), grades, n)
             one = predictions.agg(F.avg((F.col("actual") - F.col("prediction")) ** 2).alias("error")).select(F.lit(zone).alias("zone"), F.lit(p["par_id"]).cast("long").alias("par_id"), "error")
             out = one if out is None else out.unionByName(one)
