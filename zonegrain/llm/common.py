@@ -31,16 +31,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage, and survives lost executors."""
+def saved(df: DataFrame, name: str, codec: str = "lz4", tasks: int | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: cuts the lineage, and survives lost executors. tasks: that write at most."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def counted(df: DataFrame, name: str, *counts: Column) -> tuple[DataFrame, dict]:
+def counted(df: DataFrame, name: str, *counts: Column, tasks: int | None = None) -> tuple[DataFrame, dict]:
     """saved(df), and aggregates over its rows."""
-    out = saved(df, name)
+    out = saved(df, name, tasks=tasks)
     return out, out.agg(*counts).first().asDict()
 
 

@@ -292,6 +292,11 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", both.alias("both")).select("a", "b", (1 - F.col("both") / union).alias("distance"), (F.col("both") * 100 >= union * NUMERATOR).alias("links"))
 
 
+def _tasks(rows: int) -> int:
+    """Tasks that write a table of about so many narrow rows: small tables aren't cut into many files."""
+    return max(8, -(-rows // 100_000))
+
+
 def _n_rows() -> Column:
     return F.count(F.lit(1)).alias("rows")
 
@@ -305,24 +310,26 @@ def components(edges: DataFrame) -> DataFrame:
     spark, labels = edges.sparkSession, None
     edges, left = common.counted(edges.where("a <> b").distinct(), "edges", _n_rows())
     while left["rows"]:
+        tasks = _tasks(2 * left["rows"])
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up, moved = common.saved(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "pointers"), {"rows": 1}
+        up, moved = common.saved(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "pointers", tasks=tasks), {"rows": 1}
         while moved["rows"]:
             far = up.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
             farther = up.select(F.col("node").alias("beyond"), F.col("root").alias("end"))
             ends = up.join(far, "root", "left").join(farther, "beyond", "left").select("node", F.coalesce("end", "beyond", "root").alias("root"), (F.coalesce("end", "beyond", "root") != F.col("root")).alias("moved"))
-            up, moved = common.counted(ends, "pointers", F.count_if("moved").alias("rows"))
+            up, moved = common.counted(ends, "pointers", F.count_if("moved").alias("rows"), tasks=tasks)
             up = up.drop("moved")
         ends = lambda c: up.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
-        edges, left = common.counted(edges.join(ends("a"), "a").join(ends("b"), "b").where("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "edges", _n_rows())
-        labels = up if labels is None else common.saved(labels.join(up.select(F.col("node").alias("root"), F.col("root").alias("beyond")), "root", "left").select("node", F.coalesce("beyond", "root").alias("root")), "labels")
+        edges, left = common.counted(edges.join(ends("a"), "a").join(ends("b"), "b").where("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "edges", _n_rows(), tasks=tasks)
+        n_labels = tasks if labels is None else n_labels
+        labels = up if labels is None else common.saved(labels.join(up.select(F.col("node").alias("root"), F.col("root").alias("beyond")), "root", "left").select("node", F.coalesce("beyond", "root").alias("root")), "labels", tasks=n_labels)
     return labels if labels is not None else spark.createDataFrame([], "node long, root long")
 
 
-def _settled(live: DataFrame) -> tuple[DataFrame, dict]:
+def _settled(live: DataFrame, tasks: int | None = None) -> tuple[DataFrame, dict]:
     """The entries of groups that still have two components and a member that can be the smaller one of a pair; and how many (rows)."""
     open_ = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("small").alias("some")).where("lo <> hi and some").select("key")
-    return common.counted(live.join(open_, "key"), "entries", _n_rows())
+    return common.counted(live.join(open_, "key"), "entries", _n_rows(), tasks=tasks)
 
 
 def linked(keys: DataFrame, sets: DataFrame) -> DataFrame:
@@ -335,16 +342,17 @@ def linked(keys: DataFrame, sets: DataFrame) -> DataFrame:
     tried = links = None
     leaders, k = 0, 0  # leaders of a group; 0 while each set meets one leader of all its groups
     while left["rows"]:
+        tasks = _tasks(left["rows"])  # no table of a round but the pairs of many leaders has more rows than the entries
         lead = F.struct(F.xxhash64("sid", F.lit(k)).alias("o"), F.col("sid").alias("lead"), F.col("n").alias("m"), F.col("rest").alias("lead_rest"), F.col("small").alias("lead_small"), F.col("root").alias("lead_root"), F.col("pivot").alias("lead_pivot"), F.col("away").alias("lead_away"))
         if leaders:
             size = live.groupBy("key", "root").agg(F.count("*").alias("members"))
             slot = F.pmod(F.xxhash64("sid", F.lit(-k)), F.lit(leaders)).alias("slot")
-            chosen = common.saved(live.join(size, ["key", "root"]).groupBy("key", slot).agg(F.min(F.struct("members", lead.alias("l"))).alias("l")).select("key", "l.l.*"), "leaders")
+            chosen = common.saved(live.join(size, ["key", "root"]).groupBy("key", slot).agg(F.min(F.struct("members", lead.alias("l"))).alias("l")).select("key", "l.l.*"), "leaders", tasks=tasks)
         else:
             chosen = live.where("small").groupBy("key").agg(F.min(lead).alias("l")).select("key", "l.*")
         met = live.join(chosen, "key").where(can & near)
         if not leaders:
-            met, members = common.counted(met.groupBy("sid").agg(F.min_by("lead", "o").alias("lead")), "met", _n_rows())
+            met, members = common.counted(met.groupBy("sid").agg(F.min_by("lead", "o").alias("lead")), "met", _n_rows(), tasks=tasks)
         pairs = met.select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
         found, count = common.counted(measured(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), sets), "pairs", F.count_if("links").alias("links"))
         tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
@@ -358,7 +366,7 @@ def linked(keys: DataFrame, sets: DataFrame) -> DataFrame:
             live = live.join(chosen.select("key", F.col("lead").alias("sid")), ["key", "sid"], "left_anti")
         if count["links"]:
             live = live.drop("root").join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        (live, left), k = _settled(live), k + 1
+        (live, left), k = _settled(live, tasks), k + 1
         leaders = GROWTH * leaders if leaders else GROWTH * int(count["links"] <= WORTH * members["rows"])
     return components(links) if links is not None else keys.sparkSession.createDataFrame([], "node long, root long")
 
