@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonegrain.llm import exact_dedup, fingerprints, html_text, jaccard_join, language_model, mixing, packing, quality, toxicity, url_rules
+from zonegrain.llm import bpe, exact_dedup, fingerprints, html_text, jaccard_join, language_model, merkle, mixing, packing, quality, runs, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_html_text": html_text.op9_html_text,
     "op10_language_model": language_model.op10_language_model,
+    "op11_bpe": bpe.op11_bpe,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
