@@ -484,6 +484,42 @@ def test_html_other_layouts(spark):
     assert html_text.extract(pages, html_text.learn(pages.limit(0))).count() == 6
 
 
+HTML_BODY = "<h1>A title of it</h1><p>Some words of the first paragraph, in full.</p><p>And the second &amp; last one.</p>"
+HTML_WANT = "A title of it\nSome words of the first paragraph, in full.\nAnd the second & last one."
+
+
+@pytest.fixture(scope="module")
+def html_model(spark):
+    return html_text.learn(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+def test_html_comments_and_headers_go_in_any_layout(html_model):
+    around = "<body><header class=masthead><h1>The Daily</h1></header><ul class=menu><li><a href=/>Home</a></ul>{}<div id=comments><h3>Two replies</h3><p>Nice post!</p><p>I don't agree at all.</p></div><footer><p>Imprint</p></footer>"
+    layouts = ["<main>{}</main>", "<article>{}</article>", "<div class='content'>{}</div>", "<div>{}</div>", "<table><tr><td>{}</td></tr></table>", "<section class='blog-entry'>{}</section>", "<div id='story'><div class='inner'>{}</div></div>", "<center><div class='c1'>{}</div></center>"]
+    got = html_text.texts(html_model, [around.format(x.format(HTML_BODY)) for x in layouts])
+    assert got == [HTML_WANT] * len(layouts)
+
+
+def test_html_class_names_in_the_article(html_model):
+    """Names alone drop nothing from the article; comments, adverts and forms in it go."""
+    names = ["search-results", "notice-text", "related-work", "main-menu", "form-intro", "share-price"]
+    pages = [f"<nav><a>m</a></nav><article><h1>A title of it</h1><div class='{c}'><p>Some words of the first paragraph, in full.</p></div><p>And the second &amp; last one.</p></article>" for c in names]
+    inside = ["<div class='comments'><p>Nice post!</p></div>", "<aside><p>See also</p></aside>", "<div class='ad'>Buy now</div>", "<form><p>Mail</p></form>", "<nav><ul><li><a>Next</a></ul></nav>"]
+    pages += [f"<article>{HTML_BODY.replace('<p>And', c + '<p>And')}</article>" for c in inside]
+    assert html_text.texts(html_model, pages) == [HTML_WANT] * len(pages)
+
+
+def test_html_of_deep_and_broken_pages(html_model):
+    import time
+
+    began = time.time()
+    assert len(html_text.blocks("<div>x" * 100_000)) == 100_000
+    assert len(html_text.blocks("<article>" + "<div>" * 50_000 + "</p>" * 50_000 + "<b>x</b> " * 50_000)) == 1
+    assert html_text.blocks("<a <b " * 100_000 + "<p '\"" * 1000) == []
+    assert set(html_text.texts(html_model, ["<div>x" * 20_000])[0]) <= {"x", "\n"}
+    assert time.time() - began < 60
+
+
 def test_html_without_article_tags(spark):
     """A crawl none of whose pages has an article or main element yields its articles, and captions stay."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")

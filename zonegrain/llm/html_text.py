@@ -1,13 +1,16 @@
 """Main text of web pages by a recurrent block labeller.
 
-A page becomes its sequence of leaf blocks: runs of text between block-level tags, each with the path of open tags (with
-words of class and id). A bidirectional LSTM in numpy reads a vector of the hashed path, a vector of the hashed words and
-a few shapes for each block, and says for every block, with the whole page as context, whether it is article text.
-
-There are no labels of blocks, so the network learns from a bounded sample of the pages: of a page with <article> or <main>,
-the blocks under it; of any other page, those under the element that has most unlinked text of its own. Navigation, notices
-and the like are left out in either case. Variants of those pages teach it what the sample lacks: other containers,
-and menus, forms, adverts, notices and comments at other places, inside the article too.
+A page becomes its sequence of leaf blocks: runs of text between block-level tags, each with the open element it lies in. A
+bidirectional LSTM in numpy reads a vector of the hashed path (names of elements and their class, id and role), a vector of the
+hashed words and a few shapes for each block, and says for every block, with the whole page as context, whether it is article text.
+
+There are no labels of blocks, so the network learns from a bounded sample of the pages, by their structure: of a page with
+<article> or <main>, the blocks under it; of any other page, those under the element that has most unlinked text of its own.
+Elements that are never text (nav, aside, form, footer, ...) are left out in either case; names of classes aren't asked. Variants
+of those pages teach what the sample lacks, with labels known because they are made: other containers, menus, headers,
+notices, adverts, forms and comments before, after and inside the article, and parts of the article under made-up class names.
+
+Elements are a tree of shared nodes; a node knows a bounded number of features of its path, so that deep pages cost what long ones cost.
 """
 
 from __future__ import annotations
@@ -15,19 +18,22 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonegrain.llm import common
 
 #: Pages that the fit sees at most, in order of a hash of page_id (whole, however long), and variants made of each.
-FIT_PAGES, VARIANTS = 300, 3
-BUCKETS, PATH_DIM, WORD_DIM, SHAPES, HIDDEN = 1024, 16, 8, 7, 16
-EPOCHS, BATCH, RATE = 6, 32, 0.01
+FIT_PAGES, VARIANTS = 300, 5
+#: Characters after which the fit takes no further page.
+FIT_CHARS = 30_000_000
+BUCKETS, PATH_DIM, WORD_DIM, SHAPES, HIDDEN = 4096, 16, 8, 9, 16
+EPOCHS, BATCH, RATE = 8, 32, 0.01
+#: Features of a path: so many of the outermost elements and of the nearest ones.
+OUTER, NEAREST = 12, 24
 #: Bytes of html that are labelled at a time; pages that go through the network together, and their blocks with padding (a longer page goes alone).
 SLICE_BYTES, ROWS, CELLS = 2 << 20, 64, 1 << 14
 
@@ -35,57 +41,102 @@ SLICE_BYTES, ROWS, CELLS = 2 << 20, 64, 1 << 14
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|template|noscript|textarea|svg|iframe|object|canvas"
-SELF_CLOSING = {"p": "p", "li": "li", "dt": "dd dt", "dd": "dd dt", "option": "option", "tr": "tr td th", "td": "td th", "th": "td th"}
-NOT_TEXT = frozenset("nav header footer aside form head title button select option menu dialog label fieldset legend".split())
-NOT_TEXT_WORDS = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split())
-CONTAINERS = ['article', 'main', 'div', 'section', 'td', 'div class="content"', 'div id="content"', 'div id="main"', 'div class="post"', 'div class="entry-content"', 'div class="article-body"', 'section class="story"', 'div class="main-text"']
-FURNITURE = ['nav', 'header', 'footer', 'aside', 'form', 'div class="ad"', 'div class="advert"', 'div class="ads banner"', 'div class="sponsored promo"', 'div class="sidebar"', 'div id="sidebar"', 'div class="menu"', 'ul class="nav"', 'div class="cookie-notice"', 'div class="notice"', 'div class="alert"', 'div class="consent-banner"', 'div class="comments"', 'section id="comments"', 'div class="comment"', 'ol class="comment-list"', 'div class="header"', 'div id="footer"', 'div class="share social"', 'div class="newsletter subscribe"', 'div class="related"', 'div class="breadcrumb"', 'div class="popup modal"', 'div class="widget"', 'aside class="sidebar"', 'div class="login search"', 'section class="replies discussion"']
-
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+(?:>|\Z)|</?[a-zA-Z][^<>]*+\Z", re.S | re.I)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""", re.I)
-_PART = re.compile(r"[a-z]+")
+SHUTS = {"p": {"p"}, "li": {"li"}, "dt": {"dd", "dt"}, "dd": {"dd", "dt"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+NOT_TEXT = frozenset("nav footer aside form head title button select option menu dialog label fieldset legend".split())
+INLINE = frozenset("p b i a span li".split())
+LEAF = frozenset("p li h1 h2 h3 h4 h5 h6 pre figcaption b i em strong span".split())
+# What variants are made of: names that pages give to the article's container and to what isn't article.
+CONTAINERS = ["article", "main", "div", "section", "td", 'div class="content"', 'div id="content"', 'div id="main"', 'div class="post"', 'div class="entry-content"', 'div class="article-body"', 'section class="story"', 'div class="main-text"', 'div id="page"', 'div class="text"', 'div itemprop="articleBody"']
+FURNITURE = ["nav", "header", "footer", "aside", "form", 'div class="ad"', 'div class="advert"', 'div class="ads banner"', 'div class="sponsored promo"', 'div class="sidebar"', 'div id="sidebar"', 'div class="menu"', 'ul class="nav"', 'div class="cookie-notice"', 'div class="notice"', 'div class="alert"', 'div class="consent-banner"', 'div class="comments"', 'section class="comments"', 'section id="comments"', 'div id="comments"', 'div class="comment"', 'ol class="comment-list"', 'ul class="comments"', 'div class="header"', 'div id="header"', 'header class="site-header"', 'div id="footer"', 'div class="share social"', 'div class="newsletter subscribe"', 'div class="related"', 'div class="breadcrumb"', 'div class="popup modal"', 'div class="widget"', 'aside class="sidebar"', 'div class="login search"', 'section class="replies discussion"', 'section class="responses"', 'div class="reader-comments"', 'div class="navigation"', 'div class="pagination"', 'div class="advertisement"', 'div class="cookie"', 'div class="topbar"']
+#: Words that class names in the article are made of, together with those of its own names.
+NAMES = "text intro body lead part main block item results price work note story section first wide inner wrap row col box card share notice comment menu related search ad header footer form nav".split()
+LEAVES = [(), ("p",), ("p",), ("li",), ("ul", "li", "a"), ("div",), ("h1",), ("h2",), ("h3",), ("div", "p"), ("a",), ("span",), ("div", "div", "p"), ("b",), ("h1", "a")]
+#: Words of the short sayings that furniture has besides pieces of the page's own texts.
+SAYINGS = "nice post thanks site home about us contact login sign up subscribe now read more share this we use cookies accept all great article i agree reply to menu search privacy terms copyright follow name mail send next previous page top news sponsored buy".split()
+
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>", re.S | re.I)
+_REST = re.compile(r"<!--.*+|</?[a-zA-Z!?].*+", re.S)
+_NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""", re.I)
+_SPLIT = re.compile(r"[^a-z]+")
+
+
+class Node:
+    """An open element: its parent, its name, features of it and of its path, and the blocks under it (first to last)."""
+
+    __slots__ = ("above", "first", "last", "linked", "name", "own", "parent", "path", "text", "within")
+
+    def __init__(self, name: str, attributes: str, parent: Node | None, first: int = 0):
+        self.name, self.parent, self.first, self.last = name, parent, first, 1 << 60
+        self.own = _own(name, attributes)
+        outer, near = (parent.path if parent else ((), ()))
+        self.path = ((*outer, self.own), near) if len(outer) < OUTER else (outer, (*near[1 - NEAREST :], self.own))
+        self.within = bool(parent and parent.within) or name in ("article", "main")
+        # A header inside the article is part of it.
+        self.text = (parent is None or parent.text) and name not in NOT_TEXT and not (name == "header" and not self.within)
+        self.linked = bool(parent and parent.linked) or name == "a"
+
+
+def _own(name: str, attributes: str) -> tuple[str, ...]:
+    """Features of an element: its name, its class names as they are, and their parts where they have several."""
+    if not attributes:
+        return (name,)
+    out = [name]
+    for m in _NAMED.finditer(attributes):
+        for word in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = [x for x in _SPLIT.split(word) if x]
+            out.append("." + "-".join(parts))
+            out += [f"~{x}" for x in parts] if len(parts) > 1 else []
+    return tuple(out[:12])
 
 
-@dataclass
 class Block:
-    text: str
-    path: tuple[str, ...]  # tags and, with a dot before them, words of class, id and role
-    linked: int  # characters inside links
-    nodes: tuple[int, ...] = ()  # the open elements, by number
+    __slots__ = ("linked", "node", "text")
 
-
-def _open(name: str, attributes: str) -> tuple[str, ...]:
-    if not attributes:
-        return (name,)
-    return (name, *(f".{w}" for m in _NAMED.finditer(attributes) for w in _PART.findall((m[1] or m[2] or m[3] or "").lower())))
+    def __init__(self, text: str, node: Node, linked: int):
+        self.text, self.node, self.linked = text, node, linked  # linked: characters inside links
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page that have text, in page order; character references decoded, white space one space."""
     out: list[Block] = []
-    stack: list[tuple[str, ...]] = []
-    numbers: list[int] = []
+    root = Node("", "", None)
+    stack = [root]
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by name
+    block_places, wide = [0], [0]  # of block elements, and of those that an inline end tag doesn't reach beyond
     parts: list[str] = []
-    state = {"path": (), "nodes": (), "linked": 0}
+    home, linked = root, 0
 
     def say(raw: str) -> None:
+        nonlocal home, linked
         if raw and not raw.isspace():
-            if not any(p and not p.isspace() for p in parts):
-                state["path"], state["nodes"] = tuple(t for e in stack for t in e), tuple(numbers)
-            if any(e[0] == "a" for e in stack):
-                state["linked"] += len(raw)
-        parts.append(raw)
+            home = home or stack[-1]
+            if stack[-1].linked:
+                linked += len(raw)
+        if raw:
+            parts.append(raw)
 
     def end() -> None:
+        nonlocal home, linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, state["path"], min(state["linked"], len(text)), state["nodes"]))
+                out.append(Block(text, home or stack[-1], min(linked, len(text))))
             parts.clear()
-            state["linked"] = 0
+        home, linked = None, 0
+
+    def shut(to: int) -> None:
+        while len(stack) > to:
+            node = stack.pop()
+            node.last = len(out)
+            places[node.name].pop()
+            if node.name in BLOCK:
+                block_places.pop()
+            if node.name in ("article", "main", "body"):
+                wide.pop()
 
-    at = 0
-    for m in _TAG.finditer(page):
+    end()
+    at, whole = 0, page.rfind(">") + 1
+    for m in _TAG.finditer(page, 0, whole):
         say(page[at : m.start()])
         at = m.end()
         closing, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
@@ -99,52 +150,46 @@ def blocks(page: str) -> list[Block]:
         elif name == "br":
             parts.append(" ")
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:], numbers[i:]
-                    break
-                if stack[i][0] in ("article", "main", "body") and name in ("p", "b", "i", "a", "span", "li"):
-                    break
+            found = places.get(name)
+            if found and not (name in INLINE and found[-1] < wide[-1]):
+                shut(found[-1])
         elif name not in VOID and not attributes.endswith("/"):
-            if name in SELF_CLOSING:
-                shut = SELF_CLOSING[name].split()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in shut:
-                        del stack[i:], numbers[i:]
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-            stack.append(_open(name, attributes))
-            numbers.append(at)
-    say(page[at:])
+            while name in SHUTS and stack[block_places[-1]].name in SHUTS[name]:
+                shut(block_places[-1])
+            places.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                block_places.append(len(stack))
+            if name in ("article", "main", "body"):
+                wide.append(len(stack))
+            stack.append(Node(name, attributes, stack[-1], len(out)))
+    say(_REST.sub(" ", page[at:]))
     end()
+    shut(1)
     return out
 
 
-def _furniture(path: tuple[str, ...]) -> bool:
-    """Whether the block is under something that isn't text. A header inside the article is part of it."""
-    inside = False
-    for t in path:
-        inside |= t in ("article", "main")
-        name = t.removeprefix(".")
-        if name in (NOT_TEXT_WORDS if t[0] == "." else NOT_TEXT) and not (name == "header" and inside):
-            return True
-    return False
-
-
 def taught(page: list[Block]) -> list[int]:
     """1 for blocks of the article: by markup, or else under the element with most unlinked text of its own."""
-    text = [not _furniture(b.path) for b in page]
-    if any("article" in b.path or "main" in b.path for b in page):
-        return [int(x and ("article" in b.path or "main" in b.path)) for b, x in zip(page, text, strict=True)]
-    weight: dict[int, float] = {}
-    for b, x in zip(page, text, strict=True):
-        if x and 2 * b.linked < len(b.text):
-            near = b.nodes[::-1][b.path[-1] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "figcaption", "b", "i", "em", "strong", "span") :] if b.path else ()
-            for i, node in enumerate(near[:4]):
+    if any(b.node.within for b in page):
+        return [int(b.node.text and b.node.within) for b in page]
+    weight: dict[Node, float] = {}
+    for b in page:
+        if b.node.text and 2 * b.linked < len(b.text):
+            node = b.node.parent or b.node if b.node.name in LEAF else b.node
+            for i in range(4):
                 weight[node] = weight.get(node, 0.0) + (len(b.text) - b.linked) / 2**i
-    best = max(weight, key=lambda k: (weight[k], k), default=-1)
-    return [int(x and 2 * b.linked < len(b.text) and best in b.nodes) for b, x in zip(page, text, strict=True)]
+                node = node.parent
+                if node is None:
+                    break
+    if not weight:
+        return [0] * len(page)
+    best = max(weight, key=lambda n: (weight[n], n.first))
+    return [int(b.node.text and 2 * b.linked < len(b.text) and best.first <= i < best.last) for i, b in enumerate(page)]
+
+
+def _element(described: str, parent: Node | None) -> Node:
+    name, _, attributes = described.partition(" ")
+    return Node(name, attributes, parent)
 
 
 def variants(page: list[Block], n: int, rng: np.random.Generator) -> Iterator[tuple[list[Block], list[int]]]:
@@ -152,73 +197,116 @@ def variants(page: list[Block], n: int, rng: np.random.Generator) -> Iterator[tu
     labels = taught(page)
     yield page, labels
     texts = [b.text for b in page] or ["x"]
+
+    def pick(some: list):  # noqa: ANN202
+        return some[rng.integers(len(some))]
+
+    def saying() -> str:
+        if rng.random() < 0.5:
+            words = [pick(SAYINGS) for _ in range(rng.integers(1, 9))]
+            return " ".join(words).capitalize() + pick(["", "", ".", "!", "?"])
+        words = pick(texts).split()
+        at = int(rng.integers(len(words)))
+        return " ".join(words[at : at + int(rng.integers(1, 30))])
+
+    def furniture(base: Node, inside: bool = False) -> list[tuple[Block, int]]:
+        own, made = _element(pick([f for f in FURNITURE if "header" not in f] if inside else FURNITURE), base), []
+        for _ in range(int(rng.integers(1, 6))):
+            node = own
+            for name in pick(LEAVES):
+                node = Node(name, "", node)
+            text = saying() if rng.random() < 0.7 else pick(texts)
+            made.append((Block(text, node, len(text) if node.linked else 0), 0))
+        return made
+
     for _ in range(n):
-        pick = CONTAINERS[rng.integers(len(CONTAINERS))].split(" ", 1)
-        inner = tuple(t for e in [_open(pick[0], pick[1] if len(pick) > 1 else "")] for t in e)
+        body = Node("body", "", Node("html", "", None))
+        outer = body
+        for _ in range(int(rng.integers(0, 3)) if rng.random() < 0.4 else 0):
+            outer = _element(pick(["div", "div", 'div class="wrapper"', 'div id="page"', 'div class="container"', "section", "table", "tbody", "tr"]), outer)
+        inner = _element(pick(CONTAINERS), outer)
+        moved: dict[Node | None, Node] = {}
+
+        def under(node: Node | None) -> Node:
+            """The node's copy below the new container; a few get a class name."""
+            if node is None or node.name in ("article", "main", "body", "html", ""):
+                return inner
+            if node not in moved:
+                name = f'class="{pick(NAMES)}-{pick(NAMES)}"' if rng.random() < 0.03 else ""
+                moved[node] = _element(f"{node.name} {name or ' '.join(f'class={x[1:]}' for x in node.own if x[0] == '.')}", under(node.parent))
+            return moved[node]
+
+        titled = rng.random() < 0.3
+        outside = rng.random() < 0.3  # only made furniture around the article
         out = []
+        part = None
         for b, y in zip(page, labels, strict=True):
-            path = sum((inner if t in ("article", "main") else (t,) for t in b.path), ()) if y else b.path
-            out.append((Block(b.text, path, b.linked), y))
-        for _ in range(int(rng.integers(1, 6))):
-            pick = FURNITURE[rng.integers(len(FURNITURE))].split(" ", 1)
-            own = _open(pick[0], pick[1] if len(pick) > 1 else "")
-            k = int(rng.integers(len(out) + 1))
-            if k < len(out) and out[k][1] and rng.random() < 0.5:
-                base = tuple(out[k][0].path[: max(1, len(out[k][0].path) - 1)])
+            if y:
+                if rng.random() < 0.06:
+                    part = None if part else _element(f'{pick(["div", "section", "figure", "blockquote"])} class="{pick(NAMES)}-{pick(NAMES)}"', inner)
+                node = Node(b.node.name, "", part) if part else under(b.node)
+                out.append((Block(b.text, node, b.linked), 1))
+            elif not outside:
+                out.append((b, 0))
+        if titled and any(y for _, y in out):  # a title that stands for itself, short paragraphs
+            k = next(i for i, x in enumerate(out) if x[1])
+            out[k:k] = [(Block(saying(), Node(pick(["h1", "h2", "p"]), "", inner), 0), 1) for _ in range(rng.integers(1, 4))]
+            out = [(Block(" ".join(b.text.split()[: rng.integers(3, 20)]) or b.text, b.node, b.linked), y) if y and rng.random() < 0.5 else (b, y) for b, y in out]
+            if rng.random() < 0.5:
+                kept = [i for i, x in enumerate(out) if x[1]][: int(rng.integers(2, 8))]
+                out = [x for i, x in enumerate(out) if not x[1] or i in kept]
+        for _ in range(int(rng.integers(2, 8))):
+            ones = [i for i, x in enumerate(out) if x[1]]
+            first, last = (ones[0], ones[-1] + 1) if ones else (0, len(out))
+            where = rng.random()
+            if where < 0.3 and ones:
+                out[(k := int(rng.integers(first, last + 1))) : k] = furniture(inner, True)
+            elif where < 0.65:
+                out[first:first] = furniture(pick([body, body, outer]))
             else:
-                base = ("html", "body")
-                k = int(rng.choice([next((i for i, x in enumerate(out) if x[1]), 0), len(out)]))
-            some = []
-            for _ in range(int(rng.integers(1, 6))):
-                text = texts[rng.integers(len(texts))]
-                words = text.split()
-                text = " ".join(words[: int(rng.integers(1, 4 + len(words)))]) or text
-                leaf = [(), ("p",), ("li",), ("ul", "li", "a"), ("div",), ("h3",), ("div", "p"), ("a",)][rng.integers(8)]
-                some.append((Block(text, (*base, *own, *leaf), len(text) if "a" in leaf else 0), 0))
-            out[k:k] = some
+                out[last:last] = furniture(pick([body, body, outer]))
         yield [x[0] for x in out], [x[1] for x in out]
 
 
 # --- the network ------------------------------------------------------------------------------------------------------
 
 
-@dataclass
 class Inputs:
     """Blocks of several pages: hashed path parts and words (flat, with counts by block), shapes, blocks by page."""
 
-    path: np.ndarray
-    n_path: np.ndarray
-    word: np.ndarray
-    n_word: np.ndarray
-    shape: np.ndarray
-    sizes: np.ndarray
+    def __init__(self, path: np.ndarray, n_path: np.ndarray, word: np.ndarray, n_word: np.ndarray, shape: np.ndarray, sizes: np.ndarray):
+        self.path, self.n_path, self.word, self.n_word, self.shape, self.sizes = path, n_path, word, n_word, shape, sizes
 
 
-_PATHS: dict[tuple[str, ...], np.ndarray] = {}
+_PATHS: dict[tuple, np.ndarray] = {}
 
 
-def _path_codes(path: tuple[str, ...]) -> np.ndarray:
-    """Each part, and each part under the last, hashed; bucket 0 isn't used."""
-    if path not in _PATHS:
-        if len(_PATHS) > 50_000:
+def _path_codes(node: Node) -> np.ndarray:
+    """Features of the path, and of the innermost element once more, hashed; bucket 0 isn't used."""
+    outer, near = node.path
+    if (outer, near) not in _PATHS:
+        if len(_PATHS) > 20_000:
             _PATHS.clear()
-        parts = [*dict.fromkeys(path), f"={path[-1] if path else ''}"]
+        parts = [*dict.fromkeys(x for e in (*outer, *near) for x in e), f"={node.name}"]
         data, off = common.string_buffers(pa.array(parts))
         w = common.words(data, off)
-        _PATHS[path] = (w.hashes % np.uint64(BUCKETS - 1)).astype(np.int32) + 1
-    return _PATHS[path]
+        _PATHS[outer, near] = (w.hashes % np.uint64(BUCKETS - 1)).astype(np.int32) + 1
+    return _PATHS[outer, near]
 
 
 def inputs(pages: list[list[Block]]) -> Inputs:
     flat = [b for p in pages for b in p]
-    codes = [_path_codes(b.path) for b in flat]
+    codes = [_path_codes(b.node) for b in flat]
     data, off = common.string_buffers(pa.array([b.text for b in flat], pa.string()))
     w = common.words(data, off, bare=True)
     sizes = np.array([len(p) for p in pages])
     chars = np.array([len(b.text) for b in flat], float)
     place = np.concatenate([np.arange(n) / max(n, 1) for n in sizes]) if len(flat) else np.zeros(0)
+    has = np.repeat([float(any(b.node.within for b in p)) for p in pages], sizes)
+    within = np.array([b.node.within for b in flat], float)
     ends = np.array([b.text[-1] in ".!?\"'" for b in flat], float)
-    shape = np.column_stack([np.log1p(chars) / 8, np.log1p(w.counts) / 6, np.array([b.linked for b in flat], float) / np.maximum(chars, 1), place, ends, np.minimum(np.array([len(b.path) for b in flat], float), 20) / 10, np.ones(len(flat))]) if flat else np.zeros((0, SHAPES))
+    text = np.array([b.node.text for b in flat], float)
+    shape = np.column_stack([np.log1p(chars) / 8, np.log1p(w.counts) / 6, np.array([b.linked for b in flat], float) / np.maximum(chars, 1), place, ends, within - 0.5, has * (1 - within), 2 * text - 1, np.ones(len(flat))]) if flat else np.zeros((0, SHAPES))
     return Inputs(np.concatenate([np.zeros(0, np.int32), *codes]), np.array([len(c) for c in codes], int), (w.hashes % np.uint64(BUCKETS - 1)).astype(np.int32) + 1, w.counts, shape.astype(np.float32), sizes)
 
 
@@ -227,7 +315,7 @@ def _means(table: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.ndarr
     some = counts > 0
     if some.any():
         sums[some] = np.add.reduceat(table[codes], (np.cumsum(counts) - counts)[some])
-    return sums / np.maximum(counts, 1)[:, None].astype(np.float32)
+    return sums / np.sqrt(np.maximum(counts, 1))[:, None].astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -336,13 +424,15 @@ def _gradients(model: dict, data: Inputs, y: np.ndarray) -> dict:
     dx = (dx1 + dx2[::-1] + dh[:, :, 2 * HIDDEN :]).reshape(-1, dim)[at]
     for name, lo, hi, codes, counts in (("path", 0, PATH_DIM, data.path, data.n_path), ("word", PATH_DIM, PATH_DIM + WORD_DIM, data.word, data.n_word)):
         g[name] = np.zeros_like(model[name])
-        np.add.at(g[name], codes, np.repeat(dx[:, lo:hi] / np.maximum(counts, 1)[:, None], counts, 0).astype(np.float32))
+        np.add.at(g[name], codes, np.repeat(dx[:, lo:hi] / np.sqrt(np.maximum(counts, 1))[:, None], counts, 0).astype(np.float32))
     return g
 
 
 def learn(pages: DataFrame, fit_pages: int = FIT_PAGES, n_variants: int = VARIANTS) -> dict:
     """The network from a bounded sample of pages."""
-    sample = pages.where("html is not null").select(F.xxhash64("page_id").alias("o"), "html").orderBy("o", "html").limit(fit_pages).toArrow()
+    few = pages.where("html is not null").select(F.xxhash64("page_id").alias("o"), "html").orderBy("o", "html").limit(fit_pages)
+    before = F.sum(F.length("html")).over(Window.orderBy("o", "html").rowsBetween(Window.unboundedPreceding, -1))  # of a bounded number of pages
+    sample = few.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < FIT_CHARS).select("html").toArrow()
     rng = np.random.default_rng(9)
     made = [v for x in sample.column("html").to_pylist() for v in variants(blocks(x), n_variants, rng)]
     return train([x[0] for x in made], [x[1] for x in made])
