@@ -33,6 +33,8 @@ SWEEPS, KEPT = 3, 2
 STRENGTH, ROOT_STRENGTH, ROOT_DISCOUNT = 1.0, 1.0, 0.5
 #: Customers of a dish who are seated one by one; later ones in blocks of a 32nd of those before, whose new tables are binomial with the chance at mid-block.
 SINGLY, BLOCK = 64, 32
+#: Entries of a range of hashes at most, about: a range is merged in one task.
+RANGE = 8_000_000
 #: Stands for a null doc_id inside chunks.
 NO_ID = -(2**63)
 #: The hash of the end of a text as a word, and of its start as a context.
@@ -359,11 +361,22 @@ def score(docs: DataFrame, held: Column, sweeps: int = SWEEPS, kept: int = KEPT,
     any length count whole, repeated rows are texts of their own. Words that weren't learned share one place of the base.
     An empty table gives no row; with nothing to learn from, all words have the base's probability.
     """
-    spark, parts = docs.sparkSession, common.partitions(docs.sparkSession)
+    spark, buckets = docs.sparkSession, common.partitions(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), common.text_column(docs).alias("text"))
     name = f"lm_chunks_{uuid.uuid4().hex}"
-    plain.mapInArrow(_chunked(chunk), _CHUNKS).write.option("compression", "zstd").bucketBy(parts, "chunk").format("parquet").saveAsTable(name)
-    chunks = spark.table(name)
+    try:
+        # Buckets need a table; its files are in the shared folder.
+        plain.mapInArrow(_chunked(chunk), _CHUNKS).write.option("compression", "zstd").option("path", common.scratch(spark, "lm-chunks")).bucketBy(buckets, "chunk").format("parquet").saveAsTable(name)
+        chunks = spark.table(name)
+        tokens = chunks.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] // 4
+        out, n = _fitted(chunks, max(buckets, -(-tokens // RANGE)), sweeps, kept)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+
+
+def _fitted(chunks: DataFrame, parts: int, sweeps: int, kept: int) -> tuple[DataFrame, float]:
+    """Scores (stored) of all texts of the chunks, and the number of tokens learned from; hashes go to `parts` ranges."""
 
     def returned(sent: DataFrame, kind: int, width: int, n: int, answer: Callable, label: str) -> tuple[DataFrame, list[float]]:
         back = common.saved(sent.repartitionById(parts, F.col("part")).mapInArrow(_merge(kind, width, n, answer), _BACK), label)
@@ -379,9 +392,7 @@ def score(docs: DataFrame, held: Column, sweeps: int = SWEEPS, kept: int = KEPT,
         more, (t, tables, *_) = returned(sent, FIRST_SWEEP + s - 1, 8, 2, _root_answer(s, stats[-1] | {"v": v}), f"lm-sweep{s}")
         known = known.unionByName(more)
         stats.append({"sweep": s, "n": n, "v": v, "t": t, "s": tables})
-    out = common.saved(chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_scored(stats, sweeps, kept, parts), _SCORES), "lm-scores")
-    spark.sql(f"DROP TABLE {name}")
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    return common.saved(chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_scored(stats, sweeps, kept, parts), _SCORES), "lm-scores"), n
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
