@@ -299,7 +299,9 @@ def _sweep(sweep: int, stats: list[dict], parts: int) -> Callable[[pa.Table, pa.
         right = right.combine_chunks()
         u, w, h, _ = _pairs(c)
         (signed,) = _returned(right, PAIRS, _dealt(h, parts), 1, "<i4")
-        t = _tables(_dealt(c.hashes, parts), right, sweep, stats, u, w, h, np.abs(signed)) * (signed < 0)
+        own = np.flatnonzero(signed < 0)
+        u, w = u[own], w[own]
+        t = _tables(_dealt(c.hashes, parts), right, sweep, stats, u, w, h[own], -signed[own])
         by = lambda x: np.bincount(x, weights=t, minlength=len(c.hashes)).astype(np.int64)
         return pa.Table.from_batches([_send(left.column("chunk")[0].as_py(), c.hashes, parts, 8, by(w), by(u))])
 
