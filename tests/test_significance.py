@@ -47,13 +47,65 @@ def test_logistic_fit_and_weights(spark):
         v = learn.logistic_fit(rows.where(f"group_id <> {g}"), 2)
         for i in range(g, 90, 3):
             assert held[i] == pytest.approx(1 / (1 + math.exp(-x[i] @ v)), abs=1e-7)
-    model = {"mean": [1.0, 2.0, 3.0], "eigvec": [[1.0, 0.0, 0.0], [0.0, 0.6, 0.8]], "sv": [1.0, 2.0]}
-    stored = jobs.stored_model(rows, model, "surf", limit=0.5)
-    m = stored.first()
-    back = {(r.kind, r.bin): r.weight for r in jobs.weight_report(stored).collect()}
-    for kind, v in (("linear", m.w_lin), ("logistic", m.w_log)):
-        assert [back[kind, i] for i in range(3)] == pytest.approx((np.array(model["eigvec"]).T @ v + model["mean"]).tolist())
-    assert m.w_log == pytest.approx(w.tolist(), abs=1e-6)
+
+
+def test_stored_model_and_weights(spark):
+    """Fold means of both models, and weights of features by whitened components times their deviation, from numpy."""
+    rng = np.random.default_rng(4)
+    n, d, k = 40, 6, 3
+    x = rng.normal(size=(n, d)) @ rng.normal(size=(d, d)) + 5
+    grade, groups = rng.integers(0, 4, n), np.arange(n) % 5
+    features = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(n) for j in range(d)], "sample long, bin int, val double")
+    grades = spark.createDataFrame([(i, int(groups[i]), int(grade[i])) for i in range(n)], "sample long, group_id int, grade int")
+    found, model = jobs.graded(features, grades, k, 0.1)
+    mean = x.mean(0)
+    u, s, vt = np.linalg.svd(x - mean, full_matrices=False)
+    vt = vt * np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(1)])[:, None]
+    deviation = s[:k] / math.sqrt(n - 1)
+    scores = (x - mean) @ vt[:k].T / deviation
+    lin, log, intercepts, raw, chance = [], [], [], np.zeros(n), np.zeros(n)
+    for g in range(5):
+        t = groups != g
+        m, my = scores[t].mean(0), grade[t].mean()
+        a = scores[t] - m
+        w = np.linalg.solve(a.T @ a + 0.1 * np.diag((a * a).sum(0)), a.T @ (grade[t] - my))
+        v, y = np.zeros(k), (grade[t] > 1).astype(float)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-scores[t] @ v))
+            v = v + np.linalg.solve(scores[t].T @ (scores[t] * (p * (1 - p))[:, None]) + np.eye(k), scores[t].T @ (y - p) - v)
+        lin, log, intercepts = [*lin, w], [*log, v], [*intercepts, my - m @ w]
+        raw[~t], chance[~t] = scores[~t] @ w + intercepts[-1], 1 / (1 + np.exp(-scores[~t] @ v))
+    rows = {r["sample"]: r for r in found.collect()}
+    assert [rows[i].raw for i in range(n)] == pytest.approx(raw.tolist(), abs=1e-8)
+    assert [rows[i].probability for i in range(n)] == pytest.approx(chance.tolist(), abs=1e-6)
+    assert [rows[i].prediction for i in range(n)] == pytest.approx(np.clip(raw, 0, grade.max()).tolist(), abs=1e-8)
+    stored = jobs.stored_model(model, "surf")
+    r = stored.first()
+    assert r.w_lin == pytest.approx(np.mean(lin, 0).tolist()) and r.b_lin == pytest.approx(np.mean(intercepts)) and r.w_log == pytest.approx(np.mean(log, 0).tolist(), abs=1e-6) and r.b_log == 0
+    assert r.sv == pytest.approx((s[:k] / math.sqrt(d - 1)).tolist())
+    back: dict = {}
+    for q in jobs.weight_report(stored, n).collect():
+        back.setdefault(q.kind, {})[q.bin] = q.weight
+    for kind, w in (("linear", np.mean(lin, 0)), ("logistic", np.mean(log, 0))):
+        assert [back[kind][j] for j in range(d)] == pytest.approx((vt[:k].T @ (w * deviation) + mean).tolist(), abs=1e-5)
+        assert [back[f"{kind}_pca"][j] for j in range(k)] == pytest.approx(w.tolist(), abs=1e-6)
+    assert [back["pc2"][j] for j in range(d)] == pytest.approx(vt[1].tolist(), abs=1e-8)
+    # Metrics: the linear ones before the cut to the grades' range, the others of the logistic probability.
+    got = {q.name: q.value for q in jobs.metrics(found).collect()}
+    y, label = grade > 1, chance > 0.5
+    assert got["mse"] == pytest.approx(((raw - grade) ** 2).mean()) and got["mse"] != pytest.approx(((np.clip(raw, 0, 3) - grade) ** 2).mean())
+    assert got["r2"] == pytest.approx(1 - ((raw - grade) ** 2).sum() / ((grade - grade.mean()) ** 2).sum())
+    pairs = np.sign(chance[y][:, None] - chance[~y][None])
+    assert got["auc"] == pytest.approx(((pairs + 1) / 2).mean())
+    counts = {"tp": (y & label).sum(), "fp": (~y & label).sum(), "fn": (y & ~label).sum(), "tn": (~y & ~label).sum()}
+    assert {c: got[c] for c in counts} == counts and got["accuracy"] == pytest.approx((y == label).mean())
+    assert got["precision"] == pytest.approx(counts["tp"] / max(label.sum(), 1)) and got["recall"] == pytest.approx(counts["tp"] / y.sum())
+
+
+def test_a_fit_that_is_not_finite_ends(spark):
+    rows = spark.createDataFrame([(i, i % 3, [float(i), float("nan") if i == 4 else 1.0], float(i % 2)) for i in range(12)], "row_id long, group_id int, x array<double>, y double")
+    with pytest.raises(ValueError, match="finite"):
+        learn.logistic_logo(rows, 2)
 
 
 def test_titles(spark):

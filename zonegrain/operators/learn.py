@@ -95,35 +95,54 @@ def logistic_fit(rows: DataFrame, d: int, c: float = 1.0) -> np.ndarray:
     while True:
         r = _newton_sums(rows.withColumn("w", F.array(*(F.lit(float(v)) for v in w))), d, []).first().asDict()
         step = _newton_step(r, w, d, c)
+        _finite(step)
         w = w + step
         if np.abs(step).max() < STILL:
             return w
 
 
-def logistic_logo(rows: DataFrame, d: int, c: float = 1.0) -> DataFrame:
-    """rows (row_id, group_id, x, y) with the probability of the L2 logistic model (no intercept) that was fitted without their group.
+def _finite(step: np.ndarray) -> None:
+    if not np.isfinite(step).all():
+        raise ValueError("the logistic fit isn't finite: a feature is missing or not a number")
+
+
+#: Groups that are held out at most: every step sends each row to all models but its own group's.
+FOLDS = 5_000
+
+
+def logistic_folds(rows: DataFrame, d: int, c: float = 1.0) -> DataFrame:
+    """group_id, w: the L2 logistic model (no intercept) of rows (group_id, x, y) without that group.
 
     All folds start from the fit on everything and take Newton steps together until none moves: a pass gives the sums of
-    each fold, to which a row is sent for every group but its own, one row of weights a group. Groups are a bounded list.
+    each fold, to which a row is sent for every group but its own, one row of weights a group. Groups are a bounded list
+    (an error beyond FOLDS); a feature that isn't finite is an error too.
     """
     spark = rows.sparkSession
     kind = dict(rows.dtypes)["group_id"]
-    folds = [r[0] for r in rows.select("group_id").distinct().orderBy("group_id").collect()]
-    w = {f: logistic_fit(rows, d, c) for f in folds[:1]}
-    w = {f: w[folds[0]].copy() for f in folds}
-    live = list(folds)
+    folds = [r[0] for r in rows.select("group_id").distinct().orderBy("group_id").limit(FOLDS + 1).collect()]
+    if len(folds) > FOLDS:
+        raise ValueError(f"more than {FOLDS} groups to hold out")
+    start = logistic_fit(rows, d, c)
+    w = {f: start.copy() for f in folds}
+    live = list(folds) if len(folds) > 1 else []
     while live:
         models = F.array(*(F.struct(F.lit(f).cast(kind).alias("fold"), F.array(*(F.lit(float(x)) for x in w[f])).alias("w")) for f in live))
         sent = rows.select("group_id", "x", "y", F.explode(F.filter(models, lambda m: m["fold"] != F.col("group_id"))).alias("m")).select("x", "y", F.col("m.fold").alias("fold"), F.col("m.w").alias("w"))
         moved = []
         for r in _newton_sums(sent, d, ["fold"]).collect():
             step = _newton_step(r.asDict(), w[r["fold"]], d, c)
+            _finite(step)
             w[r["fold"]] = w[r["fold"]] + step
             if np.abs(step).max() >= STILL:
                 moved.append(r["fold"])
         live = moved
-    table = spark.createDataFrame([(f, v.tolist()) for f, v in w.items()], f"group_id {kind}, w array<double>")
-    return rows.join(F.broadcast(table), "group_id").withColumn("probability", 1 / (1 + F.exp(-dot(F.col("x"), F.col("w"))))).drop("w")
+    return spark.createDataFrame([(f, v.tolist()) for f, v in w.items()], f"group_id {kind}, w array<double>")
+
+
+def logistic_logo(rows: DataFrame, d: int, c: float = 1.0, models: DataFrame | None = None) -> DataFrame:
+    """rows (row_id, group_id, x, y) with the probability of the model (logistic_folds) that was fitted without their group."""
+    table = logistic_folds(rows, d, c) if models is None else models
+    return rows.join(F.broadcast(table), "group_id").withColumn("probability", 1 / (1 + F.exp(-dot(F.col("x"), F.col("w"))))).drop("w")  # a row a group
 
 
 def explained(rows: DataFrame, d: int, alpha: float = 1.0) -> DataFrame:
@@ -136,16 +155,6 @@ def explained(rows: DataFrame, d: int, alpha: float = 1.0) -> DataFrame:
     return t.select("row_id", F.posexplode(value).alias("bin", "value"))
 
 
-def search(rows: DataFrame, d: int, alphas: dict[int, float]) -> DataFrame:
-    """par_id, group_id, error: the mean squared error of each parameter set on each held-out group."""
-    out = None
-    for par, alpha in alphas.items():
-        p = study.predict(rows, study.fold_models(rows, d, alpha), d)
-        e = p.groupBy("group_id").agg(F.avg((F.col("y") - F.col("prediction")) * (F.col("y") - F.col("prediction"))).alias("error")).withColumn("par_id", F.lit(par))
-        out = e if out is None else out.unionByName(e)
-    return out
-
-
 def lda(rows: DataFrame, d: int, classes: list[int], ridge: float = 1e-6) -> DataFrame:
     """rows (row_id, group_id, x, y) with the class of linear discriminants fitted without their group.
 

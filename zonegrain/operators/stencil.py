@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonegrain.functions.columns import uniform_code
+from zonegrain.sources import shared
 
 PIXEL = ["image", "y", "x"]
 Offsets = list[tuple[int, int, float]]
@@ -90,37 +91,16 @@ TILE, LOT = 256, 4_000_000
 Grid = dict[str, np.ndarray]
 
 
-def tiled(images: DataFrame, halo: int, work: Callable[[Grid, np.ndarray], Grid], out: str, tile: int = TILE) -> DataFrame:
-    """image, y, x and what work answers (out, a schema) for each pixel of images (image, y, x and values).
+def by_tile(images: DataFrame, halo: int, answer: Callable[[pa.Table], pa.RecordBatch], schema: str, tile: int = TILE, beside: DataFrame | None = None) -> DataFrame:
+    """What answer gives (schema) for the rows of each tile of images (image, y, x and values), with those of `halo` pixels around it.
 
-    work gets each value as a grid over the pixels of a tile with `halo` more on each side (0 where there is no pixel), and
-    where pixels are; it answers with grids of that shape. Tiles are sorted in their partition and read one after the other, so many small
-    images share a task and no image needs one task.
+    beside: rows (image, ty, tx, and columns that images lacks) that come to their tile as they are. Tiles are sorted in their
+    partition and read one after the other, so many small images share a task and no image needs one task.
     """
-    names = [c for c in images.columns if c not in PIXEL]
-    fields = [f.strip().split(" ")[0] for f in out.split(",")]
-    types = {f.name: f.dataType for f in images.sparkSession.createDataFrame([], out).schema}
     near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)))
     sent = images.withColumn("ty", near("y")).withColumn("tx", near("x"))
-    kinds = ", ".join(f"{c} {t}" for c, t in images.select(*PIXEL).dtypes)
-
-    def answer(t: pa.Table) -> pa.RecordBatch:
-        y, x = (t.column(c).to_numpy().astype(np.int64) for c in "yx")
-        y0, x0 = y.min(), x.min()
-        at = y - y0, x - x0
-        there = np.zeros((at[0].max() + 1, at[1].max() + 1), bool)
-        there[at] = True
-        grids = {}
-        for n in names:
-            v = t.column(n).to_numpy()
-            grids[n] = np.zeros(there.shape, v.dtype)
-            grids[n][at] = v
-        found = work(grids, there)
-        own = (y // tile == t.column("ty")[0].as_py()) & (x // tile == t.column("tx")[0].as_py())
-        rows = t.select(PIXEL).filter(pa.array(own)).combine_chunks()
-        at = at[0][own], at[1][own]
-        kept = [rows.column(c).combine_chunks() if rows.num_rows else pa.array([], t.schema.field(c).type) for c in PIXEL]
-        return pa.RecordBatch.from_arrays([*kept, *(pa.array(found[f][at], _ARROW[types[f].typeName()]) for f in fields)], names=[*PIXEL, *fields])
+    if beside is not None:
+        sent = sent.unionByName(beside, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -147,7 +127,43 @@ def tiled(images: DataFrame, halo: int, work: Callable[[Grid, np.ndarray], Grid]
             done.append(answer(pa.Table.from_batches(held)))
         yield from pa.Table.from_batches(done).combine_chunks().to_batches() if done else ()
 
-    return sent.repartition("image", "ty", "tx").sortWithinPartitions("image", "ty", "tx").mapInArrow(run, f"{kinds}, {out}")
+    return sent.repartition("image", "ty", "tx").sortWithinPartitions("image", "ty", "tx").mapInArrow(run, schema)
+
+
+def grids_of(t: pa.Table, names: list[str], tile: int = TILE) -> tuple[Grid, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Each value as a grid over the pixels of a tile's rows (0 where there is none), where pixels are, the rows that are the tile's own, and their places."""
+    y, x = (t.column(c).to_numpy().astype(np.int64) for c in "yx")
+    at = y - y.min(), x - x.min()
+    there = np.zeros((at[0].max() + 1, at[1].max() + 1), bool)
+    there[at] = True
+    grids = {}
+    for n in names:
+        v = t.column(n).to_numpy()
+        grids[n] = np.zeros(there.shape, v.dtype)
+        grids[n][at] = v
+    own = (y // tile == t.column("ty")[0].as_py()) & (x // tile == t.column("tx")[0].as_py())
+    return grids, there, own, (at[0][own], at[1][own])
+
+
+def tiled(images: DataFrame, halo: int, work: Callable[[Grid, np.ndarray], Grid], out: str, tile: int = TILE) -> DataFrame:
+    """image, y, x and what work answers (out, a schema) for each pixel of images (image, y, x and values).
+
+    work gets each value as a grid over the pixels of a tile with `halo` more on each side (0 where there is no pixel), and
+    where pixels are; it answers with grids of that shape.
+    """
+    names = [c for c in images.columns if c not in PIXEL]
+    fields = [f.strip().split(" ")[0] for f in out.split(",")]
+    types = {f.name: f.dataType for f in images.sparkSession.createDataFrame([], out).schema}
+    kinds = ", ".join(f"{c} {t}" for c, t in images.select(*PIXEL).dtypes)
+
+    def answer(t: pa.Table) -> pa.RecordBatch:
+        grids, there, own, at = grids_of(t, names, tile)
+        found = work(grids, there)
+        rows = t.select(PIXEL).filter(pa.array(own)).combine_chunks()
+        kept = [rows.column(c).combine_chunks() if rows.num_rows else pa.array([], t.schema.field(c).type) for c in PIXEL]
+        return pa.RecordBatch.from_arrays([*kept, *(pa.array(found[f][at], _ARROW[types[f].typeName()]) for f in fields)], names=[*PIXEL, *fields])
+
+    return by_tile(images, halo, answer, f"{kinds}, {out}", tile)
 
 
 _ARROW = {"integer": pa.int32(), "long": pa.int64(), "double": pa.float64()}
@@ -311,6 +327,103 @@ def conv_mrelbp(images: DataFrame, n: int = 8, large: int = 2, small: int = 1, w
     return histogram(codes(images, n, large, small, wc, wl, ws, large + wl // 2), n, False)
 
 
+#: What a parameter set has.
+SET = ("ks1", "sigma1", "ks2", "sigma2", "N", "large", "small", "wc", "wl", "ws")
+
+
+def uniform_table(n: int) -> np.ndarray:
+    """The bin of each n-bit pattern: its ones if at most two neighbours on the circle differ, else n + 1."""
+    code = np.arange(1 << n)
+    bits = (code[:, None] >> np.arange(n)) & 1
+    return np.where((bits != np.roll(bits, 1, 1)).sum(1) <= 2, bits.sum(1), n + 1)
+
+
+def _shrunk(own: np.ndarray, margin: int) -> np.ndarray:
+    """Pixels of a rectangle that are `margin` or more inside it."""
+    return own & _shifted(own, -margin, 0) & _shifted(own, margin, 0) & _shifted(own, 0, -margin) & _shifted(own, 0, margin)
+
+
+def texture_sets(images: DataFrame, sets: list[dict], by_zone: bool = False) -> DataFrame:
+    """image, par_id, bin, val: the features of local standardisation and median-robust patterns of every parameter set (par_id and SET).
+
+    Images (image, y, x, val; rectangles) are read in tiles with the largest halo of all sets; a tile answers for every set,
+    so that the passes over the data are two, whatever the number of sets: patterns and sums of the medians first, then how
+    many medians are below their image's mean. Values are shares of all bins of an image. With by_zone images are named
+    "zone/...", and a set with a `zone` answers for that zone alone.
+    """
+    for p in sets:
+        if any(p[c] % 2 == 0 for c in ("ks1", "ks2", "wc", "wl", "ws")) or not 1 <= p["small"] < p["large"]:
+            raise ValueError(f"windows are odd and 1 <= small < large: {p}")
+    first = max(p["ks1"] // 2 + p["ks2"] // 2 for p in sets)
+    halo = first + max(max(p["large"] + p["wl"] // 2, p["small"] + p["ws"] // 2, p["wc"] // 2) for p in sets)
+    kind = dict(images.dtypes)["image"]
+    source = _reflected(images, first)
+    rows = f"image {kind}, par_id long, bin int, c double"
+    gaussians = {(p[f"ks{i}"], p[f"sigma{i}"]): gauss(p[f"ks{i}"], p[f"sigma{i}"]) for p in sets for i in (1, 2)}
+    bins = {p["N"]: uniform_table(p["N"]) for p in sets}
+
+    def mine(t: pa.Table) -> list[dict]:
+        image = t.column("image")[0].as_py()
+        return [p for p in sets if not by_zone or p.get("zone") in (None, str(image).split("/", 1)[0])]
+
+    def prepared(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        g, _, _, at = grids_of(t, ["val", "own"])
+        tile = np.zeros(g["own"].shape, bool)
+        tile[at] = True
+        return g["val"], g["own"] == 1, tile
+
+    def even(v: np.ndarray, own: np.ndarray, p: dict) -> np.ndarray:
+        centred = v - _along(v, gaussians[p["ks1"], p["sigma1"]])
+        squares = _along(centred**2, gaussians[p["ks2"], p["sigma2"]])
+        return np.where(own, centred / (np.sqrt(np.maximum(squares, 0)) + 1e-9), 0.0)
+
+    def margin(p: dict) -> int:
+        return round(p["large"] + (p["wl"] - 1) / 2)
+
+    def batch(t: pa.Table, out: list[tuple[int, int, float]]) -> pa.RecordBatch:
+        image = pa.array([t.column("image")[0].as_py()] * len(out), t.schema.field("image").type)
+        return pa.RecordBatch.from_arrays([image, pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([float(x[2]) for x in out], pa.float64())], names=["image", "par_id", "bin", "c"])
+
+    def patterns(t: pa.Table) -> pa.RecordBatch:
+        v, own, tile = prepared(t)
+        out: list[tuple[int, int, float]] = []
+        for p in mine(t):
+            e, n = even(v, own, p), p["N"]
+            inner = _shrunk(own, margin(p)) & tile
+            medians = {w: _medians(e, w) for w in {p["wc"], p["wl"], p["ws"]}}
+            large, small = _circle(medians[p["wl"]], n, p["large"]), _circle(medians[p["ws"]], n, p["small"])
+            ml, ms = sum(large) / n, sum(small) / n
+            for k, values in enumerate(([x - ml for x in large], [x - ms for x in small], [a - b for a, b in zip(large, small, strict=True)])):
+                found = np.bincount(bins[n][_pattern([x[inner] for x in values])], minlength=n + 2)
+                out += [(p["par_id"], 2 + k * (n + 2) + i, c) for i, c in enumerate(found.tolist())]
+            out += [(p["par_id"], -1, medians[p["wc"]][inner].sum()), (p["par_id"], -2, inner.sum())]
+        return batch(t, out)
+
+    def centres(t: pa.Table) -> pa.RecordBatch:
+        told = t.filter(pc.is_null(t.column("y")))
+        means = dict(zip(told.column("par_id").to_pylist(), told.column("mean").to_pylist(), strict=True))
+        t = t.filter(pc.is_valid(t.column("y")))
+        if not t.num_rows:
+            return batch(told, [])
+        v, own, tile = prepared(t)
+        out: list[tuple[int, int, float]] = []
+        for p in mine(t):
+            inner, mean = _shrunk(own, margin(p)) & tile, means.get(p["par_id"])
+            below = 0 if mean is None else int((np.round(_medians(even(v, own, p), p["wc"])[inner] - mean, 9) < 0).sum())
+            out += [(p["par_id"], 0, int(inner.sum()) - below), (p["par_id"], 1, below)]
+        return batch(t, out)
+
+    sums = by_tile(source, halo, patterns, rows).groupBy("image", "par_id", "bin").agg(F.sum("c").alias("c"))
+    sums = shared.saved(sums, "patterns")
+    n = F.max(F.when(F.col("bin") == -2, F.col("c")))
+    means = sums.where("bin < 0").groupBy("image", "par_id").agg((F.max(F.when(F.col("bin") == -1, F.col("c"))) / F.when(n > 0, n)).alias("mean"), n.alias("n"))
+    span = lambda a: F.explode(F.sequence(F.floor(F.col(f"{a}_min") / TILE), F.floor(F.col(f"{a}_max") / TILE)))
+    each = bounds(images).withColumn("ty", span("y")).withColumn("tx", span("x")).select("image", "ty", "tx").join(means.select("image", "par_id", "mean"), "image")
+    both = by_tile(source.withColumns({"par_id": F.lit(None).cast("long"), "mean": F.lit(None).cast("double")}), halo, centres, rows, beside=each).unionByName(sums.where("bin >= 0"))
+    counted = both.groupBy("image", "par_id", "bin").agg(F.sum("c").alias("c"))
+    return counted.join(means.select("image", "par_id", "n"), ["image", "par_id"]).select("image", "par_id", "bin", (F.col("c") / F.greatest(4 * F.col("n"), F.lit(1.0))).alias("val"))
+
+
 # --- noise ------------------------------------------------------------------------------------------------------------
 
 

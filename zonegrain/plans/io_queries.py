@@ -60,11 +60,11 @@ _add("first_rows", lambda s, d: learn.first_rows(T.regression_rows(s, d).select(
 
 # --- whole jobs: the zones of each label's volume are its images ---
 def _zones(s, d):
-    return jobs.zone_images(T.voxels(s, d), 8, {"surf": (-1, 6), "deep": (6, 14)})
+    return jobs.zone_images(T.voxels(s, d), 8, {"surf": (-1, 6), "deep": (6, 14), "calc": (14, 22)})
 
 
 def _parameters(s, sets=((3, 3, 1, 1, 8, 2, 1, 3, 3, 3),)):
-    rows = [(zone, *p) for p in sets for zone in ("deep", "surf")]
+    rows = [(zone, *p) for p in sets for zone in ("calc", "deep", "surf")]
     return s.createDataFrame(rows, files.PARAMETERS)
 
 
@@ -73,7 +73,7 @@ def _grades_of_labels(s, d):
 
 
 def _run(part: str):
-    return lambda s, d: jobs.grading(_zones(s, d), _grades_of_labels(s, d), _parameters(s), 2, replicates=20)[part]
+    return lambda s, d: jobs.grading(_zones(s, d), _grades_of_labels(s, d), _parameters(s), 2, crop=False, tables=(part,))[part]  # 8 by 8: nothing to crop
 
 
 _add("zone_features", lambda s, d: jobs.zone_features(_zones(s, d), _parameters(s)))
@@ -83,10 +83,14 @@ _add("grading_curves", _run("curves"))
 _add("grading_intervals", _run("intervals"))
 
 
+def _tidy_error(t):
+    return t.withColumn("error", tidy(F.col("error"), 6))
+
+
 def texture_search(s, d):
     names = ["par_id", "ks1", "ks2", "sigma1", "sigma2", "N", "large", "small", "wc", "wl", "ws"]
     sets = s.createDataFrame([(0, 3, 3, 1, 1, 8, 2, 1, 3, 3, 3), (1, 5, 3, 2, 1, 8, 2, 1, 1, 3, 1)], names)
-    return jobs.texture_search(_zones(s, d), _grades_of_labels(s, d), sets, 2)
+    return _tidy_error(jobs.texture_search(_zones(s, d), _grades_of_labels(s, d), sets, 2, crop=False))
 
 
 _add("texture_search", texture_search)
@@ -94,14 +98,10 @@ _add("texture_search", texture_search)
 
 def feature_model(s, d):
     """The model of all features, stored and read again, as weights of features."""
-    from zonegrain.operators import study
-
-    kept = study.without_zero_bins(T.features(s, d))
-    model = learn.pca(kept, 5)
-    rows = learn.project(study.rows_of(kept), model).join(T.grades(s, d), "sample").select("group_id", F.col("scores").alias("x"), F.col("grade").cast("double").alias("y"))
+    _, model = jobs.graded(T.features(s, d), T.grades(s, d), 5)
     at = shared.scratch(s, "models")
-    files.write_by_zone(jobs.stored_model(rows, model, "surf"), at)
-    return jobs.weight_report(files.models(s, at, learn.MODEL)).withColumn("weight", tidy(F.col("weight"), 6))
+    files.write_by_zone(jobs.stored_model(model, "surf"), at)
+    return jobs.weight_report(files.models(s, at, learn.MODEL), model["samples"]).withColumn("weight", tidy(F.col("weight"), 6))
 
 
 _add("feature_model", feature_model)

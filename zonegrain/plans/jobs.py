@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonegrain.operators import learn, stencil, study, volume
+from zonegrain.operators import learn, order, regions, resample, selection, stencil, study, volume
 from zonegrain.sources import shared
-from zonegrain.sources.files import PARAMETERS
 
 
 #: What titles of zone images begin with.
@@ -38,28 +39,71 @@ def picked(images: DataFrame, title: str) -> DataFrame:
     return images.where(F.col("zone") == zone)
 
 
-def zone_features(images: DataFrame, parameters: DataFrame) -> DataFrame:
+#: Zones whose images are cropped where a corner has no tissue.
+CROPPED = ("deep", "calc")
+
+
+def prepared(images: DataFrame, crop: bool = True, median: bool = False) -> DataFrame:
+    """Zone images (zone, sample, y, x, val) without empty corners in the deep and calcified zones, and with a 3 * 3 median if asked for."""
+    named = F.concat_ws("/", "zone", F.col("sample").cast("string"))
+    t = images.select(named.alias("image"), "y", "x", F.col("val").cast("double").alias("val"))
+    if crop:
+        t = shared.saved(t, "uncropped")
+        some = F.substring_index("image", "/", 1).isin(*CROPPED)
+        t = t.where(~some).unionByName(regions.corner_crop(t.where(some)).select("image", "y", "x", "val"))
+    if median:
+        t = stencil.median_filter(t, 3)
+    kind = dict(images.dtypes)["sample"]
+    return t.select(F.substring_index("image", "/", 1).alias("zone"), F.expr("substring(image, instr(image, '/') + 1)").cast(kind).alias("sample"), "y", "x", "val")
+
+
+def _sets(table: DataFrame, columns: list[str]) -> list[dict]:
+    """Parameter sets (a bounded list) as dictionaries."""
+    return [{c: r[c] for c in (*columns, *stencil.SET)} for r in table.orderBy(*columns).collect()]
+
+
+def _textures(images: DataFrame, sets: list[dict]) -> DataFrame:
+    """zone, sample, par_id, bin, val of zone images, by every set that its zone has."""
+    kind = dict(images.dtypes)["sample"]
+    named = images.select(F.concat_ws("/", "zone", F.col("sample").cast("string")).alias("image"), "y", "x", F.col("val").cast("double").alias("val"))
+    found = stencil.texture_sets(named, sets, by_zone=True)
+    return found.select(F.substring_index("image", "/", 1).alias("zone"), F.expr("substring(image, instr(image, '/') + 1)").cast(kind).alias("sample"), "par_id", "bin", "val")
+
+
+def zone_features(images: DataFrame, parameters: DataFrame, crop: bool = False, median: bool = False) -> DataFrame:
     """zone, sample, bin, val of zone images (zone, sample, y, x, val) by the parameters of their zone (a row for each zone).
 
-    Local standardisation, then median-robust patterns as shares of each histogram.
+    Local standardisation, then median-robust patterns as shares of all bins. Zones without parameters are left out; a zone
+    other than surf, deep and calc is an error.
     """
-    out = None
-    for p in parameters.orderBy("zone").collect():  # a row a zone
-        one = picked(images, p["zone"]).select(F.col("sample").alias("image"), "y", "x", F.col("val").cast("double").alias("val"))
-        even = stencil.standardise(one, p["ks1"], p["sigma1"], p["ks2"], p["sigma2"])
-        bins = texture_features(even, n=p["N"], large=p["large"], small=p["small"], wc=p["wc"], wl=p["wl"], ws=p["ws"], normalise=False).select(F.lit(p["zone"]).alias("zone"), "sample", "bin", "val")
-        out = bins if out is None else out.unionByName(bins)
-    return out
+    sets = [{**p, "par_id": 0} for p in _sets(parameters, ["zone"])]
+    for p in sets:
+        if p["zone"] not in ZONES:
+            raise ValueError(f"a zone is one of {', '.join(ZONES)}: {p['zone']!r}")
+    mine = images.where(F.col("zone").isin([p["zone"] for p in sets]))
+    mine = prepared(mine, crop, median) if crop or median else mine
+    return _textures(mine, sets).drop("par_id")
+
 
+def graded(features: DataFrame, grades: DataFrame, n: int = 5, alpha: float = 0.1, limit: float = 1) -> tuple[DataFrame, dict]:
+    """sample, actual, raw, prediction (raw within the grades' range), probability; and the PCA model with the models of all folds.
 
-def graded(features: DataFrame, grades: DataFrame, n: int = 5, alpha: float = 1.0) -> tuple[DataFrame, dict]:
-    """sample, actual, prediction (clipped to the grades' range), and the PCA model: zero bins dropped, whitened scores, ridge by group."""
+    Zero bins are dropped, scores are whitened; ridge (penalty on columns over their norm) and logistic models (of grades above
+    the limit) are fitted without the sample's group.
+    """
     kept = study.without_zero_bins(features)
     model = learn.pca(kept, n)
+    k = len(model["sv"])
     rows = learn.project(study.rows_of(kept), model).join(grades, "sample").select(F.col("sample").alias("row_id"), "group_id", F.col("scores").alias("x"), F.col("grade").cast("double").alias("y"))
-    raw = study.predict(rows, study.fold_models(rows, len(model["sv"]), alpha, False), len(model["sv"]))
+    rows = shared.saved(rows, "scores")
+    linear = study.fold_models(rows, k, alpha, True)
+    binary = rows.withColumn("y", (F.col("y") > limit).cast("double"))
+    logistic = learn.logistic_folds(binary, k)
+    chance = learn.logistic_logo(binary, k, models=logistic).select("row_id", "probability")
+    raw = study.predict(rows, linear, k).join(chance, "row_id")
     top = grades.agg(F.max("grade").cast("double").alias("top"))
-    return raw.join(F.broadcast(top)).select(F.col("row_id").alias("sample"), F.col("y").alias("actual"), F.col("prediction").alias("raw"), F.least(F.greatest("prediction", F.lit(0.0)), "top").alias("prediction")), model
+    out = raw.join(F.broadcast(top)).select(F.col("row_id").alias("sample"), F.col("y").alias("actual"), F.col("prediction").alias("raw"), F.least(F.greatest("prediction", F.lit(0.0)), "top").alias("prediction"), "probability")
+    return out, {**model, "linear": linear, "logistic": logistic, "samples": rows.count()}
 
 
 def noise_report(images: DataFrame, sets: DataFrame) -> DataFrame:
@@ -74,74 +118,100 @@ def zone_table(listings: dict[str, DataFrame], names: DataFrame) -> DataFrame:
     for zone, listing in listings.items():
         one = listing.select(F.lit(zone).alias("zone"), "path")
         out = one if out is None else out.unionByName(one)
-    pos = F.row_number().over(Window.partitionBy("zone").orderBy("path")) - 1
-    return out.withColumn("pos", pos).join(names, ["zone", "pos"])
+    return order.numbered(out, ["zone"], ["path"], "pos").withColumn("pos", F.col("pos").cast("int")).join(names, ["zone", "pos"])
+
 
+def metrics(t: DataFrame, limit: float = 1, threshold: float = 0.5) -> DataFrame:
+    """name, value of rows (actual, raw, probability).
 
-def metrics(t: DataFrame, limit: float = 1) -> DataFrame:
-    """name, value: of rows (actual, prediction); the classification metrics tell grades above the limit."""
-    y = t.select("actual", "prediction", (F.col("actual") > limit).cast("int").alias("y"))
-    long = lambda df: df.unpivot([], [c for c in df.columns if c != "n"], "name", "value")
-    parts = [study.regression_metrics(y, "actual", "prediction"), study.auc(y, "y", "prediction"), study.average_precision(y, "y", "prediction").select("average_precision"), study.spearman(y, "actual", "prediction").select("rho", F.col("p").alias("rho_p")), study.wilcoxon(y, "actual", "prediction").select("statistic", F.col("p").alias("statistic_p"))]
+    mse, r2, abs_error, rho and statistic with their chances are those of the raw linear predictions, before they are cut to the
+    grades' range. auc, average_precision, baseline, precision, recall, f1, support, accuracy and the confusion counts (tn, fp,
+    fn, tp) are those of the logistic probability, against grades above the limit; a probability above the threshold is positive.
+    """
+    t = shared.saved(t.select("actual", "raw", "probability", (F.col("actual") > limit).cast("int").alias("y"), (F.col("probability") > threshold).cast("int").alias("label")), "metrics")
+    long = lambda df: df.select(*(F.col(c).cast("double").alias(c) for c in df.columns)).unpivot([], df.columns, "name", "value")
+    counts = t.agg(*(F.count_if((F.col("y") == a) & (F.col("label") == b)).alias(n) for a, b, n in ((0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp"))))
+    parts = [study.regression_metrics(t, "actual", "raw"), study.spearman(t, "actual", "raw").select("rho", F.col("p").alias("rho_p")), study.wilcoxon(t, "actual", "raw").select("statistic", F.col("p").alias("statistic_p")), study.auc(t, "y", "probability"), study.average_precision(t, "y", "probability"), study.class_metrics(t, "y", "label"), counts]
     out = None
-    for one in parts:
-        one = long(one.select(*(F.col(c).cast("double").alias(c) for c in one.columns)))
+    for one in map(long, parts):
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def report(predictions: DataFrame) -> DataFrame:
-    """sample, actual, prediction, difference, in order of sample."""
-    return predictions.select("sample", "actual", "prediction", F.abs(F.col("actual") - F.col("prediction")).alias("difference")).orderBy("sample")
+    """sample, actual, prediction, difference, logistic, in order of sample."""
+    return predictions.select("sample", "actual", "prediction", F.abs(F.col("actual") - F.col("prediction")).alias("difference"), F.col("probability").alias("logistic")).orderBy("sample")
+
 
+def stored_model(model: dict, zone: str) -> DataFrame:
+    """One row of learn.MODEL from what graded() returns: components, and the means over folds of linear and logistic weights.
 
-def stored_model(rows: DataFrame, model: dict, zone: str, c: float = 1.0, limit: float = 1) -> DataFrame:
-    """One row of learn.MODEL: the components with linear and logistic weights on whitened scores, fitted on all rows (row_id, group_id, x, y)."""
+    sv is over n_features - 1. The logistic models have no intercept, so that it is 0.
+    """
     k = len(model["sv"])
-    sums = study.fold_sums(rows.withColumn("group_id", F.lit(0)), k).toPandas().iloc[0].astype(float)
-    w = study.ridge(sums, k, 1.0, False)
-    v = learn.logistic_fit(rows.withColumn("y", (F.col("y") > limit).cast("double")), k, c)
-    row = (zone, k, [float(x) for x in model["mean"]], model["eigvec"], [float(x) for x in model["sv"]], w[:-1].tolist(), v.tolist(), float(w[-1]), 0.0)
-    return rows.sparkSession.createDataFrame([row], learn.MODEL)
+    linear = [r["coef"] for r in study.coefficient_means(model["linear"]).orderBy("bin").collect()]
+    logistic = [r["coef"] for r in study.coefficient_means(model["logistic"]).orderBy("bin").collect()]
+    over = math.sqrt(max(model["samples"] - 1, 1) / max(len(model["bins"]) - 1, 1))
+    row = (zone, k, [float(x) for x in model["mean"]], model["eigvec"], [float(x) * over for x in model["sv"]], linear[:-1], logistic, linear[-1], 0.0)
+    return model["linear"].sparkSession.createDataFrame([row], learn.MODEL)
 
 
-def weight_report(models: DataFrame) -> DataFrame:
-    """zone, kind, bin, weight: linear and logistic weights of stored models, mapped back to the features, plus the mean."""
-    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(w).alias("w")) for k, w in (("linear", "w_lin"), ("logistic", "w_log")))))
-    t = models.select("zone", "eigvec", "mean", kinds.alias("k")).select("zone", F.col("k.kind").alias("kind"), F.posexplode("mean").alias("bin", "m"), "eigvec", F.col("k.w").alias("w"))
-    back = F.aggregate(F.zip_with("eigvec", "w", lambda e, w: F.get(e, F.col("bin")) * w), F.lit(0.0), lambda a, b: a + b)
-    return t.select("zone", "kind", "bin", (back + F.col("m")).alias("weight"))
+def weight_report(models: DataFrame, samples: int) -> DataFrame:
+    """zone, kind, bin, weight of stored models, fitted on so many samples.
 
+    linear_pca and logistic_pca: weights of components (bin). linear and logistic: each component times its deviation (over
+    n_samples - 1) and its weight, summed, plus the mean of the feature (bin). pc1, pc2, ...: the components.
+    """
+    deviation = F.transform("sv", lambda s: s * F.sqrt((F.size("mean") - 1) / F.lit(float(max(samples - 1, 1)))))
+    t = models.select("zone", "eigvec", "mean", "w_lin", "w_log", deviation.alias("sd"))
+    out = None
+    for kind, w in (("linear", "w_lin"), ("logistic", "w_log")):
+        scaled = F.zip_with(w, "sd", lambda a, b: a * b)
+        bins = t.select("zone", "eigvec", scaled.alias("w"), F.posexplode("mean").alias("bin", "m"))
+        back = F.aggregate(F.zip_with("eigvec", "w", lambda e, v: F.get(e, F.col("bin")) * v), F.lit(0.0), lambda a, b: a + b)
+        one = bins.select("zone", F.lit(kind).alias("kind"), "bin", (back + F.col("m")).alias("weight")).unionByName(t.select("zone", F.lit(f"{kind}_pca").alias("kind"), F.posexplode(w).alias("bin", "weight")))
+        out = one if out is None else out.unionByName(one)
+    components = t.select("zone", F.posexplode("eigvec").alias("c", "v")).select("zone", F.concat(F.lit("pc"), F.col("c") + 1).alias("kind"), F.posexplode("v").alias("bin", "weight"))
+    return out.unionByName(components)
 
-def grading(images: DataFrame, grades: DataFrame, parameters: DataFrame, n: int = 5, limit: float = 1, replicates: int = 50) -> dict[str, DataFrame]:
-    """From zone images (zone, sample, y, x, val) to predictions, metrics, ROC curves and bootstrapped AUC intervals, by zone."""
-    features = shared.saved(zone_features(shared.saved(images, "zone-images"), parameters), "zone-features")
+
+def grading(images: DataFrame, grades: DataFrame, parameters: DataFrame, n: int = 5, limit: float = 1, replicates: int = 2000, alpha: float = 0.1, crop: bool = True, tables: tuple[str, ...] = ("predictions", "metrics", "curves", "intervals", "models")) -> dict[str, DataFrame]:
+    """From zone images (zone, sample, y, x, val), by zone: predictions, metrics, curves (ROC and precision against recall, of
+    the logistic probability), intervals (of AUC and average precision, stratified resamples) and models; only the tables asked for."""
+    features = shared.saved(zone_features(images, parameters, crop), "zone-features")
     out: dict[str, DataFrame] = {}
     for zone in [r[0] for r in parameters.select("zone").orderBy("zone").collect()]:
-        predictions = shared.saved(graded(features.where(F.col("zone") == zone).drop("zone"), grades, n)[0], "predictions")
-        scored = predictions.select("sample", (F.col("actual") > limit).cast("int").alias("y"), F.col("raw").alias("score"))
-        found = {"predictions": report(predictions), "metrics": metrics(predictions, limit), "curves": study.roc_points(scored, "y", "score").select("threshold", "tpr", "fpr", "precision"), "intervals": study.interval(study.bootstrap_auc(scored, "y", "score", "sample", replicates), "auc")}
-        for name, t in found.items():
-            t = t.withColumn("zone", F.lit(zone))
+        found, model = graded(features.where(F.col("zone") == zone).drop("zone"), grades, n, alpha, limit)
+        found = shared.saved(found, "predictions")
+        scored = found.select("sample", (F.col("actual") > limit).cast("int").alias("y"), F.col("probability").alias("score"))
+        make = {
+            "predictions": lambda: report(found),  # noqa: B023
+            "metrics": lambda: metrics(found, limit),  # noqa: B023
+            "curves": lambda: study.roc_points(scored, "y", "score").select("threshold", "tpr", "fpr", "precision", F.col("tpr").alias("recall")),  # noqa: B023
+            "intervals": lambda: resample.intervals(resample.bootstrap(scored, "y", "score", "sample", ("auc", "average_precision"), replicates)),  # noqa: B023
+            "models": lambda: stored_model(model, zone).drop("zone"),  # noqa: B023
+        }
+        for name in tables:
+            t = make[name]().withColumn("zone", F.lit(zone))
             out[name] = out[name].unionByName(t) if name in out else t
     return out
 
 
-def texture_search(images: DataFrame, grades: DataFrame, sets: DataFrame, n: int = 5) -> DataFrame:
-    """zone, par_id, error: for each zone the parameter set (par_id and the columns of files.PARAMETERS but zone) with the least squared error of held-out groups.
+def full_grading(v: DataFrame, grades: DataFrame, parameters: DataFrame, side: int, zones: dict[str, tuple[int, int]], **options) -> dict[str, DataFrame]:
+    """From stacks (voxels: sample, y, x, z, val) to all that grading() returns."""
+    return grading(zone_images(v, side, zones), grades, parameters, **options)
+
+
+def texture_search(images: DataFrame, grades: DataFrame, sets: DataFrame, n: float = 5, alpha: float = 0.1, by_split: bool = True, crop: bool = True) -> DataFrame:
+    """zone, split, par_id, error: for each zone and each split left out, the parameter set (par_id and stencil.SET) with the least error.
 
-    Sets are a bounded list; each is one distributed pass over the images.
+    grades: sample, group_id, grade, and split (without it each sample is its own split). by_split False: one choice on all
+    samples, split null. The error is that of groups held out of the rows that stay (selection.split_errors); a set that
+    can't be fitted has 1e6. Images are read twice in all, whatever the number of sets and splits.
     """
-    images, out = shared.saved(images, "zone-images"), None
-    for p in sets.orderBy("par_id").collect():
-        for zone in ZONES:
-            mine = images.sparkSession.createDataFrame([(zone, *(p[c] for c in ("ks1", "ks2", "sigma1", "sigma2", "N", "large", "small", "wc", "wl", "ws")))], PARAMETERS)
-            own = picked(images, zone)
-            if own.isEmpty():
-                continue
-            features = shared.saved(zone_features(own, mine), "zone-features")
-            predictions, _ = graded(features.drop("zone"), grades, n)
-            one = predictions.agg(F.avg((F.col("actual") - F.col("prediction")) ** 2).alias("error")).select(F.lit(zone).alias("zone"), F.lit(p["par_id"]).cast("long").alias("par_id"), "error")
-            out = one if out is None else out.unionByName(one)
-    best = F.min(F.struct("error", "par_id")).alias("b")
-    return out.groupBy("zone").agg(best).select("zone", F.col("b.par_id").alias("par_id"), F.col("b.error").alias("error"))
+    ready = prepared(images, crop)
+    features = shared.saved(_textures(ready, _sets(sets, ["par_id"])), "textures-of-sets")
+    if "split" not in grades.columns:
+        grades = grades.withColumn("split", F.col("sample").cast("long"))
+    errors = selection.split_errors(features, grades, n, alpha, ("zone", "par_id"), whole=not by_split)
+    return study.best_set(errors, ["zone", "split"])
