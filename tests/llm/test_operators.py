@@ -363,9 +363,9 @@ def brute_join(rows):
     return Counter((doc, len(sets[i]), least.get(find(i)) if sets[i] else doc) for i, (doc, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("rare,seed,paired,bits", [(64, 1, 512, 64), (2, 2, 512, 64), (1, 3, 24, 64), (2, 4, 0, 64), (2, 5, 30, 6)])
-def test_jaccard_join(spark, rare, seed, paired, bits):
-    """paired 0: no pairs of tokens; bits 6: nearly all sets share their signature with another one."""
+@pytest.mark.parametrize("rare,seed,block,bits", [(64, 1, 512, 64), (2, 2, 512, 64), (1, 3, 8, 64), (2, 4, 2, 64), (2, 5, 4, 6)])
+def test_jaccard_join(spark, rare, seed, block, bits):
+    """block 512: no blocks; bits 6: nearly all sets share their signature with another one."""
     rng = random.Random(seed)
     vocab = [f"v{i}" for i in range(300)]
     draw = lambda n: [rng.choice(vocab) for _ in range(n)]
@@ -385,10 +385,32 @@ def test_jaccard_join(spark, rare, seed, paired, bits):
         rows.append((1000 - i, " ".join(w)))
     rows += [rows[3], (5, None), (6, ""), (7, "a b"), (8, "A b"), (9, "a  b\n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs, rare=rare, paired=paired, bits=bits).collect())
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs, rare=rare, block=block, bits=bits).collect())
     assert got == brute_join(rows)
 
 
+@pytest.mark.parametrize("block", [2, 4, 16])
+def test_jaccard_entries_meet(block):
+    """Any two sets that link have an entry in common, whatever their sizes and classes of tokens."""
+    rng = np.random.default_rng(block)
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        pool = rng.choice(1 << 40, 3 * n + 9, replace=False).astype(np.int64)
+        a = pool[:n]
+        b = np.concatenate([a[int(rng.integers(0, n // 4 + 1)) :], pool[n : n + int(rng.integers(0, n // 6 + 1))]])
+        both = len(np.intersect1d(a, b))
+        if both == len(a) == len(b) or 100 * both < 75 * (len(a) + len(b) - both):  # equal sets are one entry
+            continue
+        is_rare = dict(zip(pool.tolist(), (rng.random(len(pool)) < rng.choice([0, 0.1, 0.9])).tolist(), strict=True))
+        only = rng.random() < 0.5  # tokens of one set alone aren't repeated
+        keys = []
+        for x, y in ((a, b), (b, a)):
+            t = np.sort(np.intersect1d(x, y) if only else x)
+            mine = np.array([is_rare[v] for v in t.tolist()], bool)
+            keys.append(set(jaccard_join.entries(len(x), int(mine.sum()), np.concatenate([t[mine], t[~mine]]), block)[0].tolist()))
+        assert keys[0] & keys[1], (n, len(b), both)
+
+
 def test_jaccard_join_nasty(nasty, empty):
     rows = [tuple(r) for r in nasty.select("doc_id", "text").collect()]
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(nasty).collect())
