@@ -154,3 +154,25 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
     again = folded(F.col("proof"), F.coalesce("also", "leaf"))
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), again.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLE = """
+WITH RECURSIVE b AS (SELECT byte, (SELECT list_reduce(list_prepend(byte, range(0, 8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS e FROM range(0, 256) t(byte)),
+tab AS (SELECT list(e ORDER BY byte) AS t FROM b),
+d AS (SELECT doc_id, source, lang, n_chars, text, row_number() OVER () AS rid, xor(4294967295, (SELECT list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)), lambda c, ch: xor(c >> 8, t[xor(c & 255, ch) + 1])) FROM tab)) AS h FROM documents),
+f AS (SELECT *, concat_ws('', CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END, CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END, CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END, CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END) AS head FROM d),
+x AS MATERIALIZED (SELECT rid, doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf, CASE WHEN h % 5 = 0 THEN sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) END AS bad FROM f),
+n AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS sno, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS total FROM x),
+up(tree, level, i, digest, total) AS (SELECT sno, 0, i, leaf, total FROM n UNION ALL SELECT tree, level + 1, i // 16, sha256(string_agg(digest, '' ORDER BY i)), (total + 15) // 16 FROM up WHERE total > 1 GROUP BY tree, level, i // 16, total),
+s AS MATERIALIZED (SELECT tree AS sno, level AS depth, digest AS subroot FROM up WHERE total = 1),
+top(level, i, digest, total) AS (SELECT 0, sno, subroot, (SELECT count(*) FROM s) FROM s UNION ALL SELECT level + 1, i // 16, sha256(string_agg(digest, '' ORDER BY i)), (total + 15) // 16 FROM top WHERE total > 1 GROUP BY level, i // 16, total),
+a AS MATERIALIZED (SELECT tree, level, i // 16 AS run, list(digest ORDER BY i) AS m FROM up WHERE total > 1 GROUP BY ALL UNION ALL SELECT -1, level, i // 16, list(digest ORDER BY i) FROM top WHERE total > 1 GROUP BY ALL),
+p(rid, tree, level, i, depth, sno, proof, folded) AS (SELECT rid, sno, 0, i, depth, sno, '', coalesce(bad, leaf) FROM n JOIN s USING (sno)
+ UNION ALL SELECT p.rid, CASE WHEN p.tree >= 0 AND p.level + 1 >= p.depth THEN -1 ELSE p.tree END, CASE WHEN p.tree >= 0 AND p.level + 1 >= p.depth THEN 0 ELSE p.level + 1 END, CASE WHEN p.tree >= 0 AND p.level + 1 >= p.depth THEN p.sno ELSE p.i // 16 END, p.depth, p.sno,
+  CASE WHEN p.tree >= 0 AND p.depth = 0 THEN p.proof ELSE p.proof || array_to_string(a.m[1:p.i % 16], '') || array_to_string(a.m[p.i % 16 + 2:], '') END,
+  CASE WHEN p.tree >= 0 AND p.depth = 0 THEN p.folded ELSE sha256(array_to_string(a.m[1:p.i % 16], '') || p.folded || array_to_string(a.m[p.i % 16 + 2:], '')) END
+ FROM p LEFT JOIN a ON a.tree = p.tree AND a.level = p.level AND a.run = p.i // 16 WHERE (p.tree >= 0 AND p.depth = 0) OR a.m IS NOT NULL),
+z AS (SELECT rid, proof, folded FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY (tree = -1)::INT DESC, level DESC) AS k FROM p) WHERE k = 1),
+r AS (SELECT digest AS root FROM top WHERE total = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM n JOIN s USING (sno) JOIN z USING (rid), r
+"""

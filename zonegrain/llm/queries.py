@@ -29,4 +29,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_rules": url_rules.ORACLE,
     "op7_jaccard_join": jaccard_join.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op12_merkle": merkle.ORACLE,
+    "op13_periodic_runs": runs.ORACLE,
 }

@@ -298,3 +298,20 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found.withColumn("best", best)
     period = -F.col("best.p")
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.n").alias("length"), period.alias("period"), F.expr("1000 * best.n div -best.p").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+ORACLE = """
+WITH b AS (SELECT byte, (SELECT list_reduce(list_prepend(byte, range(0, 8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS e FROM range(0, 256) t(byte)),
+tab AS (SELECT list(e ORDER BY byte) AS t FROM b),
+d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text, xor(4294967295, (SELECT list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)), lambda c, ch: xor(c >> 8, t[xor(c & 255, ch) + 1])) FROM tab)) AS h FROM documents),
+o AS (SELECT doc_id, rid, h, h // 10 AS g, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
+p AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a FROM o),
+x AS MATERIALIZED (SELECT doc_id, rid, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS w FROM p),
+m AS (SELECT rid, q, unnest(list_filter(range(0, n - q), lambda i: w[i + 1] = w[i + q + 1])) AS i FROM x, range(1, n // 4 + 1) t(q) WHERE n >= 6),
+s AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM m) GROUP BY rid, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS MATERIALIZED (SELECT rid, start, length, min(q) AS period FROM s GROUP BY rid, start, length),
+l AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines, first({'start': start, 'length': length, 'period': period} ORDER BY length / period DESC, start, period) AS best FROM r GROUP BY rid),
+k AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM r),
+c AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS text FROM (SELECT rid, unnest(w) AS word, unnest(range(0, n)) AS i FROM x WHERE rid IN (SELECT rid FROM r)) ANTI JOIN k USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, (1000 * best.length) // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(CASE WHEN l.rid IS NOT NULL THEN c.text ELSE array_to_string(w, ' ') END, '')) AS collapsed_sha256 FROM x LEFT JOIN l USING (rid) LEFT JOIN c USING (rid)
+"""
