@@ -22,20 +22,18 @@ def components(points: DataFrame, moves: list[tuple[int, int, int]] = FACES) ->
     """sample, y, x, z, label: the label is the least voxel number of the component (z, then y, then x).
 
     Each round a voxel takes the least label of its neighbours and then the label of the voxel that its label names, so the
-    number of rounds is about the logarithm of the longest path. Lineage is cut by checkpoint().
+    number of rounds is about the logarithm of the longest path. Lineage is cut by tables in the shared folder.
     """
-    spark = points.sparkSession
-    shared.folder(spark)
     number = lambda y, x, z: z.cast("long") * (1 << 40) + y.cast("long") * (1 << 20) + x.cast("long")
-    at = points.select(*VOXEL).distinct().withColumn("id", number(F.col("y"), F.col("x"), F.col("z"))).withColumn("label", F.col("id")).checkpoint()
+    at = shared.saved(points.select(*VOXEL).distinct().withColumn("id", number(F.col("y"), F.col("x"), F.col("z"))).withColumn("label", F.col("id")), "voxels")
     near = F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(c).alias("dz")) for a, b, c in [(0, 0, 0), *moves]))
     while True:
         sent = at.withColumn("m", F.explode(near)).select("sample", number(F.col("y") + F.col("m.dy"), F.col("x") + F.col("m.dx"), F.col("z") + F.col("m.dz")).alias("id"), F.col("label").alias("offer")).groupBy("sample", "id").agg(F.min("offer").alias("offer"))
         took = at.join(sent, ["sample", "id"]).select(*VOXEL, "id", F.least("label", "offer").alias("new"), F.col("label").alias("old"))
         beyond = took.select("sample", F.col("id").alias("new"), F.col("new").alias("far"))
-        took = took.join(beyond, ["sample", "new"]).select(*VOXEL, "id", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("old")).alias("moved")).checkpoint()
-        # A checkpoint keeps the size that the plan expected, a product that joins raise to a power each round; its digits would fill the driver.
-        at = DataFrame(spark._jsparkSession.createDataFrame(took.drop("moved")._jdf.toJavaRDD(), took.drop("moved")._jdf.schema()), spark)
+        took = took.join(beyond, ["sample", "new"]).select(*VOXEL, "id", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("old")).alias("moved"))
+        took = shared.saved(took, "labels")
+        at = took.drop("moved")
         if took.where("moved").isEmpty():
             return at.drop("id")
 

@@ -6,6 +6,7 @@ Small solves (d by d) run beside each other, one row a fold, in a pandas functio
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonegrain.functions.columns import lcg
+from zonegrain.operators import order
 
 # --- joins ------------------------------------------------------------------------------------------------------------
 
@@ -303,11 +305,22 @@ def coefficient_means(models: DataFrame) -> DataFrame:
 
 
 def group_folds(rows: DataFrame, k: int, key: str = "group_id") -> DataFrame:
-    """group, fold: groups in order of size, dealt to the folds back and forth. Sizes are counted first; only groups are ordered."""
+    """group, n, fold: groups from the largest down (of equal ones the lowest first), each to the fold with the fewest rows so far (of equal ones the first).
+
+    Rows are counted by group first; the choice is one after the other by nature, over one number a group.
+    """
     sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
-    r = F.row_number().over(Window.orderBy(F.desc("n"), key)) - 1
-    turn, at = F.floor(r / k), F.pmod(r, F.lit(k))
-    return sizes.select(key, "n", F.when(turn % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", key], ascending=[False, True], kind="stable")
+        load, fold = [(0, i) for i in range(k)], []
+        for n in pdf["n"].tolist():
+            have, i = heapq.heappop(load)
+            fold.append(i)
+            heapq.heappush(load, (have + n, i))
+        return pdf.assign(fold=fold)[[key, "n", "fold"]]
+
+    return sizes.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(deal, f"{key} {dict(rows.dtypes)[key]}, n long, fold int")
 
 
 def knn(rows: DataFrame, k: int = 5) -> DataFrame:
@@ -349,8 +362,7 @@ def knn(rows: DataFrame, k: int = 5) -> DataFrame:
 def bootstrap_auc(t: DataFrame, label: str, score: str, key: str, replicates: int, seed: int = 42) -> DataFrame:
     """replicate, auc: stratified resamples. Row i of a stratum's n draws picks a row by plain modular arithmetic on (replicate, i), so any partitioning gives the same."""
     size = t.groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(label).orderBy(key)
-    numbered = t.select(F.col(label).alias("y"), F.col(score).alias("score"), (F.row_number().over(order) - 1).alias("i"))
+    numbered = order.numbered(t.select(F.col(label).alias("y"), F.col(score).alias("score"), F.col(key).alias("__key")), ["y"], ["__key"], "i").drop("__key")
     draws = size.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.expr("sequence(0, n - 1)")))
     picks = draws.select("rep", "y", F.pmod(lcg(F.col("rep") * 1000003 + F.col("j") * 7919 + F.col("y") * 104729 + seed), F.col("n")).alias("i"))
     got = picks.groupBy("rep", "y", "i").agg(F.count("*").alias("c")).join(numbered, ["y", "i"])
@@ -382,8 +394,7 @@ def best_set(errors: DataFrame, by: list[str]) -> DataFrame:
 def bootstrap_curves(t: DataFrame, label: str, score: str, key: str, replicates: int, seed: int = 42) -> DataFrame:
     """replicate, fpr, tpr: the ROC curve of each stratified resample (the draws of bootstrap_auc)."""
     size = t.groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(label).orderBy(key)
-    numbered = t.select(F.col(label).alias("y"), F.col(score).alias("score"), (F.row_number().over(order) - 1).alias("i"))
+    numbered = order.numbered(t.select(F.col(label).alias("y"), F.col(score).alias("score"), F.col(key).alias("__key")), ["y"], ["__key"], "i").drop("__key")
     draws = size.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.expr("sequence(0, n - 1)")))
     picks = draws.select("rep", "y", F.pmod(lcg(F.col("rep") * 1000003 + F.col("j") * 7919 + F.col("y") * 104729 + seed), F.col("n")).alias("i"))
     c = picks.join(numbered, ["y", "i"]).groupBy("rep", "score").agg(F.sum(F.col("y").cast("long")).alias("p"), F.sum((1 - F.col("y")).cast("long")).alias("q"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from zonegrain.functions.columns import tidy
-from zonegrain.operators import learn, orient, regions, resample, segment, selection, spectral, study, volume
+from zonegrain.operators import learn, margin, orient, regions, resample, segment, selection, spectral, study, volume
 from zonegrain.plans import image_queries, jobs, volume_queries
 from zonegrain.sources import shared
 from zonegrain.plans import views as T
@@ -50,6 +50,7 @@ def _score(s, d):
 _add("score_model", _score, sql("FE", ", X AS (SELECT sample, CASE WHEN sample % 2 = 0 THEN 'surf' ELSE 'deep' END AS zone, max(val) FILTER (bin = 0) AS a, max(val) FILTER (bin = 1) AS b FROM FE GROUP BY sample), Z AS (SELECT sample, zone, (a - avg(a) OVER w) / stddev_samp(a) OVER w AS p, (b - avg(b) OVER w) / stddev_samp(b) OVER w AS q FROM X WINDOW w AS (PARTITION BY zone)) SELECT sample, zone, round(0.5 * p - 0.25 * q + 1.5, 6) + 0.0 AS pred_lin, round(1 / (1 + exp(-(p + 2 * q + 0.1))), 6) + 0.0 AS pred_log, (p + 2 * q + 0.1 > 0.5)::INT AS label FROM Z"))
 _add("logistic_logo", lambda s, d: _tidy(learn.logistic_logo(_fe3(s, d), 3).select("row_id", "y", "probability"), "probability", digits=5))
 _add("lda_logo", lambda s, d: learn.lda(_fe3(s, d), 3, [0, 1]).select("row_id", "y", "label"))
+_add("svm_logo", lambda s, d: margin.svm_logo(_fe3(s, d), 3, [0, 1]).select("row_id", "y", "label"))
 _add("linear_explain", lambda s, d: _tidy(learn.explained(_ONE(s, d), 1).drop("bin"), "value", digits=3), sql("L", _FOLD + " SELECT row_id, round(c / (2 * g) * (x0 - mx), 3) + 0.0 AS value FROM L JOIN C USING (group_id)"))
 ALPHAS = {0: 0.0, 1: 0.5, 2: 2.0}
 _add("param_search", lambda s, d: _tidy(study.best_set(selection.alpha_errors(_ONE(s, d), 1, ALPHAS), ["group_id"]).withColumn("error", F.col("error") / 1e6), "error", digits=4), sql("L", _FOLD + ", P AS (SELECT i AS par_id, a FROM (VALUES (0, 0.0), (1, 0.5), (2, 2.0)) t(i, a)), E AS (SELECT par_id, group_id, avg((y - (my + c / ((1 + a) * g) * (x0 - mx))) ** 2) AS error FROM L JOIN C USING (group_id), P GROUP BY ALL) SELECT group_id, first(par_id ORDER BY error, par_id) AS par_id, round(min(error) / 1e6, 4) + 0.0 AS error FROM E GROUP BY group_id"))

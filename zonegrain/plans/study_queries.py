@@ -63,7 +63,7 @@ _add("lasso_logo", lambda s, d: _tidy(S.fold_models(_ONE(s, d), 1, 20.0, lasso=T
 _add("ridge_loo", lambda s, d: _tidy(S.predict(_fe(s, d), S.fold_models(_fe(s, d), 1, 0.5, False), 1).select("row_id", "prediction"), "prediction"), sql("FE G", ", L AS (SELECT sample AS row_id, sample AS group_id, val AS x0, grade::DOUBLE AS y FROM FE JOIN G USING (sample) WHERE bin = 3)" + _FOLD + " SELECT row_id, round(my + c / (g + 0.5) * (x0 - mx), 6) + 0.0 AS prediction FROM L JOIN C USING (group_id)"))
 _add("ridge_logo_three", lambda s, d: _tidy(S.fold_models(_rows(s, d), 3).select("group_id", *(F.get("w", F.lit(i)).alias(f"w{i}") for i in range(4))), "w0", "w1", "w2", "w3", digits=3))
 _add("fold_coef_mean", lambda s, d: _tidy(S.coefficient_means(S.fold_models(_ONE(s, d), 1, 0.0)), "coef", digits=3), sql("L", _FOLD + " SELECT 0 AS bin, round(avg(c / g), 3) + 0.0 AS coef FROM C UNION ALL SELECT 1, round(avg(my - c / g * mx), 3) + 0.0 FROM C"))
-_add("fold_assign", lambda s, d: S.group_folds(_rows(s, d), 5), sql("L", ", K AS (SELECT group_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, group_id) - 1 AS r FROM L GROUP BY group_id) SELECT group_id, n, (CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END)::INT AS fold FROM K"))
+_add("fold_assign", lambda s, d: S.group_folds(_rows(s, d), 5), sql("L", ", K AS MATERIALIZED (SELECT group_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, group_id) AS r FROM L GROUP BY group_id), D(r, loads, fold) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], 0 UNION ALL SELECT D.r + 1, list_transform(D.loads, lambda x, i: x + CASE WHEN i = list_position(D.loads, list_min(D.loads)) THEN K.n ELSE 0 END), list_position(D.loads, list_min(D.loads)) - 1 FROM D JOIN K ON K.r = D.r + 1) SELECT group_id, n, fold::INT AS fold FROM K JOIN D USING (r)", True))
 
 
 def _fe(s, d):
