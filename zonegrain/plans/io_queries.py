@@ -105,3 +105,27 @@ def feature_model(s, d):
 
 
 _add("feature_model", feature_model)
+
+
+# --- sheets by title, parameter sheets, boxes of slices, previews, names of slices ---
+def parameter_sheet(s, d):
+    """Grades written as a sheet with a header line and a text cell, and read by the rule for parameter sheets."""
+    at = shared.scratch(s, "sheets")
+    rows = T.grades(s, d).orderBy("sample").select(F.concat_ws(",", "sample", F.when(F.col("grade") == 3, "none").otherwise(F.col("grade").cast("string"))).alias("value"), F.col("sample").alias("o"))
+    head = s.createDataFrame([("sample,grade", -1)], "value string, o long")
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("o").select("value").write.text(at)
+    return files.matrix(s, at)
+
+
+def sheet_titles(s, d):
+    at = shared.scratch(s, "sheets")
+    T.grades(s, d).select(F.concat(F.lit("s"), "sample").alias("ID"), "group_id", "grade").write.csv(at, header=True)
+    return files.titled(s, at, ["grade"])
+
+
+_add("parameter_sheet", parameter_sheet, sql("G", ", N AS (SELECT row_number() OVER (ORDER BY sample) - 1 AS row, sample, CASE WHEN grade = 3 THEN 0 ELSE grade END AS grade FROM G) SELECT row, 0 AS col, sample::DOUBLE AS val FROM N UNION ALL SELECT row, 1, grade::DOUBLE FROM N"))
+_add("sheet_titles", sheet_titles, sql("G", " SELECT 's' || sample AS name, 'grade' AS title, grade::DOUBLE AS val FROM G"))
+_BOXES = lambda s, d: T.voxels(s, d).where("val > 200").groupBy("sample", "z").agg(*(f(c).alias(f"{c}{i}") for c in "xy" for i, f in ((1, F.min), (2, F.max))))
+_add("boxed_scan", lambda s, d: files.boxed(T.voxels(s, d), _BOXES(s, d), True), sql("V", ", B AS (SELECT sample, z, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM V WHERE val > 200 GROUP BY ALL) SELECT sample, y - y1 AS y, x - x1 AS x, z, val FROM V JOIN B USING (sample, z) WHERE (x2 > 0 OR y2 > 0) AND x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2"))
+_add("previews", lambda s, d: files.previews(T.images(s, d).select(F.lit("surf").alias("zone"), F.col("image").alias("sample"), "y", "x", "val")), sql("I", ", E AS (SELECT image, min(val) AS lo, max(val) AS hi FROM I GROUP BY image) SELECT 'surf' AS zone, image AS sample, y, x, CASE WHEN hi > lo THEN floor((val - lo)::DOUBLE / (hi - lo) * 255 + 1e-9)::INT ELSE 0 END AS val FROM I JOIN E USING (image)"))
+_add("slice_names", lambda s, d: files.named_slices(T.voxels(s, d).withColumn("val", F.col("val") > 128), "part_").select("sample", "z", "height", "width", "name", F.md5("data").alias("md5")), sql("V", " SELECT sample, z, 8 AS height, 8 AS width, 'part_' || lpad(z::VARCHAR, 8, '0') || '.png' AS name, md5(unhex(string_agg(CASE WHEN val > 128 THEN 'FF' ELSE '00' END, '' ORDER BY y, x))) AS md5 FROM V GROUP BY sample, z"))

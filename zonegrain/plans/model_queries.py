@@ -61,16 +61,17 @@ _CC = ", P AS (SELECT sample, y, x, z, z::BIGINT * 1099511627776 + y * 1048576 +
 _add("largest_component", lambda s, d: segment.largest_component(T.voxels(s, d).where("val > 175")), sql("V", _CC.format("val > 175") + ", Z AS (SELECT sample, label, count(*) AS n FROM C GROUP BY ALL), T AS (SELECT sample, first(label ORDER BY n DESC, label) AS label FROM Z GROUP BY sample) SELECT C.sample, P.y, P.x, P.z FROM C JOIN T ON C.sample = T.sample AND C.label = T.label JOIN P ON P.sample = C.sample AND P.id = C.node", True))
 _add("components", lambda s, d: segment.components(T.voxels(s, d).where("val > 175")).groupBy("sample", "label").agg(F.count("*").alias("voxels")), sql("V", _CC.format("val > 175") + " SELECT sample, label, count(*) AS voxels FROM C GROUP BY sample, label", True))
 _add("components_whole", lambda s, d: segment.components(T.voxels(s, d).where("val > 175")).groupBy("sample").agg(F.countDistinct("label").alias("components"), F.count("*").alias("voxels")), sql("V", _CC.format("val > 175") + " SELECT sample, count(DISTINCT label) AS components, count(*) AS voxels FROM C GROUP BY sample", True))
-_add("slice_bounding_boxes", lambda s, d: segment.bounding_boxes(T.voxels(s, d).where("val > 140"), 3))
+_add("slice_bounding_boxes", lambda s, d: segment.bounding_boxes(T.voxels(s, d).where("val > 140"), 3), sql("V", ", P AS (SELECT sample, y, x, z, z::BIGINT * 1099511627776 + y * 1048576 + x AS id FROM V WHERE val > 140), N AS (SELECT a.sample, a.id AS a, b.id AS b FROM P a JOIN P b ON a.sample = b.sample AND a.z = b.z AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.id <> b.id), R AS (SELECT sample, id AS root, id AS node FROM P UNION SELECT R.sample, R.root, N.b FROM R JOIN N ON N.sample = R.sample AND N.a = R.node), C AS (SELECT sample, node, min(root) AS label FROM R GROUP BY ALL), B AS (SELECT P.sample, z, label, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, count(*) AS area FROM C JOIN P ON P.sample = C.sample AND P.id = C.node GROUP BY ALL), T AS (SELECT sample, z, first({'x1': x1, 'x2': x2, 'y1': y1, 'y2': y2, 'area': area} ORDER BY (x2 - x1 + 1) * (y2 - y1 + 1) DESC, label) AS b FROM B GROUP BY sample, z) SELECT sample, z, CASE WHEN b.area > 3 THEN b.x1 ELSE 0 END AS x1, CASE WHEN b.area > 3 THEN b.x2 ELSE 0 END AS x2, CASE WHEN b.area > 3 THEN b.y1 ELSE 0 END AS y1, CASE WHEN b.area > 3 THEN b.y2 ELSE 0 END AS y2 FROM T", True))
 _add("kmeans_segment", lambda s, d: segment.kmeans(T.images(s, d)).groupBy("image", "cluster").agg(F.count("*").alias("n")))
 
 
 def smooth(tiles: np.ndarray) -> np.ndarray:
     """A stand-in for a user's model: the sigmoid of each pixel against the mean of its tile."""
+    tiles = tiles.astype(float)
     return 1 / (1 + np.exp(-(tiles - tiles.mean((1, 2), keepdims=True)) / 32))
 
 
-_add("score_tiles", lambda s, d: _tidy(segment.score_tiles(T.big_image(s, d), smooth, 16), "p", digits=4))
+_add("score_tiles", lambda s, d: _tidy(segment.score_tiles(T.big_image(s, d), smooth, 16), "p", digits=4), sql("B", ", T AS (SELECT *, ty * 8 AS y0, tx * 8 AS x0 FROM (SELECT DISTINCT greatest(y // 8 - 1, 0) AS ty FROM B UNION SELECT DISTINCT y // 8 FROM B) a, (SELECT DISTINCT greatest(x // 8 - 1, 0) AS tx FROM B UNION SELECT DISTINCT x // 8 FROM B) b), M AS (SELECT ty, tx, sum(val) / 256.0::DOUBLE AS m FROM B JOIN T ON y BETWEEN y0 AND y0 + 15 AND x BETWEEN x0 AND x0 + 15 GROUP BY ALL) SELECT image, y, x, round(avg(1 / (1 + exp(-(val - m) / 32.0::DOUBLE))), 4) + 0.0 AS p FROM B JOIN T ON y BETWEEN y0 AND y0 + 15 AND x BETWEEN x0 AND x0 + 15 JOIN M USING (ty, tx) GROUP BY image, y, x"))
 _A = lambda i: _LCG(f"image * 7919 + {42 + i}")
 _add("augment", lambda s, d: segment.augment(T.images(s, d), 8), sql("I", f" SELECT image, y, (CASE WHEN {_A(0)} % 2 = 0 THEN 7 - x ELSE x END)::INT AS x, floor(255 * pow(val / 255.0::DOUBLE, CASE WHEN {_A(1)} % 2 = 0 THEN 0.5 + ({_A(2)} % 1000) * 0.0015::DOUBLE ELSE 1.0 END) + 1e-9)::INT AS val FROM I"))
 _add("sampled_pixels", lambda s, d: segment.sampled_pixels(T.images(s, d), 10), sql("I", f", R AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY {_LCG('y::BIGINT * 65537 + x * 257')}, y, x) AS r FROM I) SELECT image, y, x, val FROM R WHERE r <= 10"))

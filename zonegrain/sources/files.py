@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonegrain.operators import order
+
 PARAMETERS = "zone string, ks1 int, ks2 int, sigma1 int, sigma2 int, N int, large int, small int, wc int, wl int, ws int"
 RESULTS = "sample string, grade double"
 
@@ -15,8 +17,17 @@ def stack(spark: SparkSession, root: str) -> DataFrame:
     """sample, z, height, width, data: 8-bit gray slices below root/<sample>/, whose names end in three digits, in order of name."""
     read = spark.read.format("image").option("recursiveFileLookup", "true").load(root).select("image.*")
     named = read.where(F.lower("origin").rlike("[0-9]{3}[.](png|bmp|tif)$") & (F.col("nChannels") == 1)).withColumn("sample", F.element_at(F.split("origin", "/"), -2))
-    z = F.row_number().over(Window.partitionBy("sample").orderBy("origin")) - 1
-    return named.select("sample", z.alias("z"), "height", "width", "data")
+    # Names are numbered by themselves: no slice goes through that shuffle.
+    z = order.numbered(named.select("sample", "origin"), ["sample"], ["origin"], "z").select("origin", F.col("z").cast("int").alias("z"))
+    return named.join(z, "origin").select("sample", "z", "height", "width", "data")
+
+
+def boxed(v: DataFrame, boxes: DataFrame, rebase: bool = False) -> DataFrame:
+    """Voxels (sample, y, x, z, val) inside the box of their slice (sample, z, x1, x2, y1, y2: ends included); a box of zeros has none. rebase: places count from the box's corner."""
+    some = boxes.where("x2 > 0 or y2 > 0").select("sample", "z", "x1", "x2", "y1", "y2")
+    t = v.join(some, ["sample", "z"]).where("x between x1 and x2 and y between y1 and y2")
+    y, x = (F.col("y") - F.col("y1"), F.col("x") - F.col("x1")) if rebase else (F.col("y"), F.col("x"))
+    return t.select("sample", y.cast("int").alias("y"), x.cast("int").alias("x"), "z", "val")
 
 
 def voxels(slices: DataFrame) -> DataFrame:
@@ -31,6 +42,20 @@ def slices(v: DataFrame, size: int = 256) -> DataFrame:
     return rows.select("sample", "z", "height", "width", F.unhex("h").alias("data"))
 
 
+def named_slices(v: DataFrame, prefix: str = "") -> DataFrame:
+    """slices() with their file names: the prefix, the number in eight digits, .png. Boolean values are 0 and 255."""
+    if dict(v.dtypes)["val"] == "boolean":
+        v = v.withColumn("val", F.when(F.col("val"), 255).otherwise(0))
+    return slices(v).withColumn("name", F.concat(F.lit(prefix), F.lpad(F.col("z").cast("string"), 8, "0"), F.lit(".png")))
+
+
+def previews(zones: DataFrame) -> DataFrame:
+    """Zone images (zone, sample, y, x, val) as bytes: each image from its least to its largest value, 0 to 255; an even image is 0."""
+    ends = zones.groupBy("zone", "sample").agg(F.min("val").alias("lo"), F.max("val").alias("hi"))
+    scaled = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("val") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255 + 1e-9)).otherwise(0)
+    return zones.join(ends, ["zone", "sample"]).select("zone", "sample", "y", "x", scaled.cast("int").alias("val"))
+
+
 def write_slices(rows: DataFrame, path: str) -> None:
     rows.repartition("sample", "z").write.mode("overwrite").partitionBy("sample").parquet(path)
 
@@ -78,6 +103,28 @@ def sheet(spark: SparkSession, path: str) -> DataFrame:
     return wide.unpivot(["bin"], [c for c in wide.columns if c != "bin"], "sample", "val").select("sample", F.col("bin").cast("int").alias("bin"), F.col("val").cast("double").alias("val"))
 
 
+def titled(spark: SparkSession, path: str, titles: list[str]) -> DataFrame:
+    """name, title, val of a sheet's chosen columns; names are its first column."""
+    wide = spark.read.csv(path, header=True)
+    lost = [t for t in titles if t not in wide.columns]
+    if lost:
+        raise ValueError(f"the sheet lacks {', '.join(lost)}")
+    name = wide.columns[0]
+    return wide.select(F.col(name).alias("__name"), *titles).unpivot(["__name"], titles, "title", "val").select(F.col("__name").alias("name"), "title", F.col("val").cast("double").alias("val"))
+
+
+def matrix(spark: SparkSession, path: str) -> DataFrame:
+    """row, col, val of a sheet of numbers, with commas or (where a line has none) semicolons between them.
+
+    If any cell is text the first line is a header and left out; other text cells count as 0.
+    """
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    cells = F.when(F.contains("value", F.lit(",")), F.split("value", ",")).otherwise(F.split("value", ";"))
+    t = order.numbered(lines.select("at", F.posexplode(cells).alias("col", "cell")), ["col"], ["at"], "row").withColumn("val", F.expr("try_cast(trim(cell) as double)"))
+    header = t.agg(F.coalesce(F.max(F.col("val").isNull().cast("long")), F.lit(0)).alias("header"))
+    return t.join(F.broadcast(header)).where("row >= header").select((F.col("row") - F.col("header")).alias("row"), F.col("col").cast("long").alias("col"), F.coalesce("val", F.lit(0.0)).alias("val"))
+
+
 def write_sheet(features: DataFrame, path: str) -> None:
     wide = features.groupBy("bin").pivot("sample").agg(F.first("val")).orderBy("bin")
     wide.write.mode("overwrite").csv(path, header=True)
