@@ -57,6 +57,15 @@ def test_runs(spark, block):
         assert got[i].collapsed == collapsed(text.split(), want)
 
 
+def test_runs_of_short_documents(spark):
+    """Documents of a few words alone, where hardly an octave is tried."""
+    texts = ["a a a a a a", "a a a a a a a", "b", "", "a b a b a b a b", "a a a a a b", "x " * 7 + "y"]
+    for some in ([t] for t in texts), [texts]:
+        for part in some:
+            got = {r.doc_id: r for r in runs.periodic(spark.createDataFrame(list(enumerate(part)), "doc_id long, text string").coalesce(1)).collect()}
+            assert all([tuple(x) for x in got[i].runs] == brute(t.split()) for i, t in enumerate(part))
+
+
 def test_z_function():
     for words in documents(3, 50):
         z = runs.z_function(words, len(words))

@@ -100,7 +100,7 @@ def solve(words: np.ndarray, octaves: tuple[int, int], first: int, last: int) ->
 
     octaves: the first, and the one after the last. A number below 0 must be there only once; it ends a document.
     """
-    pad = 3 << octaves[1]
+    pad = (3 << octaves[1]) + NEAR  # no comparison reaches beyond it
     w = np.concatenate([np.arange(pad) + (np.iinfo(np.int32).min + 1), words, np.arange(pad) + (np.iinfo(np.int32).min + pad + 1)]).astype(np.int32)
     found: list[tuple[int, int, int]] = []
     for k in range(*octaves):
