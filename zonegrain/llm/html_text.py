@@ -6,8 +6,8 @@ hashed words and a few shapes for each block, and says for every block, with the
 
 There are no labels of blocks, so the network learns from a bounded sample of the pages, by their structure: of a page with
 <article> or <main>, the blocks under it; of any other page, those under the element that has most unlinked text of its own.
-Elements that are never text (nav, aside, form, footer, ...) are left out in either case; names of classes aren't asked. Variants
-of those pages teach what the sample lacks, with labels known because they are made: other containers, menus, headers,
+Elements that are never text (nav, aside, form, footer, ...) are left out in either case, and those whose class or id is, as a
+whole, one that furniture is made with below; parts of names aren't asked. Variants of those pages teach what the sample lacks, with labels known because they are made: other containers, menus, headers,
 notices, adverts, forms and comments before, after and inside the article, and parts of the article under made-up class names.
 
 Elements are a tree of shared nodes; a node knows a bounded number of features of its path, so that deep pages cost what long ones cost.
@@ -48,6 +48,8 @@ LEAF = frozenset("p li h1 h2 h3 h4 h5 h6 pre figcaption b i em strong span".spli
 # What variants are made of: names that pages give to the article's container and to what isn't article.
 CONTAINERS = ["article", "main", "div", "section", "td", 'div class="content"', 'div id="content"', 'div id="main"', 'div class="post"', 'div class="entry-content"', 'div class="article-body"', 'section class="story"', 'div class="main-text"', 'div id="page"', 'div class="text"', 'div itemprop="articleBody"']
 FURNITURE = ["nav", "header", "footer", "aside", "form", 'div class="ad"', 'div class="advert"', 'div class="ads banner"', 'div class="sponsored promo"', 'div class="sidebar"', 'div id="sidebar"', 'div class="menu"', 'ul class="nav"', 'div class="cookie-notice"', 'div class="notice"', 'div class="alert"', 'div class="consent-banner"', 'div class="comments"', 'section class="comments"', 'section id="comments"', 'div id="comments"', 'div class="comment"', 'ol class="comment-list"', 'ul class="comments"', 'div class="header"', 'div id="header"', 'header class="site-header"', 'div id="footer"', 'div class="share social"', 'div class="newsletter subscribe"', 'div class="related"', 'div class="breadcrumb"', 'div class="popup modal"', 'div class="widget"', 'aside class="sidebar"', 'div class="login search"', 'section class="replies discussion"', 'section class="responses"', 'div class="reader-comments"', 'div class="navigation"', 'div class="pagination"', 'div class="advertisement"', 'div class="cookie"', 'div class="topbar"']
+#: Class and id names, as a whole, of what isn't article.
+NAMED_FURNITURE = frozenset("." + "-".join(x for x in re.split("[^a-z]+", w) if x) for f in FURNITURE if "header" not in f for m in re.finditer('"([^"]*)"', f) for w in m[1].split())
 #: Words that class names in the article are made of, together with those of its own names.
 NAMES = "text intro body lead part main block item results price work note story section first wide inner wrap row col box card share notice comment menu related search ad header footer form nav".split()
 LEAVES = [(), ("p",), ("p",), ("li",), ("ul", "li", "a"), ("div",), ("h1",), ("h2",), ("h3",), ("div", "p"), ("a",), ("span",), ("div", "div", "p"), ("b",), ("h1", "a")]
@@ -73,6 +75,8 @@ class Node:
         self.within = bool(parent and parent.within) or name in ("article", "main")
         # A header inside the article is part of it.
         self.text = (parent is None or parent.text) and name not in NOT_TEXT and not (name == "header" and not self.within)
+        if self.text and name not in ("html", "body", "article", "main"):
+            self.text = NAMED_FURNITURE.isdisjoint(self.own)
         self.linked = bool(parent and parent.linked) or name == "a"
 
 
@@ -253,9 +257,9 @@ def variants(page: list[Block], n: int, rng: np.random.Generator) -> Iterator[tu
             out[k:k] = [(Block(saying(), Node(pick(["h1", "h2", "p"]), "", inner), 0), 1) for _ in range(rng.integers(1, 4))]
             out = [(Block(" ".join(b.text.split()[: rng.integers(3, 20)]) or b.text, b.node, b.linked), y) if y and rng.random() < 0.5 else (b, y) for b, y in out]
             if rng.random() < 0.5:
-                kept = [i for i, x in enumerate(out) if x[1]][: int(rng.integers(2, 8))]
+                kept = [i for i, x in enumerate(out) if x[1]][: int(rng.integers(1, 8))]
                 out = [x for i, x in enumerate(out) if not x[1] or i in kept]
-        for _ in range(int(rng.integers(2, 8))):
+        for _ in range(0 if outside and rng.random() < 0.3 else int(rng.integers(2, 8))):
             ones = [i for i, x in enumerate(out) if x[1]]
             first, last = (ones[0], ones[-1] + 1) if ones else (0, len(out))
             where = rng.random()
@@ -306,7 +310,7 @@ def inputs(pages: list[list[Block]]) -> Inputs:
     within = np.array([b.node.within for b in flat], float)
     ends = np.array([b.text[-1] in ".!?\"'" for b in flat], float)
     text = np.array([b.node.text for b in flat], float)
-    shape = np.column_stack([np.log1p(chars) / 8, np.log1p(w.counts) / 6, np.array([b.linked for b in flat], float) / np.maximum(chars, 1), place, ends, within - 0.5, has * (1 - within), 2 * text - 1, np.ones(len(flat))]) if flat else np.zeros((0, SHAPES))
+    shape = np.column_stack([np.minimum(np.log1p(chars) / 8, 1), np.minimum(np.log1p(w.counts) / 6, 1), np.array([b.linked for b in flat], float) / np.maximum(chars, 1), place, ends, within - 0.5, has * (1 - within), 2 * text - 1, np.ones(len(flat))]) if flat else np.zeros((0, SHAPES))
     return Inputs(np.concatenate([np.zeros(0, np.int32), *codes]), np.array([len(c) for c in codes], int), (w.hashes % np.uint64(BUCKETS - 1)).astype(np.int32) + 1, w.counts, shape.astype(np.float32), sizes)
 
 
