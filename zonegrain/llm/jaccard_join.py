@@ -3,19 +3,14 @@
 Documents are sets of word shingles. Tokens (shingle hashes) are ordered by class: those of one set only, those of a few
 sets (rare), those of many (frequent). Two sets that link share the first k tokens they have in common within prefixes of
 n - ceil(t n) + k tokens. So they share a rare token of the prefix for k = 1, or else every common token is frequent and
-they share two tokens of the prefix for k = 2: rare tokens are indexed one by one, frequent ones in pairs. A long set would
-have too many pairs: its tokens are dealt to blocks by hash, the same for all sets of about that size. The tokens that two
-linked sets don't share are few, so that in more than half of a set's blocks few are missing; in some block that holds for both,
-and there they share a rare token or a pair of the block's short prefix. Pairs grow in proportion to the set.
-
-First, groups of near copies are found by a few minimum hashes: each set is verified against one member of a group, the one with the
-smallest share of tokens of its own, which most copies resemble most. Sets that link are a component. Frequent tokens of one
-component alone can't link it with another one: they leave the sets before the index is made, and hot groups with them. An
-index entry says how many tokens a set can still have in common; with that and the sizes most pairs of a group fall out,
+they share two tokens of the prefix for k = 2: rare tokens are indexed one by one, frequent ones in pairs. A long set has
+too many pairs; it is indexed by the frequent tokens of its prefix for k = 1, and sets near the limit in both ways. An entry
+says how many tokens a set can still have in common from there on; with that and the sizes most pairs of a group fall out,
 and a group without a member that can be the smaller one of a pair falls out whole. Equal sets are one entry.
 
 A group of the index isn't expanded into pairs. In a round each set is verified against one leader of one of its groups, and
-what links is joined into components; a group within one component is settled. When leaders find next to nothing new, the
+what links is joined into components; a group within one component is settled. The first leader of a group is the set with the
+smallest share of tokens of its own: a text that many edited copies resemble more than each other. When leaders find next to nothing new, the
 groups that are left are gone through: leaders of their rarest components meet all other members and leave the group, more leaders
 each time, until no group has two components. Jaccard distances obey the triangle inequality, so two sets whose
 distances from one leader differ by more than a link's are not compared.
@@ -37,12 +32,8 @@ from zonegrain.llm import common
 SHINGLE, NUMERATOR = 5, 75
 #: Sets that a rare token is in at most.
 RARE = 64
-#: Tokens of a block of a set of four times as many or more, about.
-BLOCK = 16
-#: Minimum hashes of a set, and rounds of leaders of their groups.
-MINIMA, EARLY = 4, 2
-#: Frequent tokens of one component alone that are sent to the tasks at most (8 bytes each); with more, none are: the result is the same.
-LOCAL = 2_000_000
+#: Shingles of a set that is indexed by pairs of frequent tokens at most; beyond it by single ones.
+PAIRED = 64
 #: Links that a round must find for each set that met a leader, for another round with one leader a set; and the leaders of a group in the rounds after that, as powers.
 WORTH, GROWTH = 0.4, 4
 #: Sets that share a 64-bit signature with another one and are told by a second one: at most (among 10^11 sets 300 are expected).
@@ -254,65 +245,29 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KEYS = "key long, sid long, n int, rest int, small boolean, alone float"
 
 
-def _level(n: int, block: int) -> int:
-    """The power of two of the blocks that a set of n tokens is dealt to."""
-    return 0 if n < 4 * block else (n // block).bit_length() - 1
-
-
-def entries(n: int, n_rare: int, t: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, and tokens from each on, of a set of n tokens, of which t (rare ones first, each class in order) are in other sets too."""
-    missing = len(t) + (-NUMERATOR * n // 100)  # tokens of t that a linked set can lack
-    if missing < 0 or not len(t):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    t = t.view(np.uint64)
-    keys, rests = [], []
-    # A pair meets in the blocks of its larger set.
-    for level in range(_level(n, block), _level(100 * n // NUMERATOR, block) + 1):
-        if level == 1:
-            continue
-        if not level:
-            f = t[n_rare : max(n_rare, min(len(t), missing + 2))]
+def _index(paired: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rare tokens of the prefix one by one, frequent ones in pairs up to `paired` shingles; one by one for sets that can link with a larger set than that."""
+
+    def entries(n: int, n_rare: int, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left = n + (-NUMERATOR * n // 100) + 1 - (n - len(t))  # what the tokens of this set alone leave of the prefix
+        if left <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        single = n * 100 > paired * NUMERATOR
+        keys = t[: left if single else min(n_rare, left)].view(np.uint64)
+        rest = len(t) - np.arange(len(keys))
+        f = t[n_rare : max(n_rare, min(len(t), left + 1))].view(np.uint64)
+        if n <= paired and len(f) > 1:
             i, j = np.triu_indices(len(f), 1)
-            keys += [t[: min(n_rare, missing + 1)], _paired(f[i], f[j])]
-            rests += [len(t) - np.arange(len(keys[-2])), len(t) - n_rare - j + 1]
-            continue
-        of = (common.mixed(t) >> np.uint64(64 - level)).astype(np.int64)
-        order = np.argsort(of, kind="stable")
-        sizes = np.bincount(of, minlength=1 << level)
-        # Blocks that lack more than c tokens, or have too few, are less than half for the least such c; if there is none, all tokens count.
-        c = np.arange(int(sizes.max()) + 1)
-        fine = missing // (c + 1) + np.searchsorted(np.sort(sizes), c + 2, "left") <= ((1 << level) - 1) // 2
-        c = int(fine.argmax()) if fine.any() else len(t)
-        place = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        rare = order < n_rare
-        keys.append(t[order[rare & (place <= c)]])
-        f = order[~rare & (place <= c + 1)]
-        cuts = np.flatnonzero(np.diff(of[f])) + 1
-        for some in np.split(f, cuts):
-            if len(some) > 1:
-                i, j = np.triu_indices(len(some), 1)
-                keys.append(_paired(t[some[i]], t[some[j]]))
-    flat = np.concatenate([np.zeros(0, np.uint64), *keys])
-    if len(rests) == len(keys):
-        return flat, np.concatenate([np.zeros(0, np.int64), *rests])
-    flat = np.unique(flat)
-    return flat, np.full(len(flat), len(t))
-
-
-def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return common.mixed(a * _COEFF[60] + b) | np.uint64(1 << 48)
-
-
-def _each(work: Callable[[int, int, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of what work(n, n_rare, tokens) gives for each set: keys, and tokens from each on."""
+            keys = np.concatenate([keys, common.mixed(f[i] * _COEFF[60] + f[j]) | np.uint64(1 << 48)])
+            rest = np.concatenate([rest, len(t) - n_rare - j + 1])
+        return keys, rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
             for sid, n, n_rare, tokens in zip(batch.column("sid").to_pylist(), batch.column("n").to_pylist(), batch.column("n_rare").to_pylist(), batch.column("tokens"), strict=True):
-                t = tokens.values.to_numpy()
-                keys, rest = work(n, n_rare, t)
-                out.append((keys.view(np.int64), sid, n, rest, 1 - len(t) / n))
+                keys, rest = entries(n, n_rare, tokens.values.to_numpy())
+                out.append((keys.view(np.int64), sid, n, rest, 1 - len(tokens) / n))
                 size += len(keys)
                 if size > 500_000:
                     yield _key_rows(out)
@@ -322,31 +277,13 @@ def _each(work: Callable[[int, int, np.ndarray], tuple[np.ndarray, np.ndarray]])
     return run
 
 
-def _index(block: int, local: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Index entries of sets without their local tokens (sorted; all frequent)."""
-
-    def work(n: int, n_rare: int, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(local):
-            f = t[n_rare:]
-            at = np.minimum(np.searchsorted(local, f), len(local) - 1)
-            t = np.concatenate([t[:n_rare], f[local[at] != f]])
-        return entries(n, n_rare, t, block)
-
-    return _each(work)
-
-
-def _minima(n: int, n_rare: int, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Minimum hashes of the tokens that other sets have too."""
-    keys = np.array([common.mixed(t.view(np.uint64) ^ _COEFF[20 + j]).min() ^ np.uint64(j) for j in range(MINIMA if len(t) else 0)], np.uint64)
-    return keys, np.full(len(keys), len(t))
-
-
 def _key_rows(out: list) -> pa.RecordBatch:
     m = [len(x[0]) for x in out]
-    sid, n, alone = (np.repeat([x[i] for x in out], m) for i in (1, 2, 4))
+    sid, n = np.repeat([x[1] for x in out], m).astype(np.int64), np.repeat([x[2] for x in out], m).astype(np.int64)
+    alone = np.repeat([x[4] for x in out], m).astype(np.float32)
     keys, rest = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in out)]) for i in (0, 3))
-    small = rest * (100 + NUMERATOR) >= NUMERATOR * 2 * n.astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sid.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(rest.astype(np.int32)), pa.array(small), pa.array(alone.astype(np.float32))], names=["key", "sid", "n", "rest", "small", "alone"])
+    small = rest * (100 + NUMERATOR) >= NUMERATOR * 2 * n
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sid), pa.array(n.astype(np.int32)), pa.array(rest.astype(np.int32)), pa.array(small), pa.array(alone)], names=["key", "sid", "n", "rest", "small", "alone"])
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -397,21 +334,16 @@ def _settled(live: DataFrame, tasks: int | None = None) -> tuple[DataFrame, dict
     return common.counted(live.join(open_, "key"), "entries", _n_rows(), tasks=tasks)
 
 
-def linked(keys: DataFrame, sets: DataFrame, links: DataFrame | None = None, rounds: int | None = None) -> DataFrame | None:
-    """Verified links (a, b) that join the components of all sets that share a key (key, sid, n, rest, small, alone) and link; None for none.
-
-    links: those known before. rounds: of one leader a set and round, to end after; otherwise until no group has two components.
-    """
+def linked(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) of all sets that link with another one, from the index keys (key, sid, n, rest, small, alone)."""
     n, m = F.col("n").cast("long"), F.col("m").cast("long")
     far = 1 - NUMERATOR / 100 + 1e-9
     can = (m * 100 >= n * NUMERATOR) & (n * 100 >= m * NUMERATOR) & (F.least("rest", "lead_rest") * (100 + NUMERATOR) >= (n + m) * NUMERATOR) & (F.col("small") | F.col("lead_small")) & (F.col("root") != F.col("lead_root"))
     near = ~F.coalesce((F.col("pivot") == F.col("lead_pivot")) & (F.abs(F.col("away") - F.col("lead_away")) > far), F.lit(False))
-    start = keys if links is None else keys.join(components(links).withColumnRenamed("node", "sid"), "sid", "left")
-    root = F.col("sid") if links is None else F.coalesce("root", "sid")
-    live, left = _settled(start.withColumns({"root": root, "pivot": F.lit(None).cast("long"), "away": F.lit(None).cast("double")}))
-    tried = None
+    live, left = _settled(keys.withColumns({"root": F.col("sid"), "pivot": F.lit(None).cast("long"), "away": F.lit(None).cast("double")}))
+    tried = links = None
     leaders, k = 0, 0  # leaders of a group; 0 while each set meets one leader of all its groups
-    while left["rows"] and k != rounds:
+    while left["rows"]:
         tasks = _tasks(left["rows"])  # no table of a round but the pairs of many leaders has more rows than the entries
         # First the set that has least of its own: a text that many edited copies resemble. Then any.
         first = F.struct((F.col("alone") if k == 0 else F.lit(0.0).cast("float")).alias("alone"), F.xxhash64("sid", F.lit(k)).alias("h"))
@@ -439,23 +371,11 @@ def linked(keys: DataFrame, sets: DataFrame, links: DataFrame | None = None, rou
         if count["links"]:
             live = live.drop("root").join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         (live, left), k = _settled(live, tasks), k + 1
-        if rounds is None:
-            leaders = GROWTH * leaders if leaders else GROWTH * int(count["links"] <= WORTH * members["rows"])
-    return links
-
-
-def _local(sets: DataFrame, links: DataFrame | None) -> np.ndarray:
-    """Frequent tokens that the sets of one component alone have, sorted; none if they are more than LOCAL."""
-    if links is None:
-        return np.zeros(0, np.int64)
-    frequent = F.explode(F.slice("tokens", F.col("n_rare") + 1, F.size("tokens")))
-    rooted = sets.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").select(F.coalesce("root", "sid").alias("root"), frequent.alias("token"))
-    found = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo = hi").select("token").limit(LOCAL + 1).toArrow()
-    tokens = np.sort(found.column("token").to_numpy())
-    return tokens if len(tokens) <= LOCAL else np.zeros(0, np.int64)
+        leaders = GROWTH * leaders if leaders else GROWTH * int(count["links"] <= WORTH * members["rows"])
+    return components(links) if links is not None else keys.sparkSession.createDataFrame([], "node long, root long")
 
 
-def grouped(docs: DataFrame, size: int = SHINGLE, rare: int = RARE, block: int = BLOCK, bits: int = 64) -> DataFrame:
+def grouped(docs: DataFrame, size: int = SHINGLE, rare: int = RARE, paired: int = PAIRED, bits: int = 64) -> DataFrame:
     """doc_id, text_a, text_b, n_shingles, root for each row of docs: root is the same for all rows of a component, null for an empty set. bits: of the first signature of a set."""
     spark, text = docs.sparkSession, common.text_column(docs)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *common.text_keys(text))
@@ -472,20 +392,18 @@ def grouped(docs: DataFrame, size: int = SHINGLE, rare: int = RARE, block: int =
     by_token = plain.select("text").mapInArrow(_send(size, rare, parts, bits, clashes), _PACKED).repartitionById(parts, F.col("part"))
     by_set = by_token.mapInArrow(_classify(rare, parts), _PACKED).repartitionById(parts, F.col("part"))
     sets = common.saved(by_set.mapInArrow(_assemble, _SETS), "sets")
-    links = linked(sets.mapInArrow(_each(_minima), _KEYS), sets, rounds=EARLY)
-    links = linked(sets.mapInArrow(_index(block, _local(sets, links)), _KEYS), sets, links)
-    roots = components(links) if links is not None else spark.createDataFrame([], "node long, root long")
+    roots = linked(sets.mapInArrow(_index(paired), _KEYS), sets)
     return common.saved(table.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "text_a", "text_b", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "sid")).alias("root")), "rooted")
 
 
-def join(docs: DataFrame, size: int = SHINGLE, rare: int = RARE, block: int = BLOCK, bits: int = 64) -> DataFrame:
+def join(docs: DataFrame, size: int = SHINGLE, rare: int = RARE, paired: int = PAIRED, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text); component_id: the smallest doc_id reachable by links.
 
     A null text or one without words has an empty set and is its own component. Rows that repeat a text or a doc_id are
     equal sets and so linked. Texts of any length count whole; an empty table gives no row. Of docs only doc_id and text
     are read.
     """
-    rooted = grouped(docs, size, rare, block, bits)
+    rooted = grouped(docs, size, rare, paired, bits)
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
