@@ -108,7 +108,7 @@ def test_turned(spark):
 
 def test_angles_of_a_turned_cylinder(spark):
     """A cylinder, turned by a few degrees, is turned back to within one."""
-    rows, want = [], {0: (3.0, -3.0, (30, 30, 40), 6.3, 16.5), 1: (4.0, -3.0, (40, 40, 60), 8.3, 24.5)}
+    rows, want = [], {0: (3.0, -3.0, (30, 30, 40), 6.3, 16.5)}
     for k, (a, b, shape, radius, half) in want.items():
         ca, sa, cb, sb = np.cos(np.radians(a)), np.sin(np.radians(a)), np.cos(np.radians(b)), np.sin(np.radians(b))
         for p in itertools.product(*map(range, shape)):
