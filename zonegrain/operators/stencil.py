@@ -91,16 +91,8 @@ TILE, LOT = 256, 4_000_000
 Grid = dict[str, np.ndarray]
 
 
-def by_tile(images: DataFrame, halo: int, answer: Callable[[pa.Table], pa.RecordBatch], schema: str, tile: int = TILE, beside: DataFrame | None = None) -> DataFrame:
-    """What answer gives (schema) for the rows of each tile of images (image, y, x and values), with those of `halo` pixels around it.
-
-    beside: rows (image, ty, tx, and columns that images lacks) that come to their tile as they are. Tiles are sorted in their
-    partition and read one after the other, so many small images share a task and no image needs one task.
-    """
-    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)))
-    sent = images.withColumn("ty", near("y")).withColumn("tx", near("x"))
-    if beside is not None:
-        sent = sent.unionByName(beside, allowMissingColumns=True)
+def by_key(sent: DataFrame, keys: list[str], answer: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """What answer gives (schema) for the rows of each key: one shuffle, then one key after the other in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -109,12 +101,12 @@ def by_tile(images: DataFrame, halo: int, answer: Callable[[pa.Table], pa.Record
             n = batch.num_rows
             new = np.zeros(n + 1, bool)
             new[[0, n]] = True
-            for c in ("image", "ty", "tx") if n > 1 else ():
+            for c in keys if n > 1 else ():
                 v = batch.column(c)
                 new[1:n] |= pc.not_equal(v.slice(1), v.slice(0, n - 1)).to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(new).tolist() if n else []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                key = tuple(batch.column(c)[a].as_py() for c in ("image", "ty", "tx"))
+                key = tuple(batch.column(c)[a].as_py() for c in keys)
                 if held and key != last:
                     done.append(answer(pa.Table.from_batches(held)))
                     size, held = size + done[-1].num_rows, []
@@ -127,7 +119,20 @@ def by_tile(images: DataFrame, halo: int, answer: Callable[[pa.Table], pa.Record
             done.append(answer(pa.Table.from_batches(held)))
         yield from pa.Table.from_batches(done).combine_chunks().to_batches() if done else ()
 
-    return sent.repartition("image", "ty", "tx").sortWithinPartitions("image", "ty", "tx").mapInArrow(run, schema)
+    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def by_tile(images: DataFrame, halo: int, answer: Callable[[pa.Table], pa.RecordBatch], schema: str, tile: int = TILE, beside: DataFrame | None = None) -> DataFrame:
+    """What answer gives (schema) for the rows of each tile of images (image, y, x and values), with those of `halo` pixels around it.
+
+    beside: rows (image, ty, tx, and columns that images lacks) that come to their tile as they are. Tiles are sorted in their
+    partition and read one after the other, so many small images share a task and no image needs one task.
+    """
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)))
+    sent = images.withColumn("ty", near("y")).withColumn("tx", near("x"))
+    if beside is not None:
+        sent = sent.unionByName(beside, allowMissingColumns=True)
+    return by_key(sent, ["image", "ty", "tx"], answer, schema)
 
 
 def grids_of(t: pa.Table, names: list[str], tile: int = TILE) -> tuple[Grid, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:

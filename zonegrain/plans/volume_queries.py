@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zonegrain.functions import columns as C
+from zonegrain.operators import brick
 from zonegrain.operators import volume as V
 from zonegrain.plans import views as T
 from zonegrain.plans.views import sql
@@ -104,3 +105,26 @@ P AS (SELECT sample, y, x, z, round(cy + cos(a) * (y - cy) + sin(a) * (x - cx),
 N AS (SELECT sample, y, x, z, (floor(fy) + dy)::INT AS ny, (floor(fx) + dx)::INT AS nx, CASE dy WHEN 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END * CASE dx WHEN 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END AS w FROM P, range(0, 2) t(dy), range(0, 2) u(dx))
 SELECT N.sample, N.y, N.x, N.z, round(sum(w * coalesce(W.val, 0)), 6) + 0.0 AS val FROM N LEFT JOIN W ON N.sample = W.sample AND ny = W.y AND nx = W.x AND N.z = W.z WHERE w > 0 GROUP BY ALL"""))
 _add("rotate_volume_whole", lambda s, d: _tidy(V.rotated(T.voxels(s, d), F.col("sample") * 3.0, 4), "val"), ORACLE["rotate_volume"].replace("sample * 2", "sample * 3"))
+
+# --- bricks ---
+
+
+def _over(source: str, column: str, size: tuple[int, int, int], *steps: str) -> str:
+    """SQL of boxes over a column of source (sample, y, x, z), one step (max, min) after the other."""
+    for f in steps:
+        for axis, n in zip("yxz", size, strict=True):
+            others = ", ".join(a for a in "yxz" if a != axis)
+            source = f"(SELECT * REPLACE ({f}({column}) OVER (PARTITION BY sample, {others} ORDER BY {axis} RANGE BETWEEN {n // 2} PRECEDING AND {n - 1 - n // 2} FOLLOWING) AS {column}) FROM {source})"
+    return source
+
+
+_add("cube_dilate", lambda s, d: brick.dilate(T.voxels(s, d), (3, 3, 3)), sql("V", f" SELECT * FROM {_over('V', 'val', (3, 3, 3), 'max')}"))
+_add("cube_close", lambda s, d: brick.close(T.voxels(s, d), (1, 3, 6)), sql("V", f" SELECT * FROM {_over('V', 'val', (1, 3, 6), 'max', 'min')}"))
+_add("mask_suppressed", lambda s, d: brick.suppressed(T.voxels(s, d), F.col("val") > 178, F.col("val") > 165, F.col("val") > 100, (3, 3, 3)), sql("V", f""", T AS (SELECT sample, y, x, z, val, (val > 165 AND val <= 178)::INT AS o FROM V), R AS (SELECT sample, y, x, z, val, (val > 178 AND o = 0)::INT AS r FROM {_over('T', 'o', (3, 3, 3), 'max', 'min')})
+SELECT sample, y, x, z, CASE WHEN r = 1 AND val > 100 THEN 255 ELSE 0 END AS val FROM {_over('R', 'r', (3, 3, 3), 'max')}"""))
+_add("turn_grown", lambda s, d: _tidy(brick.turned(T.voxels(s, d), F.col("sample") * 3.0, "y", grown=True, least=4, most=20), "val"), sql("V", """, E AS (SELECT sample, min(x) AS x0, max(x) AS x1, min(z) AS z0, max(z) AS z1, CASE WHEN sample * 3 BETWEEN 4 AND 20 THEN sample * 3.0::DOUBLE ELSE 0 END * (pi() / 180) AS a FROM V GROUP BY sample),
+K AS (SELECT *, (x0 + x1) / 2.0::DOUBLE AS cx, (z0 + z1) / 2.0::DOUBLE AS cz, round((abs(cos(a)) * (x1 - x0) + abs(sin(a)) * (z1 - z0)) / 2, 9) AS hx, round((abs(cos(a)) * (z1 - z0) + abs(sin(a)) * (x1 - x0)) / 2, 9) AS hz FROM E),
+X AS (SELECT *, unnest(range(ceil(cx - hx)::BIGINT, floor(cx + hx)::BIGINT + 1)) AS x FROM K), Z AS (SELECT *, unnest(range(ceil(cz - hz)::BIGINT, floor(cz + hz)::BIGINT + 1)) AS z FROM X),
+P AS (SELECT sample, x, z, round(cx + cos(a) * (x - cx) + sin(a) * (z - cz), 9) AS fx, round(cz - sin(a) * (x - cx) + cos(a) * (z - cz), 9) AS fz FROM Z),
+N AS (SELECT sample, x, z, (floor(fx) + dx)::INT AS nx, (floor(fz) + dz)::INT AS nz, CASE dx WHEN 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END * CASE dz WHEN 0 THEN 1 - (fz - floor(fz)) ELSE fz - floor(fz) END AS w FROM P, range(0, 2) t(dx), range(0, 2) u(dz))
+SELECT N.sample, y.y, N.x::INT AS x, N.z::INT AS z, round(sum(w * coalesce(V.val, 0)), 6) + 0.0 AS val FROM N JOIN (SELECT DISTINCT sample, y FROM V) y ON N.sample = y.sample LEFT JOIN V ON N.sample = V.sample AND y.y = V.y AND nx = V.x AND nz = V.z GROUP BY ALL"""))
