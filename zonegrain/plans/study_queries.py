@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zonegrain.functions.columns import tidy
+from zonegrain.operators import descent
 from zonegrain.operators import study as S
 from zonegrain.plans import views as T
 from zonegrain.plans.views import sql
@@ -76,3 +77,10 @@ _add("knn_loo", lambda s, d: _tidy(S.knn(S.rows_of(T.features(s, d)).join(T.grad
 _LCG = lambda e: "(((((({e}) % 2147483647) * 48271 + 11) % 2147483647 * 48271 + 11) % 2147483647 * 48271 + 11) % 2147483647)".replace("{e}", e)
 _add("bootstrap_auc", lambda s, d: _tidy(S.bootstrap_auc(T.scored_rows(s, d), "y", "score", "doc_id", 50), "auc"), sql("S", f", N AS (SELECT y, score, row_number() OVER (PARTITION BY y ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY y) AS n FROM S), P AS (SELECT rep, N.y, {_LCG('rep * 1000003 + i * 7919 + y * 104729 + 42')} % n AS i FROM N, range(0, 50) t(rep)), Q AS (SELECT rep, N.y, N.score FROM P JOIN N ON P.y = N.y AND P.i = N.i), R AS (SELECT rep, y, rank() OVER (PARTITION BY rep ORDER BY score) + (count(*) OVER (PARTITION BY rep, score) - 1) / 2.0 AS r FROM Q) SELECT rep::INT AS replicate, round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) + 0.0 AS auc FROM R GROUP BY rep"))
 _add("bootstrap_auc_ci", lambda s, d: _tidy(S.interval(S.bootstrap_auc(T.scored_rows(s, d), "y", "score", "doc_id", 50), "auc"), "mean", "low", "high"), f"WITH A AS ({ORACLE['bootstrap_auc'].replace('round(', '(').replace(', 6) + 0.0 AS auc', ') AS auc')}) SELECT round(avg(auc), 6) + 0.0 AS mean, round(quantile_cont(auc, 0.02), 6) + 0.0 AS low, round(quantile_cont(auc, 0.97), 6) + 0.0 AS high FROM A")
+
+# --- descent, and parts of samples ---
+_add("descent_fit", lambda s, d: _tidy(descent.descent_model(_ONE(s, d), 1, 1e-4, 200).select(F.get("w", F.lit(0)).alias("slope"), F.get("w", F.lit(1)).alias("intercept")), "slope", "intercept", digits=3), sql("L", ", A AS (SELECT count(*)::DOUBLE AS n, sum(x0)::DOUBLE AS sx, sum(y)::DOUBLE AS sy, sum(x0 * x0)::DOUBLE AS xx, sum(x0 * y)::DOUBLE AS xy FROM L), R AS (SELECT 0 AS t, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b, n, sx, sy, xx, xy FROM A UNION ALL SELECT t + 1, w - 2e-4::DOUBLE / n * (xx * w + sx * b - xy), b - 2e-4::DOUBLE / n * (sx * w + n * b - sy), n, sx, sy, xx, xy FROM R WHERE t < 200) SELECT round(w, 3) + 0.0 AS slope, round(b, 3) + 0.0 AS intercept FROM R WHERE t = 200", True))
+_WHOLE = lambda s, d: _rows(s, d).groupBy("group_id").agg(*(F.avg(F.get("x", F.lit(i)).cast("double")).alias(f"x{i}") for i in range(2))).select("group_id", F.array("x0", "x1").alias("x"))
+_PARTS = ", F AS (SELECT group_id, count(*)::DOUBLE AS n, sum(x0)::DOUBLE AS s0, sum(x1)::DOUBLE AS s1, sum(y)::DOUBLE AS sy, sum(x0 * x0)::DOUBLE AS g00, sum(x0 * x1)::DOUBLE AS g01, sum(x1 * x1)::DOUBLE AS g11, sum(x0 * y)::DOUBLE AS c0, sum(x1 * y)::DOUBLE AS c1 FROM L GROUP BY group_id), A AS (SELECT sum(n) AS n, sum(s0) AS s0, sum(s1) AS s1, sum(sy) AS sy, sum(g00) AS g00, sum(g01) AS g01, sum(g11) AS g11, sum(c0) AS c0, sum(c1) AS c1 FROM F), D AS (SELECT F.group_id, F.s0 / F.n AS x0, F.s1 / F.n AS x1, A.n - F.n AS n, (A.s0 - F.s0) / (A.n - F.n) AS m0, (A.s1 - F.s1) / (A.n - F.n) AS m1, (A.sy - F.sy) / (A.n - F.n) AS my, A.g00 - F.g00 AS g00, A.g01 - F.g01 AS g01, A.g11 - F.g11 AS g11, A.c0 - F.c0 AS c0, A.c1 - F.c1 AS c1 FROM F, A), E AS (SELECT *, g00 - n * m0 * m0 + 1 AS p, g01 - n * m0 * m1 AS q, g11 - n * m1 * m1 + 1 AS r, c0 - n * m0 * my AS u, c1 - n * m1 * my AS v FROM D)"
+for _name, _centred, _less in (("parts_loo", True, " - {}"), ("parts_loo_plain", False, "")):
+    _add(_name, lambda s, d, c=_centred: _tidy(descent.parts_loo(_WHOLE(s, d), _rows(s, d), 2, centred=c).select("group_id", "prediction"), "prediction", digits=2), sql("L", _PARTS + f" SELECT group_id, round(my + (u * r - v * q) / (p * r - q * q) * (x0{_less.format('m0')}) + (v * p - u * q) / (p * r - q * q) * (x1{_less.format('m1')}), 2) + 0.0 AS prediction FROM E"))
