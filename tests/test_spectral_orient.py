@@ -119,3 +119,15 @@ def test_angles_of_a_turned_cylinder(spark):
     got = {r.sample: (r.a, r.b) for r in orient.find_angles(spark.createDataFrame(rows, "sample int, y int, x int, z int, val int"), steps=20).collect()}
     for k, (a, b, *_) in want.items():
         assert abs(got[k][0] - a) <= 1 and abs(got[k][1] - b) <= 1, got
+
+
+def test_many_small_images_take_no_passes(spark, monkeypatch):
+    """Images within a tile need no pass over all images: same regions as by tiles, with no passes left to take."""
+    rng = np.random.default_rng(8)
+    some = [np.where(np.arange(9)[None] < 3 + k % 3, 60, 180) + rng.integers(-3, 4, (8, 9)) for k in range(6)]
+    some.append(np.where(np.arange(30)[None] < 20, 60, 180) + rng.integers(-3, 4, (24, 30)))  # beyond what is solved as it is
+    t = table(spark, some)
+    tiled = {(r.image, r.y, r.x): r.cluster for r in spectral._tiled_clusters(t, 2, 16, 16).collect()}
+    monkeypatch.setattr(spectral, "eigenvectors", None)
+    whole = {(r.image, r.y, r.x): r.cluster for r in spectral.spectral_clusters(t, 2, 16).collect()}
+    assert whole == tiled
