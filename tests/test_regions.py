@@ -1,9 +1,11 @@
 """Components, filling, outlines and corner crops by tiles, against plain loops over whole images."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from zonegrain.operators import regions
+
+from zonegrain.operators import regions, stencil
 
 
 def table(spark, arrays, name="val", kind="double"):
@@ -159,3 +161,13 @@ def test_corner_crop(spark):
         assert {r.cropped for r in got if r.image == k} == {want.shape != size}
     shapes = {k: plain_crop(a).shape for k, a in some.items()}
     assert all(shapes[k] != size for k in ("tl", "tr", "bl", "br")) and all(shapes[k] == size for k in ("none", "large"))
+
+
+def test_no_tile_beyond_the_image(spark):
+    """Small images with a halo come as one tile each, and answers without rows are handed on."""
+    t = spark.createDataFrame([(k, y, x, 1) for k in range(40) for y in range(3) for x in range(3)], "image int, y int, x int, val int")
+    keys = lambda t: pa.RecordBatch.from_pydict({c: t.column(c).slice(0, 1).combine_chunks() for c in ("image", "ty", "tx")})
+    got = stencil.by_tile(t, 2, keys, "image int, ty long, tx long").collect()
+    assert sorted(map(tuple, got)) == [(k, 0, 0) for k in range(40)]
+    none = lambda t: keys(t).slice(0, 0)
+    assert stencil.by_tile(t, 2, none, "image int, ty long, tx long").count() == 0
