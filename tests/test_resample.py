@@ -65,3 +65,17 @@ def test_replicates_that_are_skipped(spark):
     plain = resample.bootstrap(rows, "y", "score", "id", ("average_precision",), 60, stratified=False, draw=F.col("id")).collect()
     assert {r.replicate for r in plain} == set(np.flatnonzero(w[0] > 0).tolist())
     assert resample.bootstrap(rows.limit(0), "y", "score", "id", ("auc", "mse"), 5).isEmpty()
+
+
+def test_draws_in_blocks_and_buckets(spark, monkeypatch):
+    """Many tasks, blocks and buckets give what one of each gives."""
+    from zonegrain.operators import study
+
+    t = spark.createDataFrame([(k, k % 3 % 2, k * 7919 % 41) for k in range(300)], "id long, y int, score int")
+    told = lambda: (sorted(map(tuple, study.bootstrap_auc(t, "y", "score", "id", 4).collect())), sorted(map(tuple, study.bootstrap_curves(t, "y", "score", "id", 4).collect())))
+    one = told()
+    monkeypatch.setattr(study, "_TASK", 150)
+    monkeypatch.setattr(study, "_BLOCK", 7)
+    monkeypatch.setattr(study, "_ORDERED", 40)
+    many = told()
+    assert many == one and len(one[0]) == 4
