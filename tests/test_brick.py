@@ -107,3 +107,14 @@ def test_odd_tables(spark):
     assert [tuple(r) for r in brick.turned(v, F.lit(None), "y", grown=True).collect()] == [(1, -5, 2, -70, 3.0)]
     with pytest.raises(ValueError, match="a box has"):
         brick.dilate(v, (0, 3, 3))
+
+
+def test_empty_part_of_a_grown_box_is_not_made_by_numpy(spark, monkeypatch):
+    """A thin sample of 300 layers, turned by 45 degrees: the box has a voxel for each place, of which numpy hands on few."""
+    a = np.ones((1, 3, 300))
+    handed, by_key = [], brick.stencil.by_key
+    monkeypatch.setattr(brick.stencil, "by_key", lambda *args: handed.append(by_key(*args)) or handed[-1])
+    got = brick.turned(table(spark, {1: a}), F.lit(45.0), "y", grown=True, side=16)
+    n = 2 * math.floor(math.sqrt(0.5) * (2 + 299) / 2 + 0.5)
+    assert got.count() == got.distinct().count() == n * (n + 1)
+    assert handed[0].count() < n * n / 8
