@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from zonegrain.operators import learn
 from zonegrain.plans import registry
 
 
@@ -69,3 +70,14 @@ def test_forest_of_all_groups(spark, volumes):
     assert (got["y"] == y).all()
     assert ((got["probability"] > 0.5) == bright).all()
     assert (got["probability"][group == 16] == bright[group == 16]).all()
+
+
+def test_forest_has_few_tasks(spark):
+    """The same forests however the rows are dealt, and no more tasks than cores for few rows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 2))
+    rows = spark.createDataFrame([(i, i % 3, v.tolist(), int(v.sum() > 0)) for i, v in enumerate(x)], "row_id long, group_id int, x array<double>, y int")
+    found = [learn.forest_logo(rows.repartition(n), 2, trees=3) for n in (40, 3)]
+    assert all(f.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism for f in found)
+    a, b = (sorted((r.row_id, r.probability) for r in f.collect()) for f in found)
+    assert len(a) == 120 and a == b
