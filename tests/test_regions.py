@@ -171,3 +171,26 @@ def test_no_tile_beyond_the_image(spark):
     assert sorted(map(tuple, got)) == [(k, 0, 0) for k in range(40)]
     none = lambda t: keys(t).slice(0, 0)
     assert stencil.by_tile(t, 2, none, "image int, ty long, tx long").count() == 0
+
+
+def test_scored_tiles_come_in_lots(spark, tmp_path):
+    """A model gets a bounded number of tiles at a time, in whatever batches they come; each pixel is the mean over its tiles."""
+    import numpy as np
+
+    from zonegrain.operators import segment
+
+    seen = str(tmp_path)
+
+    def model(tiles):
+        open(f"{seen}/{len(tiles)}", "w").close()
+        return tiles / 2
+
+    rows = [(0, y, x, y * 7 + x) for y in range(200) for x in range(70)]
+    images = spark.createDataFrame(rows, "image int, y int, x int, val int").repartition(1)
+    lot, segment.SCORED = segment.SCORED, 4 * 4 * 100
+    try:
+        got = {(r.y, r.x): r.p for r in segment.score_tiles(images, model, 4).collect()}
+    finally:
+        segment.SCORED = lot
+    assert len(got) == len(rows) and all(np.isclose(got[y, x], v / 2) for _, y, x, v in rows)
+    assert max(int(p.name) for p in tmp_path.iterdir()) == 100
