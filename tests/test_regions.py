@@ -194,3 +194,30 @@ def test_scored_tiles_come_in_lots(spark, tmp_path):
         segment.SCORED = lot
     assert len(got) == len(rows) and all(np.isclose(got[y, x], v / 2) for _, y, x, v in rows)
     assert max(int(p.name) for p in tmp_path.iterdir()) == 100
+
+
+def test_small_images_share_a_stack(spark):
+    """Many images of two shapes are two stacks, with large keys and small ones in a lot, and labels are those of each image alone."""
+    import numpy as np
+    import pyarrow as pa
+
+    from zonegrain.operators import stencil
+
+    rng = np.random.default_rng(5)
+    grids = {i: rng.random((3, 5) if i % 2 else (6, 4)) < 0.5 for i in range(100)}
+    rows = [(i, y, x, int(v)) for i, g in grids.items() for (y, x), v in np.ndenumerate(g)]
+    t = pa.table({c: [r[k] for r in rows] for k, c in enumerate(("image", "y", "x", "on"))}).append_column("ty", pa.array([0] * len(rows))).append_column("tx", pa.array([0] * len(rows)))
+    assert [g["on"].shape for _, g, *_ in stencil.stacks_of(t, ["on"])] == [(50, 3, 5), (50, 6, 4)]
+    images = spark.createDataFrame(rows, "image int, y int, x int, on int")
+    got = {(r.image, r.y, r.x): r.label for r in regions.labelled(images).collect()}
+    for i, g in grids.items():
+        place, w = regions.grid_labels(g, regions.EIGHT), g.shape[1]
+        assert all(got[i, y, x] == (p // w * (1 << 31) + p % w if p >= 0 else -1) for (y, x), p in np.ndenumerate(place))
+
+    def counted(t):
+        keys = t.column("image").to_pylist()
+        return pa.RecordBatch.from_pydict({"keys": pa.array([len(set(keys))], pa.int32()), "rows": pa.array([len(keys)], pa.int32()), "ends": pa.array([f"{keys[0]} {keys[-1]}"])})
+
+    many = spark.range(40_000, numPartitions=2).selectExpr("cast(if(id < 30000, 0, id) as int) as image")
+    lots = stencil.by_lots(many, ["image"], counted, "keys int, rows int, ends string", 5_000).collect()
+    assert sum(r["keys"] for r in lots) == 10_001 and sum(r["rows"] for r in lots) == 40_000 and len(lots) < 12
