@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from zonegrain.operators import descent
+from zonegrain.operators import descent, learn, resample, study
 from zonegrain.plans import jobs
 
 
@@ -66,3 +66,39 @@ def test_parts_grading(spark):
     for _ in range(2000):
         w = w - 0.05 * 2 / 75 * wide.T @ (wide @ w - y)
     assert np.allclose(found[found.set == "train"].sort_values(["sample", "sub"]).prediction, wide @ w, atol=1e-6)
+
+
+@pytest.mark.parametrize("block", [study.BLOCK, 4])
+def test_products_go_by_bin(spark, monkeypatch, block):
+    """Sums of samples that lack bins or hold nulls, NaN or infinity are those of the pairs that they have, in blocks of any size."""
+    monkeypatch.setattr(study, "BLOCK", block)
+    rows = [(0, 3, 1.0), (0, 7, 2.0), (1, 3, 3.0), (1, 5, 4.0), (1, 7, None), (2, 5, float("nan")), (2, 9, None), (3, 3, float("inf")), (3, 5, 0.0), (4, 7, 5.0), (4, 7, 0.5)]
+    f = spark.createDataFrame(rows, "sample int, bin int, val double").repartition(1)
+    a, b = f.alias("a"), f.alias("b")
+    want = a.join(b, F.expr("a.sample = b.sample and a.bin <= b.bin")).groupBy("a.bin", "b.bin").agg(F.sum(F.expr("a.val * b.val")))
+    text = lambda t: sorted((i, j, repr(v)) for i, j, v in t.collect())
+    assert text(study.gram(f)) == text(want)
+    assert study.gram(f.limit(0)).count() == 0
+
+
+def test_scores_of_odd_rows_are_null(spark):
+    model = {"mean": [1.0, 2.0], "eigvec": [[1.0, 0.0], [0.6, 0.8], [0.0, 1.0]], "sv": [2.0, 4.0, 0.0]}
+    rows = spark.createDataFrame([(0, [3.0, 4.0]), (1, [1.0, None]), (2, None), (3, [1.0]), (4, [1.0, 2.0, 3.0])], "sample int, x array<double>")
+    got = {r.sample: r.scores for r in learn.project(rows, model).collect()}
+    assert np.allclose(got.pop(0), [1, 0.7, 2]) and all(v == [None] * 3 for v in got.values()) and len(got) == 4
+
+
+def test_parts_grading_makes_what_is_asked_for(spark, monkeypatch):
+    """No resample is drawn for metrics, and they are those of the whole job."""
+    rng = np.random.default_rng(3)
+    rows = [(s, sub, b, float(v)) for s in range(20) for sub in range(2) for b, v in enumerate(rng.normal(0, 1, 3))]
+    f = spark.createDataFrame(rows, "sample int, sub int, bin int, val double")
+    grades = spark.createDataFrame([(s, s % 4) for s in range(20)], "sample int, grade int")
+    job = lambda **k: jobs.parts_grading(f.where("sample < 12"), f.where("sample >= 12"), grades, 2, 0.05, 100, 10, **k)
+    whole = job()
+    assert set(whole) == {"predictions", "metrics", "intervals", "model"}
+    monkeypatch.setattr(resample, "bootstrap", None)
+    got = job(tables=("metrics",))
+    assert set(got) == {"metrics"}
+    values = lambda t: {(r["set"], r.name): r.value for r in t.collect()}
+    assert values(got["metrics"]) == pytest.approx(values(whole["metrics"]), nan_ok=True)
