@@ -102,3 +102,20 @@ def test_parts_grading_makes_what_is_asked_for(spark, monkeypatch):
     assert set(got) == {"metrics"}
     values = lambda t: {(r["set"], r.name): r.value for r in t.collect()}
     assert values(got["metrics"]) == pytest.approx(values(whole["metrics"]), nan_ok=True)
+
+
+def test_metrics_of_sets_in_one_pass(spark):
+    """Ranks, chances and areas by set are those of each set alone, also where sets share values; metrics of a set without rows are null."""
+    rng = np.random.default_rng(4)
+    rows = [("ab"[i % 2], float(a), float(p), int(a > 1)) for i, (a, p) in enumerate(zip(rng.integers(0, 4, 90), rng.normal(1, 2, 90).round(1), strict=True))]
+    t = spark.createDataFrame(rows, "set string, a double, p double, y int")
+    for make in (lambda t, **k: study.spearman(t, "a", "p", **k), lambda t, **k: study.wilcoxon(t, "a", "p", **k), lambda t, **k: study.auc(t, "y", "p", **k), lambda t, **k: study.regression_metrics(t, "a", "p", **k)):
+        got = {r["set"]: tuple(r)[1:] for r in make(t, by=("set",)).collect()}
+        assert set(got) == {"a", "b"}
+        for k, one in got.items():
+            assert one == pytest.approx(tuple(make(t.where(F.col("set") == k)).first()))
+    f = spark.createDataFrame([(s, 0, b, float(v)) for s in range(9) for b, v in enumerate(rng.normal(0, 1, 3))], "sample int, sub int, bin int, val double")
+    grades = spark.createDataFrame([(s, s % 4) for s in range(9)], "sample int, grade int")
+    got = jobs.parts_grading(f, f.limit(0), grades, 2, 0.05, 50, tables=("metrics",))["metrics"]
+    assert got.dtypes == [("name", "string"), ("value", "double"), ("set", "string")] and got.count() == 20
+    assert got.where("set = 'test' and value is null").count() == 10 and got.where("set = 'train' and value is null").count() == 0
