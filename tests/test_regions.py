@@ -1,5 +1,8 @@
 """Components, filling, outlines and corner crops by tiles, against plain loops over whole images."""
 
+import os
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -196,6 +199,61 @@ def test_scored_tiles_come_in_lots(spark, tmp_path):
     assert max(int(p.name) for p in tmp_path.iterdir()) == 100
 
 
+def test_scored_tiles_are_whole_across_blocks(spark, tmp_path):
+    """Each tile is scored once with all of its pixels, in images of several blocks with holes, and means are those of a plain loop."""
+    import numpy as np
+
+    from zonegrain.operators import segment
+
+    seen = str(tmp_path)
+
+    def model(tiles):
+        open(f"{seen}/{os.urandom(8).hex()}-{len(tiles)}", "w").close()
+        return tiles / 255 + tiles.mean((1, 2), keepdims=True)
+
+    rng = np.random.default_rng(7)
+    some = {"a": np.where(rng.random((300, 70)) < 0.8, rng.integers(0, 256, (300, 70)), np.nan), "b": rng.integers(0, 256, (5, 3)).astype(float), None: rng.integers(0, 256, (9, 280)).astype(float)}
+    rows = [(k, y, x, int(v)) for k, a in some.items() for (y, x), v in np.ndenumerate(a) if not np.isnan(v)]
+    images = spark.createDataFrame(rows, "image string, y int, x int, val int")
+    tiles = 0
+    for size in (16, 7, 1):
+        step, got = max(1, size // 2), {(r.image, r.y, r.x): r.p for r in segment.score_tiles(images, model, size).collect()}
+        assert len(got) == len(rows)
+        for k, a in some.items():
+            total, n = np.zeros(a.shape), np.zeros(a.shape)
+            for y0, x0 in ((y, x) for y in range(0, a.shape[0], step) for x in range(0, a.shape[1], step)):
+                here = a[y0 : y0 + size, x0 : x0 + size]
+                total[y0 : y0 + size, x0 : x0 + size] += here / 255 + np.nansum(here) / size**2
+                n[y0 : y0 + size, x0 : x0 + size] += 1
+                tiles += not np.isnan(here).all()
+            assert all(np.isclose(got[k, y, x], total[y, x] / n[y, x], rtol=1e-5) for (y, x), v in np.ndenumerate(a) if not np.isnan(v)), (k, size)
+    assert sum(int(f.name.split("-")[1]) for f in tmp_path.iterdir()) == tiles
+
+
+def test_python_holds_few_scored_tiles(spark, tmp_path):
+    """The tables that a worker has at hand when the model runs are of some rows, not of thousands of whole tiles (17 MB here)."""
+    from zonegrain.operators import segment
+
+    seen = str(tmp_path)
+
+    def model(tiles):
+        frame, most = sys._getframe(), 0
+        while frame:
+            most = max([most, *(v.nbytes for v in frame.f_locals.values() if isinstance(v, pa.RecordBatch | pa.Table))])
+            frame = frame.f_back
+        open(f"{seen}/{most}-{os.urandom(8).hex()}", "w").close()
+        return tiles
+
+    images = spark.range(8192 * 64).selectExpr("0 as image", "cast(id div 64 as int) as y", "cast(id % 64 as int) as x", "cast(id % 256 as int) as val")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        assert segment.score_tiles(images, model, 16).where("p = (y * 64 + x) % 256").count() == 8192 * 64
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 0 < max(int(f.name.split("-")[0]) for f in tmp_path.iterdir()) < 8_000_000
+
+
 def test_small_images_share_a_stack(spark):
     """Many images of two shapes are two stacks, with large keys and small ones in a lot, and labels are those of each image alone."""
     import numpy as np
