@@ -131,3 +131,54 @@ def test_many_small_images_take_no_passes(spark, monkeypatch):
     monkeypatch.setattr(spectral, "eigenvectors", None)
     whole = {(r.image, r.y, r.x): r.cluster for r in spectral.spectral_clusters(t, 2, 16).collect()}
     assert whole == tiled
+
+
+def plain_loss(on, a, b):
+    """Of a grid of booleans: every place of the turned grid reads its nearest voxel; None where nothing is seen."""
+    (ca, sa), (cb, sb) = ((np.cos(np.radians(t)), np.sin(np.radians(t))) for t in (a, b))
+    mid = (np.array(on.shape) - 1) / 2
+    v, u, w = (np.stack(np.indices(on.shape), -1) - mid).reshape(-1, 3).T
+    back = np.stack([cb * v + sb * w, ca * u + sa * (cb * w - sb * v), ca * (cb * w - sb * v) - sa * u], 1)
+    at = np.floor(back + mid + 0.5).astype(int)
+    inside = ((at >= 0) & (at < on.shape)).all(1)
+    out = np.zeros(len(at), bool)
+    out[inside] = on[tuple(at[inside].T)]
+    top = np.where(out.reshape(on.shape), np.arange(on.shape[2]), -1).max(2)
+    pixels = np.argwhere((top >= 0) & (top < on.shape[2] - 1)).astype(float)
+    if not len(pixels):
+        return None
+    cy, cx, r = orient.smallest_circle(pixels)
+    circle = np.add.outer((np.arange(on.shape[0]) - cy) ** 2, (np.arange(on.shape[1]) - cx) ** 2) <= r * r + 1e-9
+    return 1 - (2 * len(pixels) + 1e-9) / (len(pixels) + circle.sum() + 1e-9)
+
+
+def test_registered_search_goes_all_rounds(spark):
+    """All 62 rounds of the reference's own call (alpha 0.5, h 5, 60 steps), by a plain loop over each sample."""
+    from zonegrain.operators import volume
+    from zonegrain.plans import registry, views
+
+    data, want = "/root/testdata/sf0.001", {}
+    cells = volume.scale_means(views.voxels(spark, data), 2).toPandas()
+    for sample, own in cells.groupby("sample"):
+        on = np.zeros(own[["y", "x", "z"]].to_numpy().max(0) + 1, bool)
+        on[tuple(own.loc[own["val"] > 128, ["y", "x", "z"]].to_numpy().T)] = True
+        a, b, alpha = 0.0, 0.0, 0.5
+        for k in range(62):
+            d1, d2, d3, d4 = (1.0 if (d := plain_loss(on, a + p, b + q)) is None else d for p, q in ((5, 0), (-5, 0), (0, 5), (0, -5)))
+            a, b = a - alpha * np.sign(round(d1 - d2, 12)), b - alpha * np.sign(round(d3 - d4, 12))
+            if k % 60 // 2 == 0:
+                alpha /= 2
+        want[sample] = (a, b, plain_loss(on, a, b))
+    got = {r.sample: (r.a, r.b, r.loss) for r in registry.QUERIES["orientation"](spark, data).collect()}
+    assert got.keys() == want.keys()
+    for s, w in want.items():
+        assert got[s] == pytest.approx(w, abs=1e-4), s
+
+
+def test_samples_of_which_nothing_is_seen(spark):
+    """One without a voxel that is on, one with its voxel in the top layer, one that is seen, one empty table."""
+    rows = [(1, 0, 0, 0, 0), (2, 0, 0, 1, 1), (2, 0, 0, 0, 0), (3, 0, 0, 0, 5), (3, 2, 2, 3, 0)]
+    t = spark.createDataFrame(rows, "sample int, y int, x int, z int, val int")
+    got = {r.sample: (r.a, r.b, r.loss) for r in orient.find_angles(t, steps=2).collect()}
+    assert got[1] == got[2] == (0.0, 0.0, None) and set(got) == {1, 2, 3}
+    assert orient.find_angles(t.limit(0)).count() == 0
