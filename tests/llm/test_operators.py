@@ -328,6 +328,19 @@ def test_toxicity_logit_by_hand():
     assert toxicity.logits(model, first, second, np.array([7]))[0] == pytest.approx(out, rel=1e-4, abs=1e-5)
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """An insult that only comes after the first 4,000 toxic rows in order of a hash of doc_id is learned, by several shards."""
+    order = [r.id for r in spark.range(4300).orderBy(F.xxhash64("id")).collect()]
+    rng = np.random.default_rng(4)
+    fill = lambda: " ".join(f"word{k}" for k in rng.integers(0, 40, 6))
+    rows = [(i, f"{fill()} {'drat' if at < 4000 else 'zounds'} {fill()}", 1) for at, i in enumerate(order)] + [(i, f"{fill()} {fill()}", 0) for i in range(5000, 6000)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(t.select("doc_id", "text"), t.select("doc_id", "toxic"), shard_rows=2000)
+    new = [(k, f"{fill()} {w} {fill()}", w) for k, w in enumerate(["drat", "zounds", ""] * 20)]
+    got = {(r.w, r.predicted) for r in toxicity.score(spark.createDataFrame(new, "doc_id long, text string, w string"), model).collect()}
+    assert got == {("drat", 1), ("zounds", 1), ("", 0)}
+
+
 def test_toxicity_nasty(nasty, empty, labels):
     model = toxicity.learn(nasty, labels)
     got = toxicity.score(nasty, model)
