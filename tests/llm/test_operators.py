@@ -71,6 +71,36 @@ def test_quality_features_and_fit_by_hand(spark, data):
     assert (z @ model["w"] < model["cut"]).sum() == len(bad)
 
 
+def test_quality_fit_sees_every_label(spark):
+    """Bad rows that only come after the first 20,000 labels in order of a hash of doc_id are of a kind of their own: learned."""
+    order = [r.id for r in spark.range(22_000).orderBy(F.xxhash64("id")).collect()]
+    rows = [(i, "Some plain words, and more.", 1) if at % 2 else (i, "x%% ##&& $$" if at < 20_000 else "Some plain words, and 4567.", 0) for at, i in enumerate(order)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(8)
+    model = quality.learn(t.select("doc_id", "text"), t.select("doc_id", "quality"))
+    assert {r.quality for r in quality.accepted(t, model).select("quality").distinct().collect()} == {1}
+
+
+def test_quality_blocks(spark):
+    """Sums over blocks: the weights are where the gradient over the pairs of all blocks is zero; the cut is that of all scores."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, quality.N_FEATURES))
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=900) > -1).astype(int)
+    dealt = rng.permutation(900)
+    model = quality.fit_blocks(spark.createDataFrame([(int(k), int(v), r.tolist()) for k, v, r in zip(dealt, y, x, strict=True)], "dealt long, label int, x array<double>").repartition(7), 3)
+    assert model["mean"] == pytest.approx(x.mean(0)) and model["sd"] == pytest.approx(x.std(0) + 1e-6)
+    z, m, grad = (x - model["mean"]) / model["sd"], 0, 0
+    for block in range(3):
+        own = np.flatnonzero(dealt % 3 == block)
+        own = own[np.lexsort((dealt[own], y[own]))]
+        better, worse = quality._pairs(y[own], quality.PAIRS_PER_ROW, [11, block])
+        assert (y[own][better] == 1).all() and (y[own][worse] == 0).all() and len(better) == 40 * (y[own] == 0).sum()
+        diff = z[own][better] - z[own][worse]
+        m, grad = m + len(diff), grad + diff.T @ (1 / (1 + np.exp(diff @ model["w"])))
+    assert grad / m - 1e-2 * model["w"] == pytest.approx(np.zeros(quality.N_FEATURES), abs=1e-6)
+    s, k = np.sort(z @ model["w"]), (y == 0).sum()
+    assert model["cut"] == pytest.approx((s[k - 1] + s[k]) / 2) and model["scale"] == pytest.approx(s.std())
+
+
 def test_quality_nasty(nasty, empty, labels):
     model = quality.learn(nasty, labels)
     got = quality.score(nasty, model)

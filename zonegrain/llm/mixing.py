@@ -1,7 +1,7 @@
 """Mixing to target weights with soft membership.
 
-A naive Bayes classifier over hashed words, fitted on a bounded sample of a labelled table, gives each document a posterior
-over domains: every word of the sample counts, and the table is of fixed size.
+A naive Bayes classifier over hashed words, fitted on all rows of a labelled table, gives each document a posterior
+over domains: every word of them counts, and the table is of fixed size.
 Rates x >= 0 of documents are then fitted so that the expected domain token totals, sum of tokens * posterior * rate, match
 the targets: least squares by accelerated projected gradient. A step needs one number for each domain from all documents, so only those
 pass through the driver; the rates stay in a table. All of it is DataFrame operations.
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from zonegrain.llm import common
 
-#: Labelled rows that the classifier is fitted on at most, and hash buckets of its words.
-FIT_ROWS, BUCKETS = 5_000, 1 << 16
+#: Hash buckets of the classifier's words.
+BUCKETS = 1 << 16
 #: Shares of tokens by language that the registered query and the pipeline ask for.
 TARGETS = {"de": 0.15, "en": 0.58, "es": 0.11, "fr": 0.16}
 #: Misfit of a domain, relative to the total, at which the fit ends; and steps in which the loss must fall by a fifth, or it ends.
@@ -33,15 +33,14 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], fit_rows: int = FIT_ROWS) -> tuple[DataFrame, list[float]]:
-    """(bucket, log likelihoods by domain) of the buckets that the sample fills, and log priors, from labelled (doc_id, domain)."""
-    sample = labelled.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id")).limit(fit_rows)
-    text = docs.select("doc_id", common.text_column(docs).alias("text"))
-    words = text.join(F.broadcast(sample), "doc_id").select("domain", F.explode(_words(F.col("text"))).alias("word"))
+def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[DataFrame, list[float]]:
+    """(bucket, log likelihoods by domain) of the buckets that labelled rows fill, and log priors, from labelled (doc_id, domain)."""
+    known = common.saved(labelled.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain")), "mix-labels")
+    words = common.labelled(docs, known, "mix-known").select("domain", F.explode(_words(F.col("text"))).alias("word"))
     counts = [f"n{i}" for i in range(len(domains))]
     found = common.saved(words.groupBy(_bucket(F.col("word")).alias("bucket")).agg(*(F.count_if(F.col("domain") == d).alias(c) for c, d in zip(counts, domains, strict=True))), "mix-words")
     totals = found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts)).first()
-    rows = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}
+    rows = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     seen = sum(rows.values())
     prior = [float(np.log((rows.get(d, 0) + 1) / (seen + len(domains)))) for d in domains]
     return found.select("bucket", *(F.log((F.col(c) + 0.5) / (totals[c] + 0.5 * BUCKETS)).alias(f"like{i}") for i, c in enumerate(counts))), prior
